@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from claimloom.llm import decontaminate, simhash_vptree
+from claimloom.llm import decontaminate, hilbert_packing, language_id, quality_knn, secret_scan, simhash_vptree
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_quality_knn": quality_knn.op2_quality_knn,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op6_hilbert_packing": hilbert_packing.op6_hilbert_packing,
+    "op9_language_id": language_id.op9_language_id,
     "op10_simhash_vptree": simhash_vptree.op10_simhash_vptree,
 }
 
