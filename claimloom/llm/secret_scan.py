@@ -141,7 +141,7 @@ def thresholds(tests: DataFrame, fdr: float) -> DataFrame:
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 20, alpha: float = 0.001, fdr: float = 0.01) -> DataFrame:
-    """``(doc_id, key, base, spans)`` of each text that has any: its base spans, and these with the ``random`` ones, by start.
+    """``(doc_id, key, base, spans)`` of each row: its base spans, and these with the ``random`` ones, by start.
 
     A span is ``(start, rank, end, kind, token)`` in code points, end exclusive;
     ``key`` is a hash of the text, so that different texts under one id stay apart.
@@ -155,10 +155,11 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     maybe = _spans(text, long_run, "random", lambda m: F.rlike(m, F.lit("[A-Za-z]")) & F.rlike(m, F.lit("[0-9]")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("key"), base.alias("base"), maybe.alias("maybe"))
-    found = stage(rows.where((F.size("base") > 0) | (F.size("maybe") > 0)).dropDuplicates(["doc_id", "key"]), "secret-candidates").df
+    # written once: a filter on what the patterns find would run them again
+    found = stage(rows.select("doc_id", F.xxhash64("text").alias("key"), F.array_sort(base).alias("base"), maybe.alias("maybe")), "secret-candidates").df
     apart = F.filter("maybe", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    tests = tested(found.select("doc_id", "key", F.explode(apart).alias("span")).withColumn("token", F.col("span.token")), alpha).select(
+    candidates = found.where(F.size("maybe") > 0).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.explode(apart).alias("span"))
+    scored = tested(candidates.withColumn("token", F.col("span.token")), alpha).select(
         "doc_id",
         "key",
         "span",
@@ -166,27 +167,20 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.least(F.floor(F.length("token") / STRATUM), F.lit(16)).cast("int").alias("stratum"),
         F.ceil(F.log10("p_text") * BINS_PER_DECADE).cast("int").alias("bin"),
     )
+    tests = stage(scored, "secret-tests").df
     # at most 17 strata, so this side is tiny
     kept = tests.where("passes").join(F.broadcast(thresholds(tests, fdr)), "stratum").where("bin <= cut")
     more = kept.groupBy(F.col("doc_id").alias("more_id"), F.col("key").alias("more_key")).agg(F.collect_list("span").alias("more"))
     joined = found.join(more, F.col("doc_id").eqNullSafe(F.col("more_id")) & (F.col("key") == F.col("more_key")), "left")
-    none = F.array().cast(SPANS)
-    return joined.select("doc_id", "key", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans")).where(F.size("spans") > 0)
-
-
-def scan_secrets(docs: DataFrame, **options) -> DataFrame:
-    """Every row of ``docs``, all its columns, with ``secret_base`` and ``secret_spans`` (empty arrays where there are none)."""
-    spans = secret_spans(docs, **options).select(F.col("doc_id").alias("_span_id"), F.col("key").alias("_span_key"), F.col("base").alias("secret_base"), F.col("spans").alias("secret_spans"))
-    same = F.col("doc_id").eqNullSafe(F.col("_span_id")) & (F.xxhash64("text") == F.col("_span_key"))
-    none = F.array().cast(SPANS)
-    out = docs.drop("secret_base", "secret_spans").join(spans, same, "left").drop("_span_id", "_span_key")
-    return out.withColumns({c: F.coalesce(c, none) for c in ("secret_base", "secret_spans")})
+    return joined.select("doc_id", "key", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPANS)))).alias("spans"))
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every secret span of ``text`` replaced by ``mask`` (overlapping spans by one), and ``n_chars`` to match."""
-    scanned = scan_secrets(docs, **options)
-    spans = F.col("secret_spans")
+    found = secret_spans(docs, **options).where(F.size("spans") > 0).dropDuplicates(["doc_id", "key"])
+    found = found.select(F.col("doc_id").alias("_span_id"), F.col("key").alias("_span_key"), F.col("spans").alias("_spans"))
+    scanned = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_span_id")) & (F.xxhash64("text") == F.col("_span_key")), "left")
+    spans = F.coalesce(F.col("_spans"), F.array().cast(SPANS))
     # what stands before each span and after the last; a span that begins inside those before it leaves nothing, and no second mask
     reached = F.transform(spans, lambda s, i: F.array_max(F.concat(F.array(F.lit(0)), F.transform(F.slice(spans, F.lit(1), i), lambda p: p["end"]))))
     parts = F.zip_with(
@@ -198,19 +192,18 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
     text = F.when(F.size(spans) == 0, F.col("text")).otherwise(F.concat(F.array_join(parts, ""), F.substring(F.col("text"), last + 1, F.char_length("text"))))
     out = scanned.withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed = F.size("secret_spans") > 0
+        changed = F.size(spans) > 0
         out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = scan_secrets(docs)
+    out = secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     def count(kind):
-        return F.size(F.filter("secret_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return out.select("doc_id", *[count(kind) for kind in KINDS[:3]], F.sha2(listed(F.col("secret_base")), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"))
+    return out.select("doc_id", *[count(kind) for kind in KINDS[:3]], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

@@ -34,11 +34,11 @@ def spans(rows, column):
 def test_base_spans(spark):
     rows = list(enumerate(texts()))
     docs = spark.createDataFrame([(i, t, "clash") for i, t in [*rows, rows[3]]], "doc_id long, text string, key string")
-    got = ss.scan_secrets(docs).collect()
+    got = ss.secret_spans(docs).collect()
     assert len(got) == len(rows) + 1
-    assert spans(got, "secret_base") == {i: brute_base(t) for i, t in rows}
+    assert spans(got, "base") == {i: brute_base(t) for i, t in rows}
     for r in got:
-        assert set(map(tuple, r["secret_base"])) <= set(map(tuple, r["secret_spans"]))
+        assert set(map(tuple, r["base"])) <= set(map(tuple, r["spans"]))
 
 
 def test_random_tokens(spark):
@@ -46,7 +46,7 @@ def test_random_tokens(spark):
     secrets = [base64.b64encode(rng.randbytes(33)).decode() for _ in range(40)]
     plain = ["getUserAccountByEmailAddressFromTheDatabase1", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "0123456789abcdefghijklmnopqrstuvwxyz", "internationalisation2internationalisation2"]
     docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(secrets + plain * 3)], "doc_id long, text string")
-    got = spans(ss.scan_secrets(docs).collect(), "secret_spans")
+    got = spans(ss.secret_spans(docs).collect(), "spans")
     found = [i for i in range(40) if (4, 3, 4 + len(secrets[i]), "random") in got[i]]
     assert len(found) >= 38
     assert not any(got[i] for i in range(40, 52))
@@ -70,4 +70,4 @@ def test_redact(spark):
 
 
 def test_empty(spark):
-    assert ss.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert ss.secret_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
