@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from claimloom.llm import decontaminate, hilbert_packing, language_id, quality_knn, secret_scan, simhash_vptree
+from claimloom.llm import (
+    chat_format,
+    decontaminate,
+    hilbert_packing,
+    html_extract,
+    language_id,
+    quality_knn,
+    rabitq_dedup,
+    secret_scan,
+    simhash_vptree,
+    warc_zstd,
+)
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_quality_knn": quality_knn.op2_quality_knn,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_chat_format": chat_format.op4_chat_format,
+    "op5_rabitq_dedup": rabitq_dedup.op5_rabitq_dedup,
     "op6_hilbert_packing": hilbert_packing.op6_hilbert_packing,
+    "op7_html_extract": html_extract.op7_html_extract,
+    "op8_warc_zstd": warc_zstd.op8_warc_zstd,
     "op9_language_id": language_id.op9_language_id,
     "op10_simhash_vptree": simhash_vptree.op10_simhash_vptree,
 }
