@@ -3,7 +3,8 @@
 Each document becomes hashed byte-trigram counts, projected by fixed random signs to
 ``DIMS`` numbers; their quantised grid cell's place on a Hilbert curve is its key. The
 table is range-partitioned and sorted by (key, hash of id and text), so documents of
-one cell, copies included, spread over as many partitions as they need. A task walks
+one cell, copies included, spread over as many partitions as they need; the ranges
+hold about as much text each. A task walks
 its partition in order, one Arrow batch at a time, tokenizes and cuts the stream of
 ids every ``length``; neighbours on the curve share sequences. What is left at a
 partition's end is cut into sequences whose sizes are powers of two, so there is no
@@ -26,15 +27,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from claimloom.llm.features import gram_counts
 
 BITS, DIMS, CELL_BITS = 10, 4, 8
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words that a worker remembers the ids of before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 _SPACE = re.compile("[ \n\t\r]+")
+_MARK = re.compile("[\u0300-\u036f]")
 
 
 def hilbert_key(cells: np.ndarray, bits: int = CELL_BITS) -> np.ndarray:
@@ -75,31 +76,75 @@ def grid_cells(texts: list[str | None]) -> np.ndarray:
     return np.clip((y / 4 + 0.5) * (1 << CELL_BITS), 0, (1 << CELL_BITS) - 1).astype(np.int64)
 
 
-@F.pandas_udf(LongType())
-def curve_key(texts: pd.Series) -> pd.Series:
-    """Each text's place on the curve."""
+def curve_places(texts: pd.Series, ties: pd.Series) -> np.ndarray:
+    """Each text's place on the curve, and behind it 31 bits of ``ties``."""
     keys = [hilbert_key(grid_cells(texts.iloc[at : at + 1024].tolist())) for at in range(0, len(texts), 1024)]
-    return pd.Series(np.concatenate(keys) if keys else np.empty(0, np.int64))
+    return (np.concatenate(keys) << 31) | (ties.to_numpy() & 0x7FFFFFFF)
+
+
+def along_curve(docs: DataFrame, partitions: int, sampled: int = 100) -> DataFrame:
+    """``docs`` with ``place`` and ``part``: ranges of the curve that hold about as much text each.
+
+    The bounds come from about ``sampled`` rows a partition, a million at most, and
+    decide the balance alone; copies differ in their tie, so no range is one place.
+    """
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("tie"))
+
+    @F.pandas_udf("long")
+    def place(texts: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(curve_places(texts, ties) if len(texts) else np.empty(0, np.int64))
+
+    wanted = min(sampled * partitions, 1_000_000)
+    share = min(1.0, wanted / max(1, docs.count()))
+    seen = rows.sample(share, seed=17).select(place("text", "tie").alias("place"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).toPandas().sort_values("place")
+    weight = np.cumsum(seen["size"].to_numpy(np.float64) + 64)
+    at = np.searchsorted(weight, weight[-1] * np.arange(1, partitions) / partitions) if len(seen) else []
+    bounds = seen["place"].to_numpy(np.int64)[at]
+
+    @F.pandas_udf("place long, part int")
+    def ranged(texts: pd.Series, ties: pd.Series) -> pd.DataFrame:
+        places = curve_places(texts, ties) if len(texts) else np.empty(0, np.int64)
+        return pd.DataFrame({"place": places, "part": np.searchsorted(bounds, places, "right").astype(np.int32)})
+
+    return rows.withColumn("on", ranged("text", "tie")).select("doc_id", "text", "on.place", "on.part")
 
 
 class WordTokenizer:
-    """Ids of whole texts, word by word: the tokenizer drops white space and never merges across it, so a word's ids don't depend on its neighbours."""
+    """Ids of whole texts, word by word: the tokenizer drops white space and never merges across it, so a word's ids don't depend on its neighbours.
+
+    New words are tokenized many at a time, with a special token between two of them.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
+        self.mark = self.inner.id_to_token(max(self.inner.get_added_tokens_decoder()))
+        self.mark_id = self.inner.token_to_id(self.mark)
         self.known: dict[str, bytes] = {}
 
+    def learn(self, words: list[str]) -> None:
+        # a word that holds a part of a special token's string goes alone, as ordinary text
+        alone = [w for w in words if "<|" in w or "|>" in w]
+        for w, e in zip(alone, self.plain.encode_batch_fast(alone, add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        rest = [w for w in words if w not in self.known]
+        for at in range(0, len(rest), 512):
+            part = rest[at : at + 512]
+            ids = np.array(self.inner.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
+            edges = [0, *(np.flatnonzero(ids == self.mark_id) + 1).tolist(), len(ids) + 1]
+            data = ids.tobytes()
+            self.known.update((w, data[4 * a : 4 * b - 4]) for w, a, b in zip(part, edges, edges[1:]))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_SPACE.split(t) for t in texts]
+        # the tokenizer lower-cases; letters A-Z can be lowered first unless a mark could combine with them
+        split = [_SPACE.split(t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if not _MARK.search(t) else t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for w, e in zip(new, self.inner.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+        self.learn(list({w for words in split for w in words if w not in known}))
         return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
 
 
@@ -174,8 +219,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select("doc_id", "text", curve_key("text").alias("key"), F.xxhash64("doc_id", "text").alias("tie"))
-    ordered = keyed.repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie").select("doc_id", "text")
+    ordered = along_curve(docs, n).repartitionById(n, "part").sortWithinPartitions("place").select("doc_id", "text")
     return ordered.mapInArrow(packer(tokenizer_path, length, end_id), PIECES)
 
 
