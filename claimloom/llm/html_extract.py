@@ -38,6 +38,9 @@ NOISE = frozenset(
     "signup login form search comment comments commentlist disqus respond reply replies share sharing social related recommended pagination pager "
     "toolbar skip legal copyright complementary contentinfo dialog".split()
 )
+#: Names of an article's own parts; beside one, a name of layout alone doesn't mark noise.
+CONTENT = frozenset("article body content entry main post story text".split())
+LAYOUT = frozenset("ad ads banner bottom header legal masthead search share sharing side skip social".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[^a-z0-9]+")
@@ -68,7 +71,9 @@ def _names(rest: str) -> tuple[str, bool]:
             hidden |= (a or b or c).strip().lower() == "true"
         else:
             words += (a or b or c).lower().split()
-    return ".".join(words), hidden or any(w in NOISE for name in words for w in _WORDS.split(name))
+    marks = {w for name in words for w in _WORDS.split(name)}
+    noise = marks & NOISE
+    return ".".join(words), hidden or bool(noise - LAYOUT if marks & CONTENT else noise)
 
 
 def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:

@@ -14,6 +14,7 @@ PAGES = [
     (f"<body><div id='menu'><ul><li><a>One</a><li><a>Two</a></ul></div><div class=content><p>{LONG}</p>\n<p>Two\n  words.&nbsp; x</p></div><div class='comments'><p>{LONG}</p></div><p class='cookie-notice'>We use cookies, yes.</p></body>", f"{LONG}\nTwo words. x"),
     (f"<body><header>Top</header><main><p>{LONG}</p><aside>{LONG}</aside><form><p>Name, please.</p></form><script>var a='<p>no</p>';</script><style>p{{}}</style><!-- <p>no</p> --><p>Last one.</main></body>", f"{LONG}\nLast one."),
     (f"<article><p title='a > b'>{LONG}</p><div class=\"ad\">Buy, now.</div><ul><li>One<li>Two</ul></article>", f"{LONG}\nOne\nTwo"),
+    (f"<article><header class='post-header'><h1>T</h1></header><div class='article-body has-ads'><p>{LONG}</p></div><section class='post-comments'><p>{LONG}</p></section></article>", f"T\n{LONG}"),
     (f"<article><p>{LONG}</p><script>never closed <p>x</p>", LONG),
     (f"<article><p>{LONG}</p><!-- never closed <p>x</p>", LONG),
     ("<article><p>1 &lt; 2 &#233; &eacute; &bogus; a &amp;lt; b</p></article>", "1 < 2 é é &bogus; a &lt; b"),
