@@ -99,18 +99,18 @@ def ngrams(spark, sf_dir):
 
 def _texts(spark, sf_dir):
     """Claims, and edited copies of some of them."""
-    rows = derived.claims(spark, sf_dir).select("id", "speaker", "text", "n")
-    same = rows.where("n % 8 = 0").select(F.concat("id", F.lit("x")).alias("id"), "speaker", "text", "n")
-    near = rows.where("n % 5 = 0").select(F.concat("id", F.lit("y")).alias("id"), "speaker", F.concat("text", F.lit(" additional words follow")).alias("text"), "n")
+    rows = derived.claims(spark, sf_dir).select("id", "project", "speaker", "text", "n")
+    same = rows.where("n % 8 = 0").select(F.concat("id", F.lit("x")).alias("id"), "project", "speaker", "text", "n")
+    near = rows.where("n % 5 = 0").select(F.concat("id", F.lit("y")).alias("id"), "project", "speaker", F.concat("text", F.lit(" additional words follow")).alias("text"), "n")
     return rows.unionByName(same).unionByName(near)
 
 
-_TEXTS = BASE + f", tx as (select id, speaker, text from claims union all select id || 'x', speaker, text from claims where n % 8 = 0 union all select id || 'y', speaker, text || ' additional words follow' from claims where n % 5 = 0), g as (select id, speaker, list_sort({_GRAMS}) as g from tx), h as (select speaker, g, min(id) as head from g where len(g) > 0 group by 1, 2)"
+_TEXTS = BASE + f", tx as (select id, project, speaker, text from claims union all select id || 'x', project, speaker, text from claims where n % 8 = 0 union all select id || 'y', project, speaker, text || ' additional words follow' from claims where n % 5 = 0), g as (select id, project, speaker, list_sort({_GRAMS}) as g from tx), h as (select project, speaker, g, min(id) as head from g where len(g) > 0 group by 1, 2, 3)"
 
 
-@query("jaccard_pairs", _TEXTS + " select a.head as a, b.head as b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 9) as sim from h a join h b on a.speaker = b.speaker and a.head < b.head where 2 * len(list_intersect(a.g, b.g)) > len(list_distinct(list_concat(a.g, b.g)))")
+@query("jaccard_pairs", _TEXTS + " select a.head as a, b.head as b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 9) as sim from h a join h b on a.project = b.project and a.speaker = b.speaker and a.head < b.head where 2 * len(list_intersect(a.g, b.g)) > len(list_distinct(list_concat(a.g, b.g)))")
 def jaccard_pairs(spark, sf_dir):
-    return S.similar_pairs(_texts(spark, sf_dir))[0].withColumn("sim", F.round("sim", 9))
+    return S.similar_pairs(_texts(spark, sf_dir), block=("project", "speaker"))[0].withColumn("sim", F.round("sim", 9))
 
 
 @query("cross_dedup", BASE + f", ex as (select id, speaker, created_at, list_sort({_GRAMS}) as g from claims), nw as (select n as index, speaker, list_sort({_GRAMS}) as g from (select n, speaker, text || ' additional words follow' as text from claims where n % 5 = 0)) select index, first(id order by created_at, id) as id from nw join ex using (speaker) where len(nw.g) > 0 and len(ex.g) > 0 and 2 * len(list_intersect(nw.g, ex.g)) > len(list_distinct(list_concat(nw.g, ex.g))) group by 1")
