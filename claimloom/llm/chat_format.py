@@ -152,3 +152,14 @@ def op4_chat_format(spark, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
     messages = rows.unionByName(own).withColumn("content", text_part(F.col("text")))
     return conversation_digests(format_turns(messages))
+
+
+ORACLE_SQL = r"""
+with r as (select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(10 + length(role) + length(text) + length(regexp_replace(text, '[^\\<\[\]]', '', 'g'))) as bigint) as formatted_chars
+from r group by 1
+"""

@@ -30,4 +30,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_decontaminate": decontaminate.ORACLE_SQL,
+    "op4_chat_format": chat_format.ORACLE_SQL,
+    "op5_rabitq_dedup": rabitq_dedup.ORACLE_SQL,
+    "op8_warc_zstd": warc_zstd.ORACLE_SQL,
 }

@@ -157,3 +157,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, sigmas: float = 6.0
 
 def op5_rabitq_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE_SQL = """
+with recursive v as (select vec_id, label, embedding::double[] as x from embeddings),
+ok as (select * from v where label is not null and x is not null and len(list_filter(x, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(x, lambda c: c <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and len(a.x) = len(b.x) and a.vec_id <> b.vec_id
+  where list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.93),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+least_ as (select a, min(least(a, b)) as c from reach group by 1),
+n as (select a, count(*) as n from links group by 1)
+select vec_id, cast(coalesce(n.n, 0) as bigint) as n_links, coalesce(least_.c, vec_id) as component_id, coalesce(least_.c, vec_id) = vec_id as kept
+from v left join n on n.a = vec_id left join least_ on least_.a = vec_id
+"""

@@ -209,3 +209,12 @@ def archive_pages(pages: DataFrame, folder: str | None = None, revisit_bytes: in
 def op8_warc_zstd(spark, sf_dir: str) -> DataFrame:
     index = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), revisit_bytes=0)
     return read_archives(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL = """
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as s from pages),
+bits as (select *, array_to_string(list_transform(string_split(s, ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][position(c in '0123456789abcdef')]), '') as b from p),
+named as (select page_id, strlen(h) as n, min(page_id) over (partition by s) as head,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: cast(substr(b, 5 * i + j + 1, 1) as integer) * cast(pow(2, 4 - j) as integer)))::integer, 1)), '') as digest from bits)
+select page_id, n as payload_bytes, digest as payload_digest, case when page_id = head then 'response' else 'revisit' end as record_type, case when page_id <> head then head end as refers_to from named
+"""
