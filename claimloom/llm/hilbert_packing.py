@@ -96,10 +96,10 @@ def along_curve(docs: DataFrame, partitions: int, sampled: int = 100) -> DataFra
 
     wanted = min(sampled * partitions, 1_000_000)
     share = min(1.0, wanted / max(1, docs.count()))
-    seen = rows.sample(share, seed=17).select(place("text", "tie").alias("place"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).toPandas().sort_values("place")
-    weight = np.cumsum(seen["size"].to_numpy(np.float64) + 64)
-    at = np.searchsorted(weight, weight[-1] * np.arange(1, partitions) / partitions) if len(seen) else []
-    bounds = seen["place"].to_numpy(np.int64)[at]
+    seen = rows.sample(share, seed=17).select(place("text", "tie").alias("place"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("place").toArrow()
+    weight = np.cumsum(seen.column("size").to_numpy() + 64.0)
+    at = np.searchsorted(weight, weight[-1] * np.arange(1, partitions) / partitions) if len(weight) else []
+    bounds = seen.column("place").to_numpy()[at]
 
     @F.pandas_udf("place long, part int")
     def ranged(texts: pd.Series, ties: pd.Series) -> pd.DataFrame:

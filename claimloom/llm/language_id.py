@@ -51,7 +51,7 @@ def counts_of(text: str | None) -> np.ndarray:
 
 
 def _scaled(counts: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts)
+    x = np.log1p(counts, dtype=np.float32)
     length = np.linalg.norm(x, axis=1, keepdims=True)
     x /= np.where(length > 0, length, 1)
     return np.hstack([x, np.ones((len(x), 1), np.float32)])
@@ -149,12 +149,12 @@ def fit_from(docs: DataFrame, held_out: int = 0, folds: int = 5, max_rows: int =
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([counts_of(t).tobytes() for t in texts])
+        return pd.Series([np.minimum(counts_of(t), 65_000).astype(np.uint16).tobytes() for t in texts])
 
     # at most max_rows keys, so this side is bounded
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
-    rows = sample.select("lang", packed("text").alias("x")).toPandas().sort_values(["lang", "x"]).drop_duplicates()
-    return fit(np.stack([np.frombuffer(x, np.float32) for x in rows["x"]]), rows["lang"].tolist())
+    rows = sample.select("lang", packed("text").alias("x")).toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
+    return fit(np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in rows.column("x")]), rows.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: Fitted | None) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.features import gram_counts
 
-BITS = 11
+BITS = 10
 STYLE = 12
 
 
@@ -75,7 +75,8 @@ def counts_of(text: str | None) -> np.ndarray:
 
 def _scaled(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Trigrams and style each at unit length, so that neither drowns the other."""
-    x = np.log1p(counts) * idf
+    x = np.log1p(counts, dtype=np.float32)
+    x *= idf
     for part in (slice(0, 1 << BITS), slice(1 << BITS, None)):
         length = np.linalg.norm(x[:, part], axis=1, keepdims=True)
         x[:, part] /= np.where(length > 0, length, 1)
@@ -83,11 +84,16 @@ def _scaled(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, rank: int, neighbours: int, power: float) -> Fitted:
+    """The model of a sample's trigram and style counts."""
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    x = _scaled(counts, idf)
-    _, vectors = np.linalg.eigh(x.T @ x)
-    axes = np.ascontiguousarray(vectors[:, ::-1][:, :rank]).astype(np.float32)
-    z = x @ axes
+    blocks = [slice(at, at + 512) for at in range(0, len(counts), 512)]
+    # the sample's second moments, a block of rows at a time
+    moments = np.zeros((counts.shape[1],) * 2, np.float32)
+    for rows in blocks:
+        x = _scaled(counts[rows], idf)
+        moments += x.T @ x
+    axes = np.ascontiguousarray(np.linalg.eigh(moments)[1][:, ::-1][:, :rank]).astype(np.float32)
+    z = np.concatenate([_scaled(counts[rows], idf) @ axes for rows in blocks])
     length = np.linalg.norm(z, axis=1, keepdims=True)
     return Fitted(idf, axes, z / np.where(length > 0, length, 1), labels.astype(np.float32), float(labels.mean()), neighbours, power)
 
@@ -118,14 +124,14 @@ def fit_from(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int =
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([counts_of(t).astype(np.float32).tobytes() for t in texts])
+        return pd.Series([np.minimum(counts_of(t), 65_000).astype(np.uint16).tobytes() for t in texts])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", packed("text").alias("x")).toPandas()
-    if not len(rows):
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", packed("text").alias("x")).toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("x", "ascending")])
+    if not rows.num_rows:
         return None
-    rows = rows.sort_values(["doc_id", "quality", "x"]).drop_duplicates()
-    counts = np.stack([np.frombuffer(x, np.float32) for x in rows["x"]])
-    return fit(counts, rows["quality"].to_numpy(), rank, neighbours, power)
+    counts = np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in rows.column("x")])
+    return fit(counts, rows.column("quality").to_numpy(), rank, neighbours, power)
 
 
 def score(docs: DataFrame, model: Fitted | None) -> Column:

@@ -21,8 +21,11 @@ two that are named are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,31 +119,54 @@ def _link_within(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(src), np.concatenate(dst)
 
 
+def shard_map(values: np.ndarray, counts: np.ndarray, blocks: np.ndarray, reach: int, shard_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which shards each block value goes to, as rows of a compressed matrix, and how many chunks each shard has.
+
+    Row ``block * 65,536 + value`` lists the value's shards, its home among them.
+    """
+    rows, shards, chunks = [], [], []
+    for block in range(BLOCKS):
+        mine = blocks == block
+        of_block, weight = values[mine], counts[mine]
+        for at in vantage_shards(of_block, weight, reach, shard_rows) if len(of_block) else []:
+            rows.append(of_block[at].astype(np.int64) + (block << BLOCK_BITS))
+            shards.append(np.full(len(at), len(chunks), np.int32))
+            chunks.append(-(-int(weight[at].sum()) // shard_rows))
+    if not rows:
+        return np.zeros((BLOCKS << BLOCK_BITS) + 1, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+    row, shard = np.concatenate(rows), np.concatenate(shards)
+    order = np.argsort(row, kind="stable")
+    starts = np.searchsorted(row[order], np.arange((BLOCKS << BLOCK_BITS) + 1))
+    return starts, shard[order], np.array(chunks, np.int32)
+
+
 def links(distinct: DataFrame, radius: int = 4, shard_rows: int = 2048) -> DataFrame:
     """``(src, dst)`` edges that connect exactly the fingerprints (column ``fp``, distinct) within ``radius`` of each other."""
-    spark = distinct.sparkSession
-    reach = radius // BLOCKS
     blocks = F.array(*[F.shiftrightunsigned("fp", BLOCK_BITS * b).bitwiseAND(0xFFFF).cast("int") for b in range(BLOCKS)])
-    dealt = distinct.select("fp", F.posexplode(blocks).alias("block", "value"))
-    counted = dealt.groupBy("block", "value").count().toPandas()
-    places, shard = [], 0
-    for block, part in counted.groupby("block"):
-        values, counts = part["value"].to_numpy(np.uint16), part["count"].to_numpy()
-        for at in vantage_shards(values, counts, reach, shard_rows):
-            chunks = -(-int(counts[at].sum()) // shard_rows)
-            places.append(pd.DataFrame({"block": np.int32(block), "value": values[at].astype(np.int32), "shard": np.int32(shard), "chunks": np.int32(chunks)}))
-            shard += 1
-    if not places:
-        return spark.createDataFrame([], "src long, dst long")
-    # at most 4 x 65,536 values, each in its few shards: bounded whatever the input
-    where = spark.createDataFrame(pd.concat(places), "block int, value int, shard int, chunks int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    sent = (
-        dealt.join(F.broadcast(where), ["block", "value"])
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("fp", "shard", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    )
+    # at most 4 x 65,536 counts, whatever the input
+    counted = distinct.select(F.posexplode(blocks).alias("block", "value")).groupBy("block", "value").count().toArrow()
+    block, value, count = (counted.column(c).to_numpy() for c in ("block", "value", "count"))
+    places = distinct.sparkSession.sparkContext.broadcast(shard_map(value.astype(np.uint16), count, block, radius // BLOCKS, shard_rows))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, shards, chunks = places.value
+        for batch in batches:
+            fps, mixed = batch.column("fp").to_numpy(), batch.column("mixed").to_numpy()
+            for b in range(BLOCKS):
+                row = ((fps.view(np.uint64) >> np.uint64(BLOCK_BITS * b)) & np.uint64(0xFFFF)).astype(np.int64) + (b << BLOCK_BITS)
+                times = starts[row + 1] - starts[row]
+                of = np.repeat(np.arange(len(fps)), times)
+                shard = shards[np.repeat(starts[row] - np.cumsum(times) + times, times) + np.arange(len(of))]
+                # every pair of a shard's chunks is a task; a row goes to all pairs with its own
+                n = chunks[shard]
+                own = np.mod(mixed[of], n)
+                wide = np.repeat(np.arange(len(of)), n)
+                other = np.arange(len(wide)) - np.repeat(np.cumsum(n) - n, n)
+                own = own[wide]
+                columns = (fps[of][wide], shard[wide], np.minimum(own, other).astype(np.int32), np.maximum(own, other).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "shard", "lo", "hi"])
+
+    sent = distinct.select("fp", F.xxhash64("fp").alias("mixed")).mapInArrow(deal, "fp long, shard int, lo int, hi int")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         src, dst = _link_within(np.unique(pdf["fp"].to_numpy()).view(np.uint64), radius)
