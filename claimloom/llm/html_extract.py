@@ -8,7 +8,10 @@ page, fused as their geometric mean, and paths at or above ``threshold`` times t
 page's mean are content. The deepest element that holds nearly all of that content is
 the article, and its blocks make the text, short ones and headings included. Parts
 whose tag, role, class or id names say menu, header, footer, sidebar, notice, advert,
-form or reader comments are never content.
+form or reader comments are never content. What a role, class, id, aria-hidden or form
+says drops nothing where it stands on a wrapper of the page: around its article or main
+element, or most of its unlinked text (around its first h1 or all of that text, if it
+says comments).
 
 Defined results: null, empty or text-free html gives an empty text. Unclosed tags end
 with their parents; unclosed comments, scripts and styles run to the end. Repeated
@@ -41,8 +44,12 @@ NOISE = frozenset(
 #: Names of an article's own parts; beside one, a name of layout alone doesn't mark noise.
 CONTENT = frozenset("article body content entry main post story text".split())
 LAYOUT = frozenset("ad ads banner bottom header legal masthead search share sharing side skip social".split())
+#: Names of what readers wrote, which may be longer than the article.
+READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: First words of names that tell what an element has, not what it is.
+STATES = frozenset("has with without no not".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>"']+)))?|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)""")
 _WORDS = re.compile(r"[^a-z0-9]+")
 _SIGNS = re.compile(r"[.,;:!?…。、！？]")
 
@@ -61,19 +68,50 @@ class Block(NamedTuple):
     linked: int
 
 
-def _names(rest: str) -> tuple[str, bool]:
-    """The class, id and role of a tag as one string, and whether they mark noise."""
-    words, hidden = [], False
-    for key, a, b, c in _NAMES.findall(rest):
-        if key.lower() == "hidden" and not (a or b or c).strip():
-            hidden = True
-        elif key.lower() == "aria-hidden":
-            hidden |= (a or b or c).strip().lower() == "true"
-        else:
-            words += (a or b or c).lower().split()
-    marks = {w for name in words for w in _WORDS.split(name)}
-    noise = marks & NOISE
-    return ".".join(words), hidden or bool(noise - LAYOUT if marks & CONTENT else noise)
+def _names(rest: str) -> tuple[str, frozenset[str], bool]:
+    """The class, id and role of a tag as one string, the words in them that mark noise, and whether the tag is hidden."""
+    words, marks, hidden = [], set(), False
+    for key, a, b, c in _ATTRIBUTE.findall(rest):
+        key, value = key.lower(), (a or b or c).strip().lower()
+        if key == "hidden":
+            hidden |= value in ("", "hidden")
+        elif key == "aria-hidden" and value == "true":
+            marks.add(key)
+        elif key in ("class", "id", "role"):
+            words += value.split()
+    parts = [p for p in map(_WORDS.split, words) if p[0] not in STATES]
+    said = {w for p in parts for w in p}
+    noise = said & NOISE
+    return ".".join(words), frozenset(marks | (noise - LAYOUT if said & CONTENT else noise)), hidden
+
+
+def _waived(blocks: list[Block], tags: dict[int, str], marked: dict[int, frozenset[str]]) -> set[int]:
+    """Marked elements that are wrappers of the page, so that their marks drop nothing."""
+    weight: dict[int, int] = defaultdict(int)
+    above: dict[int, tuple[int, ...]] = {}
+    for b in blocks:
+        for d, e in enumerate(b.parents):
+            weight[e] += len(b.text) - b.linked
+            if e not in above:
+                above[e] = b.parents[:d]
+    total = sum(len(b.text) - b.linked for b in blocks)
+    title = next((above[e] for b in blocks for e in b.parents if tags[e] == "h1"), ())
+    out = set()
+    for e in marked:
+        if marked[e] & READERS:
+            if weight[e] and (e in title or weight[e] == total):
+                out.add(e)
+        elif 2 * weight[e] > total:
+            out.add(e)
+    by_tag = {name: [e for e in above if tags[e] == name] for name in ("main", "article")}
+    for e in by_tag["main"]:
+        out.update(above[e])
+    if not by_tag["main"]:
+        drops = {e: [m for m in above[e] if m in marked and m not in out] for e in by_tag["article"]}
+        if drops and all(drops.values()):
+            own = [e for e in drops if not any(marked[m] & READERS for m in drops[e])]
+            out.update(above[max(own, key=lambda e: weight[e])] if own else ())
+    return out & marked.keys()
 
 
 def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
@@ -81,6 +119,7 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
     stack: list[Element] = []
     out: list[Block] = []
     tags: dict[int, str] = {}
+    marked: dict[int, frozenset[str]] = {}
     text: list[str] = []
     linked = at = number = 0
 
@@ -138,16 +177,19 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
                         break
                     if stack[i].name not in INLINE:
                         break
-        called, noise = _names(m["rest"])
+        called, marks, hidden = _names(m["rest"])
         in_article = any(e.name in ("article", "main") for e in stack)
-        noise |= name in DROPPED or (name == "header" and not in_article)
-        if name in ("html", "body", "article", "main", "h1", "h2", "h3"):
-            noise = noise and "hidden" in m["rest"].lower()
+        noise = hidden or (name in DROPPED and name != "form") or (name == "header" and not in_article)
         number += 1
         tags[number] = name
+        if name == "form":
+            marks |= {"form"}
+        if marks and name not in ("html", "body", "article", "main", "h1", "h2", "h3"):
+            marked[number] = marks
         stack.append(Element(name, f"{name}.{called}" if called else name, number, noise))
     flush()
-    return out, tags
+    dropping = marked.keys() - _waived(out, tags, marked)
+    return [b for b in out if dropping.isdisjoint(b.parents)], tags
 
 
 def path_scores(blocks: list[Block], smoothing: int = 1) -> list[float]:

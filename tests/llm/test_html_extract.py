@@ -22,6 +22,26 @@ PAGES = [
 ]
 
 
+#: Wrappers of whole pages whose names or attributes look like noise, and noise beside or in them.
+REST = f"<div class='sidebar'><p>{LONG}</p></div>"
+WRAPPED = [
+    (f"<body style='overflow:hidden'><div style=\"overflow:hidden\"><p>{LONG}</p></div></body>", LONG),
+    (f"<body><main title='the hidden side'><p data-id=\"ad-1\">{LONG}</p></main></body>", LONG),
+    (f"<body><div data-note='x class=ad'><p>{LONG}</p></div><div hidden><p>{LONG}</p></div></body>", LONG),
+    (f"<body><div class='layout has-sidebar'><p>{LONG}</p>{REST}</div></body>", LONG),
+    (f"<body><div id=page class='sidebar-page'><article><h1>T</h1><p>{LONG}</p></article>{REST}{REST}</div>{REST * 4}</body>", f"T\n{LONG}"),
+    (f"<body><form id=aspnetForm action=x><div class=content><p>{LONG}</p><p>{LONG}</p></div><form class=search><p>Find, here.</p></form></form></body>", f"{LONG}\n{LONG}"),
+    (f"<body><div id=page class='with-nav' aria-hidden=true><main><p>{LONG}</p></main></div></body>", LONG),
+    (f"<body><div class=post><h1>T</h1><p>{LONG}</p></div><div class=comments>{f'<p>{LONG}</p>' * 3}</div></body>", f"T\n{LONG}"),
+    (f"<body><article><p>{LONG}</p></article><div class=related><article><p>{LONG}</p></article></div></body>", LONG),
+]
+
+
+@pytest.mark.parametrize("page,text", WRAPPED)
+def test_wrappers(page, text):
+    assert main_text(page) == text
+
+
 @pytest.mark.parametrize("page,text", PAGES)
 def test_pages(page, text):
     assert main_text(page) == text
