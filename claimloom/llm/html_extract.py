@@ -5,8 +5,10 @@ names included), its length, punctuation and linked length. Per path the text le
 and the punctuation are summed and divided by the path's nodes, and discounted by the
 share of linked text; the two ratios are smoothed over neighbouring blocks of the
 page, fused as their geometric mean, and paths at or above ``threshold`` times the
-page's mean are content. The deepest element that holds nearly all of that content is
-the article, and its blocks make the text, short ones and headings included. Parts
+page's mean are content. The article is the article or main elements that hold content;
+where there are none, it is the deepest element that holds all content blocks and the
+headings before the first of them, with the paragraphs, headings and lists that stand
+free beside it or its parents. All its blocks make the text, short ones included. Parts
 whose tag, role, class or id names say menu, header, footer, sidebar, notice, advert,
 form or reader comments are never content. What a role, class, id, aria-hidden or form
 says drops nothing where it stands on a wrapper of the page: around its article or main
@@ -34,6 +36,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video".split())
 DROPPED = RAW | frozenset("head nav footer aside form button select textarea option dialog menu input".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold running text, and stand free if no other element parts them from the article's parents.
+FLOW = INLINE | HEADINGS | frozenset("p blockquote pre ul ol li dl dt dd figure figcaption".split())
 #: Names that mark a part as no content, as whole words of a class, id or role.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
@@ -208,30 +213,38 @@ def path_scores(blocks: list[Block], smoothing: int = 1) -> list[float]:
     return out
 
 
-def main_text(page: str | None, threshold: float = 0.5, holds: float = 0.9) -> str:
+def main_text(page: str | None, threshold: float = 0.5) -> str:
     """The article's text: blocks joined by a line feed."""
     blocks, tags = blocks_of(page or "")
     if not blocks:
         return ""
     scores = path_scores(blocks)
     least = threshold * sum(scores) / len(scores)
-    content = [b for b, s in zip(blocks, scores) if s >= least]
-    weight, total, depth = defaultdict(int), sum(len(b.text) for b in content), {}
-    for b in content:
-        for d, e in enumerate(b.parents):
-            weight[e] += len(b.text)
-            depth[e] = d
-    articles = [e for e in weight if tags[e] in ("article", "main")]
+    scored = [(b, s >= least) for b, s in zip(blocks, scores)]
+    articles = {e for b, good in scored if good for e in b.parents if tags[e] in ("article", "main")}
     if articles:
         # the element that says so; several articles on a page all count, unless one is inside another
-        inside = {e for b in content for e in b.parents if e in articles}
-        return "\n".join(b.text for b in blocks if inside.intersection(b.parents))
-    holders = [e for e in weight if weight[e] >= holds * total and tags[e] not in INLINE | {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6"}]
-    if not holders:
-        return "\n".join(b.text for b in content)
-    best = max(holders, key=lambda e: depth[e])
-    # link lists among the article's parts are menus
-    return "\n".join(b.text for b in blocks if best in b.parents and b.linked < 0.8 * len(b.text))
+        return "\n".join(b.text for b in blocks if articles.intersection(b.parents))
+    # link lists among the article's parts are menus, unless the page is nothing else
+    scored = [(b, good) for b, good in scored if b.linked < 0.8 * len(b.text)] or scored
+    first = next((i for i, (_, good) in enumerate(scored) if good), len(scored))
+    held = [b for i, (b, good) in enumerate(scored) if good or (i < first and any(tags[e] in HEADINGS for e in b.parents))]
+    holder = held[0].parents if held else ()
+    for b in held:
+        holder = holder[: _shared(holder, b.parents)]
+    while holder and tags[holder[-1]] in FLOW:
+        holder = holder[:-1]
+
+    def belongs(b: Block) -> bool:
+        shared = _shared(holder, b.parents)
+        return shared == len(holder) or all(tags[e] in FLOW for e in b.parents[shared:])
+
+    return "\n".join(b.text for b, _ in scored if belongs(b))
+
+
+def _shared(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+    """How many parents two places have in common."""
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
 def extracted(column: str = "html", threshold: float = 0.5) -> Column:

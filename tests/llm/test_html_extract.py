@@ -42,6 +42,24 @@ def test_wrappers(page, text):
     assert main_text(page) == text
 
 
+#: Pages without article or main whose title, lead or end stand outside the element of the long text.
+BODY = f"<div class=post-content>{f'<p>{LONG}</p>' * 12}</div>"
+TEXT = "\n".join([LONG] * 12)
+OUTSIDE = [
+    ("<p><a href=x>Only a link.</a></p>", "Only a link."),
+    (f"<div class=post><h1>Title</h1><p>Lead.</p>{BODY}<p>Short end.</p></div>", f"Title\nLead.\n{TEXT}\nShort end."),
+    (f"<body><div class=top><a href=/>Home</a></div><div class=post><p>Lead.</p>{BODY}<p>Short end.</p></div><div>Small print</div></body>", f"Lead.\n{TEXT}\nShort end."),
+    (f"<body><h2>Title</h2>{BODY}<ul><li>Last</ul><div class=footer>{LONG}</div></body>", f"Title\n{TEXT}\nLast"),
+    (f"<h1>T</h1><p>A.</p><p>{LONG}</p><h2>U</h2><p>B</p><p>{LONG}</p><p>C</p>", f"T\nA.\n{LONG}\nU\nB\n{LONG}\nC"),
+    (f"<body><div><h1>T</h1></div><div><div><p>{LONG}</p></div><div><p>Short.</p></div><div><p>{LONG}</p></div></div></body>", f"T\n{LONG}\nShort.\n{LONG}"),
+]
+
+
+@pytest.mark.parametrize("page,text", OUTSIDE)
+def test_parts_outside(page, text):
+    assert main_text(page) == text
+
+
 @pytest.mark.parametrize("page,text", PAGES)
 def test_pages(page, text):
     assert main_text(page) == text
