@@ -101,11 +101,8 @@ def window_hits(docs: DataFrame, bench: DataFrame, window: int = 13, block_rows:
     return inside.where(same).select("doc_id", "key", start.alias("start"), "len", "item_ids")
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, min_share: tuple[int, int] = (1, 20)) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, item_ids, contaminated``.
-
-    A row is contaminated if hit words are at least ``min_share`` (a fraction) of its words.
-    """
+def _judged(docs: DataFrame, bench: DataFrame, window: int, min_share: tuple[int, int]) -> DataFrame:
+    """``contamination`` with ``key``, a hash of the text, beside each id."""
     per_doc = (
         window_hits(docs, bench, window)
         .groupBy(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"))
@@ -120,7 +117,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, min_share
     part, whole = min_share
     joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
     return joined.select(
-        "doc_id", "n_words",
+        "doc_id", "key", "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.when(F.col("item_ids").isNull(), 0).otherwise(F.size("item_ids")).cast("long").alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
@@ -128,10 +125,18 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, min_share
     )
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = 13) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = contamination(docs, bench, window).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, min_share: tuple[int, int] = (1, 20)) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, item_ids, contaminated``.
+
+    A row is contaminated if hit words are at least ``min_share`` (a fraction) of its words.
+    """
+    return _judged(docs, bench, window, min_share).drop("key")
+
+
+def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = 13, min_share: tuple[int, int] = (1, 20)) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns; each text under an id, or under none, for itself."""
+    bad = _judged(docs, bench, window, min_share).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_key")), "left_anti")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.plans.components import connected_components
@@ -57,15 +57,15 @@ def simhash(text: str | None, shingle_words: int = 4) -> int:
     return int(np.packbits(ones * 2 > grams, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
-    """``(doc_id, fp)``: each row's fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, more: tuple[Column, ...] = ()) -> DataFrame:
+    """``(doc_id, fp)``: each row's fingerprint as a signed long, with the columns ``more`` after it."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         out = np.fromiter((simhash(t, shingle_words) for t in texts), np.uint64, len(texts))
         return pd.Series(out.view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("fp"), *more)
 
 
 def vantage_shards(values: np.ndarray, counts: np.ndarray, radius: int, shard_rows: int) -> list[np.ndarray]:
@@ -175,21 +175,35 @@ def links(distinct: DataFrame, radius: int = 4, shard_rows: int = 2048) -> DataF
     return sent.groupBy("shard", "lo", "hi").applyInPandas(link, "src long, dst long").distinct()
 
 
+def _rooted(heads: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """``heads`` (fp, head; one row a fingerprint) with ``root``, which the fingerprints of a component share."""
+    roots = connected_components(links(heads.select("fp"), radius, shard_rows))
+    return heads.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "head", F.coalesce("component", "fp").alias("root"))
+
+
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle_words: int = 4, shard_rows: int = 2048) -> DataFrame:
     """``(doc_id, fp, component_id)`` per row: the smallest id reachable over links of at most ``radius`` bits."""
     prints = stage(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints").df
     heads = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("head")), "fingerprint-heads").df
-    roots = connected_components(links(heads.select("fp"), radius, shard_rows))
-    rooted = heads.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "head", F.coalesce("component", "fp").alias("root"))
+    rooted = _rooted(heads, radius, shard_rows)
     least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicate class (repeated rows of it stay)."""
-    kept = simhash_classes(docs, radius=radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+def keep_one_of_each(docs: DataFrame, radius: int = 4, shard_rows: int = 2048) -> DataFrame:
+    """One row of ``docs`` of each near-duplicate class: that of the smallest id, nulls last.
+
+    Of several under that id, or of none with an id, the one of the least hash of its text,
+    then of the row, stays. Rows equal in all columns are kept or dropped alike.
+    """
+    key, row = F.xxhash64("text"), F.xxhash64(*docs.columns)
+    prints = stage(fingerprints(docs, more=(key.alias("key"), row.alias("row"))), "fingerprints").df
+    place = F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "key", "row")
+    heads = stage(prints.groupBy("fp").agg(F.min(place).alias("head")), "fingerprint-heads").df
+    first = _rooted(heads, radius, shard_rows).groupBy("root").agg(F.min("head").alias("head"))
+    kept = first.select(F.col("head.doc_id").alias("_kept_id"), F.col("head.key").alias("_kept_key"), F.col("head.row").alias("_kept_row"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (key == F.col("_kept_key")) & (row == F.col("_kept_row")), "left_semi")
 
 
 def op10_simhash_vptree(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the smallest id."""
+    """One document of each near-duplicate group stays: that of the smallest id, or one of those without ids."""
     return simhash_vptree.keep_one_of_each(docs)
 
 

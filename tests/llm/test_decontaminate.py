@@ -54,6 +54,15 @@ def test_against_brute_force(spark):
     check(spark, docs, bench)
 
 
+def test_drops_only_contaminated_rows(spark):
+    bad, clean = " ".join("b%d" % i for i in range(20)), "clean words that no benchmark has"
+    rows = [(None, bad), (None, clean), (None, None), (1, bad), (1, clean), (1, bad), (2, clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, bad)], "item_id long, text string")
+    got = [tuple(r) for r in dc.drop_contaminated(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted([r for r in rows if r[1] != bad], key=str)
+
+
 def test_empty_tables(spark):
     check(spark, [(1, "some words here")], [])
     check(spark, [], [(1, "some words here")])

@@ -78,6 +78,19 @@ def test_documents(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted([i for i, _, _ in rows if want[i] == i])
 
 
+def test_one_of_each_without_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(rng.choices(["w%d" % i for i in range(300)], k=120)) for _ in range(4))
+    # a: numbered and not; b: no ids at all, from two sources; c: under the kept id 1 too, but its class has 0; d: alone under id 1
+    rows = [(1, a, "s"), (None, a, "s"), (None, b, "s"), (None, b, "t"), (1, c, "s"), (0, c, "s"), (None, c, "s"), (1, d, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in sv.keep_one_of_each(docs).collect()]
+    assert len(got) == 4 and {r[:2] for r in got} == {(1, a), (None, b), (0, c), (1, d)}
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in sv.keep_one_of_each(docs.orderBy("source", "text")).collect())
+    twice = sv.keep_one_of_each(docs.where("doc_id = 1").union(docs.where("doc_id = 1"))).collect()
+    assert sorted(r["text"] for r in twice) == sorted([a, a, c, c, d, d])
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sv.simhash_classes(docs).count() == 0
