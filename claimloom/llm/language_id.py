@@ -21,6 +21,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimloom.llm.features import gram_counts
 
@@ -135,24 +136,22 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def fit_from(docs: DataFrame, held_out: int = 0, folds: int = 5, max_rows: int = 6000) -> Fitted | None:
-    """The models of at most ``max_rows`` rows outside the held-out fold, in the order of a hash, each language in its turn."""
+    """The models of at most ``max_rows`` ids outside the held-out fold, one text (the least) of each, in the order of a hash, each language in its turn."""
     known = docs.where("lang is not null and doc_id is not null and text is not null").where(fold("doc_id", folds) != held_out)
     counted = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
     if not counted:
         return None
     each = max_rows // len(counted)
-    keys = known.select("doc_id", "lang")
-    chosen = None
-    for (lang, _) in counted:
-        part = keys.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    keys = known.where(F.col("lang").isin([r["lang"] for r in counted])).select("doc_id", "lang").distinct()
+    chosen = keys.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= each).select("doc_id", "lang")
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
         return pd.Series([np.minimum(counts_of(t), 65_000).astype(np.uint16).tobytes() for t in texts])
 
-    # at most max_rows keys, so this side is bounded
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
+    # at most max_rows keys, so this side is bounded; one text a key, so the rows fetched are too
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = sample.select("lang", packed("text").alias("x")).toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
     return fit(np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in rows.column("x")]), rows.column("lang").to_pylist())
 

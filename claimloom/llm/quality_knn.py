@@ -118,7 +118,7 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def fit_from(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4, max_labelled: int = 4000, rank: int = 48, neighbours: int = 25, power: float = 8.0) -> Fitted | None:
-    """The model of at most ``max_labelled`` labelled rows outside the held-out fold; None if there are none."""
+    """The model of at most ``max_labelled`` labelled ids outside the held-out fold, one text (the least) of each; None if there are none."""
     known = labels.where("quality is not null and doc_id is not null").where(fold("doc_id", folds) != held_out).select("doc_id", "quality").distinct()
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
 
@@ -126,7 +126,9 @@ def fit_from(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int =
     def packed(texts: pd.Series) -> pd.Series:
         return pd.Series([np.minimum(counts_of(t), 65_000).astype(np.uint16).tobytes() for t in texts])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", packed("text").alias("x")).toArrow()
+    # one text an id, so that the rows fetched are at most max_labelled however often an id is repeated
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", packed("text").alias("x")).toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("x", "ascending")])
     if not rows.num_rows:
         return None

@@ -55,3 +55,23 @@ def test_language(spark):
     empty = docs.limit(0)
     assert language_id.fit_from(empty) is None
     assert docs.select(language_id.identify(docs, None)["lang"].alias("l")).where("l <> 'und'").count() == 0
+
+
+def test_repeated_ids_count_once(spark):
+    rng = random.Random(4)
+    rows = [(i, sentence(rng, SYLLABLES["en" if i % 2 else "de"]), "en" if i % 2 else "de") for i in range(60)]
+    copies = [rows[7]] * 500 + [(7, f"zz other text {i}", "en") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    once, often = (spark.createDataFrame(r, "doc_id long, text string, lang string") for r in (rows, rows + copies))
+    quality = [quality_knn.fit_from(d, labels, held_out=9) for d in (once, often)]
+    assert len(quality[0].vectors) == len(quality[1].vectors) == 60
+    assert (quality[0].vectors == quality[1].vectors).all()
+    assert len(quality_knn.fit_from(often, labels, held_out=9, max_labelled=20).vectors) == 20
+    seen = []
+    fit, language_id.fit = language_id.fit, lambda counts, names: seen.append((counts.tolist(), names)) or fit(counts, names)
+    try:
+        for d in (once, often):
+            language_id.fit_from(d, held_out=9, max_rows=40)
+    finally:
+        language_id.fit = fit
+    assert seen[0] == seen[1] and sorted(seen[0][1]) == ["de"] * 20 + ["en"] * 20
