@@ -1,30 +1,36 @@
 """HTML main-text extraction by tag-path ratios.
 
 A page is read into text blocks, each with its root-to-leaf tag path (class and id
-names included), its length, punctuation and linked length. Per path the text length
-and the punctuation are summed and divided by the path's nodes, and discounted by the
-share of linked text; the two ratios are smoothed over neighbouring blocks of the
-page, fused as their geometric mean, and paths at or above ``threshold`` times the
-page's mean are content. The article is the article or main elements that hold content;
-where there are none, it is the deepest element that holds all content blocks and the
-headings before the first of them, with the paragraphs, headings and lists that stand
-free beside it or its parents. All its blocks make the text, short ones included. Parts
-whose tag, role, class or id names say menu, header, footer, sidebar, notice, advert,
-form or reader comments are never content. What a role, class, id, aria-hidden or form
-says drops nothing where it stands on a wrapper of the page: around its article or main
-element, or most of its unlinked text (around its first h1 or all of that text, if it
-says comments).
-
-Defined results: null, empty or text-free html gives an empty text. Unclosed tags end
-with their parents; unclosed comments, scripts and styles run to the end. Repeated
-rows are extracted alike. Other columns are ignored.
+names included), its length, punctuation and linked length. Per path the unlinked text
+length and the punctuation are summed over the page and divided by the path's nodes.
+The two ratios are smoothed over neighbouring blocks, the less the further apart their
+paths branch, and fused as their geometric mean, times the path's share of unlinked
+text. What tags and names say is one more factor: tags, classes, ids and roles of
+menus, headers, footers, sidebars, notices, adverts, forms or reader comments weigh a
+path down by ``doubt`` (once), unless they stand on a wrapper of the page: around its
+article or main element or, without one, most of its unlinked text (around its first h1
+or all of that text, if they say comments). What stands outside article and main
+elements that hold a third of the unlinked text is weighed down as well. Inside them an
+id is an anchor, and casts doubt only if all its words do.
+
+Paths at or above ``threshold`` times the page's mean, which takes every block by its
+weight, are content nodes, and they alone choose the region: the least element that
+holds all of them and the headings before the first of them, widened to the article or
+main elements in which they stand. Blocks of the region that are neither content nodes
+nor doubtful (weighed down, or mostly links) belong to it, short ones included; so do
+paragraphs, headings and lists that stand free beside it or its parents.
+
+Defined results: null, empty or text-free html gives an empty text. Hidden elements
+are no text. Unclosed tags end with their parents; unclosed comments, scripts and
+styles run to the end. Work is linear in a page's length, however deep it nests.
+Repeated rows are extracted alike. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from typing import NamedTuple
 
 import pandas as pd
@@ -60,88 +66,142 @@ _SIGNS = re.compile(r"[.,;:!?…。、！？]")
 
 
 class Element(NamedTuple):
+    """An element of the page; ``path`` numbers its tag path, on which inline elements are no step."""
+
     name: str
-    step: str
     number: int
-    noise: bool
+    path: int
+    linked: bool
+    in_article: bool
+    doubted: bool
+    hidden: bool
 
 
 class Block(NamedTuple):
     text: str
-    path: str
-    parents: tuple[int, ...]
+    path: int
+    parent: int
     linked: int
 
 
-def _names(rest: str) -> tuple[str, frozenset[str], bool]:
-    """The class, id and role of a tag as one string, the words in them that mark noise, and whether the tag is hidden."""
-    words, marks, hidden = [], set(), False
+class Page(NamedTuple):
+    """A page's text blocks in order, and its elements and paths by number (0 stands above all); parents precede children."""
+
+    blocks: list[Block]
+    tags: list[str]
+    above: list[int]
+    article: list[int]
+    doubted: list[bool]
+    path_above: list[int]
+    path_depth: list[int]
+
+
+def _names(rest: str, in_article: bool = False) -> tuple[str, frozenset[str], bool]:
+    """The class, id and role of a tag as one string, the words in them that cast doubt, and whether the tag is hidden."""
+    words, anchors, marks, hidden = [], [], set(), False
     for key, a, b, c in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), (a or b or c).strip().lower()
         if key == "hidden":
             hidden |= value in ("", "hidden")
         elif key == "aria-hidden" and value == "true":
             marks.add(key)
+        elif key == "id" and in_article and not all(w in NOISE or not w.isalpha() for w in _WORDS.split(value)):
+            anchors += value.split()
         elif key in ("class", "id", "role"):
             words += value.split()
     parts = [p for p in map(_WORDS.split, words) if p[0] not in STATES]
     said = {w for p in parts for w in p}
     noise = said & NOISE
-    return ".".join(words), frozenset(marks | (noise - LAYOUT if said & CONTENT else noise)), hidden
+    return ".".join(words + anchors), frozenset(marks | (noise - LAYOUT if said & CONTENT else noise)), hidden
 
 
-def _waived(blocks: list[Block], tags: dict[int, str], marked: dict[int, frozenset[str]]) -> set[int]:
-    """Marked elements that are wrappers of the page, so that their marks drop nothing."""
-    weight: dict[int, int] = defaultdict(int)
-    above: dict[int, tuple[int, ...]] = {}
+def _waived(blocks: list[Block], tags: list[str], above: list[int], doubted: list[bool], marked: dict[int, frozenset[str]]) -> set[int]:
+    """Marked elements that are wrappers of the page, so that their marks cast no doubt."""
+    weight = [0] * len(tags)
+    shown = [False] * len(tags)
     for b in blocks:
-        for d, e in enumerate(b.parents):
-            weight[e] += len(b.text) - b.linked
-            if e not in above:
-                above[e] = b.parents[:d]
-    total = sum(len(b.text) - b.linked for b in blocks)
-    title = next((above[e] for b in blocks for e in b.parents if tags[e] == "h1"), ())
+        shown[b.parent] = True
+        if not doubted[b.parent]:
+            weight[b.parent] += len(b.text) - b.linked
+    for e in range(len(tags) - 1, 0, -1):
+        weight[above[e]] += weight[e]
+        shown[above[e]] |= shown[e]
+
+    def parents(e: int) -> list[int]:
+        out = []
+        while e := above[e]:
+            out.append(e)
+        return out
+
+    articles = [e for e in range(1, len(tags)) if tags[e] in ("article", "main") and shown[e]]
+    title = next((e for e in range(1, len(tags)) if tags[e] == "h1" and shown[e]), 0)
+    around_title = set(parents(title)) if title else set()
     out = set()
     for e in marked:
         if marked[e] & READERS:
-            if weight[e] and (e in title or weight[e] == total):
+            if weight[e] and (e in around_title or weight[e] == weight[0]):
                 out.add(e)
-        elif 2 * weight[e] > total:
+        elif 2 * weight[e] > weight[0] and not articles:
             out.add(e)
-    by_tag = {name: [e for e in above if tags[e] == name] for name in ("main", "article")}
-    for e in by_tag["main"]:
-        out.update(above[e])
-    if not by_tag["main"]:
-        drops = {e: [m for m in above[e] if m in marked and m not in out] for e in by_tag["article"]}
-        if drops and all(drops.values()):
-            own = [e for e in drops if not any(marked[m] & READERS for m in drops[e])]
-            out.update(above[max(own, key=lambda e: weight[e])] if own else ())
+    mains = [e for e in articles if tags[e] == "main"]
+    if mains:
+        wrapping: set[int] = set()
+        for e in mains:
+            while (e := above[e]) and e not in wrapping:
+                wrapping.add(e)
+        return (out | wrapping) & marked.keys()
+    # marked elements around each article, by the nearest one: followed from there upwards
+    nearest = [0] * len(tags)
+    barred = [False] * len(tags)
+    read = [False] * len(tags)
+    for e in range(1, len(tags)):
+        up = above[e]
+        mine = up in marked and up not in out
+        nearest[e] = up if mine else nearest[up]
+        barred[e] = mine or barred[up]
+        read[e] = read[up] or (mine and bool(marked[up] & READERS))
+    if articles and all(barred[e] for e in articles):
+        own = [e for e in articles if not read[e]]
+        out.update(parents(max(own, key=lambda e: weight[e])) if own else ())
     return out & marked.keys()
 
 
-def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
-    """Text blocks outside noise, in page order, and the names of their parent elements by number."""
-    stack: list[Element] = []
-    out: list[Block] = []
-    tags: dict[int, str] = {}
+def read_page(page: str, share: float = 1 / 3) -> Page:
+    """The text blocks of a page, in page order, hidden elements left out.
+
+    What stands outside article and main elements is in doubt where they hold at least
+    ``share`` of the unlinked text that nothing else casts doubt on.
+    """
+    root = Element("", 0, 0, False, False, False, False)
+    stack: list[Element] = [root]
+    open_names: Counter[str] = Counter()
+    blocks: list[Block] = []
+    tags, above, own_doubt = [""], [0], [False]
+    path_above, path_depth, paths = [0], [0], {}
     marked: dict[int, frozenset[str]] = {}
     text: list[str] = []
-    linked = at = number = 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal text, linked
-        joined = " ".join("".join(text).split())
-        if joined and not any(e.noise for e in stack):
-            out.append(Block(joined, "/".join(e.step for e in stack if e.name not in INLINE), tuple(e.number for e in stack), linked))
-        text, linked = [], 0
+        if text:
+            joined = " ".join("".join(text).split())
+            if joined and not stack[-1].hidden:
+                blocks.append(Block(joined, stack[-1].path, stack[-1].number, min(linked, len(joined))))
+            text, linked = [], 0
 
     def add(raw: str) -> None:
         nonlocal linked
         if raw:
             text.append(html.unescape(raw))
-            if any(e.name == "a" for e in stack):
+            if stack[-1].linked:
                 linked += len(text[-1])
 
+    def cut(i: int) -> None:
+        for e in stack[i:]:
+            open_names[e.name] -= 1
+        del stack[i:]
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         if not m:
@@ -157,13 +217,15 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
         if name not in INLINE:
             flush()
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == name:
-                    flush() if any(e.name not in INLINE for e in stack[i:]) else None
-                    del stack[i:]
-                    break
-                if stack[i].name in ("article", "main", "body") and name in INLINE | {"p", "li"}:
-                    break
+            if open_names[name]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].name == name:
+                        if any(e.name not in INLINE for e in stack[i:]):
+                            flush()
+                        cut(i)
+                        break
+                    if stack[i].name in ("article", "main", "body") and name in INLINE | {"p", "li"}:
+                        break
             continue
         if name in RAW and not m["rest"].endswith("/"):
             close = re.compile(rf"</{name}\s*(?:>|\Z)", re.I).search(page, at)
@@ -176,78 +238,146 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
         if name not in INLINE:
             # a new block ends an open paragraph; an item or cell ends its elder sibling
             for closing in ("p", name if name in ("li", "dt", "dd", "tr", "td", "th", "option") else "p"):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].name == closing:
-                        del stack[i:]
-                        break
-                    if stack[i].name not in INLINE:
-                        break
-        called, marks, hidden = _names(m["rest"])
-        in_article = any(e.name in ("article", "main") for e in stack)
-        noise = hidden or (name in DROPPED and name != "form") or (name == "header" and not in_article)
-        number += 1
-        tags[number] = name
+                if open_names[closing]:
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i].name == closing:
+                            cut(i)
+                            break
+                        if stack[i].name not in INLINE:
+                            break
+        up = stack[-1]
+        called, marks, hidden = _names(m["rest"], up.in_article)
+        number = len(tags)
+        tags.append(name)
+        above.append(up.number)
+        own_doubt.append((name in DROPPED and name != "form") or (name == "header" and not up.in_article))
         if name == "form":
             marks |= {"form"}
         if marks and name not in ("html", "body", "article", "main", "h1", "h2", "h3"):
             marked[number] = marks
-        stack.append(Element(name, f"{name}.{called}" if called else name, number, noise))
+        path = up.path
+        if name not in INLINE:
+            step = (up.path, f"{name}.{called}" if called else name)
+            path = paths.setdefault(step, len(path_above))
+            if path == len(path_above):
+                path_above.append(up.path)
+                path_depth.append(path_depth[up.path] + 1)
+        stack.append(Element(name, number, path, up.linked or name == "a", up.in_article or name in ("article", "main"), up.doubted or own_doubt[-1], up.hidden or hidden))
+        open_names[name] += 1
     flush()
-    dropping = marked.keys() - _waived(out, tags, marked)
-    return [b for b in out if dropping.isdisjoint(b.parents)], tags
-
-
-def path_scores(blocks: list[Block], smoothing: int = 1) -> list[float]:
-    """Each block's fused ratio: geometric mean of its path's smoothed text and punctuation ratios."""
-    length, signs, nodes = defaultdict(float), defaultdict(float), defaultdict(int)
-    for b in blocks:
+    doubted = own_doubt[:]
+    for e in range(1, len(tags)):
+        doubted[e] |= doubted[above[e]]
+    for e in marked.keys() - _waived(blocks, tags, above, doubted, marked):
+        own_doubt[e] = True
+    doubted = own_doubt
+    for e in range(1, len(tags)):
+        doubted[e] |= doubted[above[e]]
+    # where article or main elements hold a fair share of what is not in doubt, the rest is
+    article = [0] * len(tags)
+    for e in range(1, len(tags)):
+        article[e] = article[above[e]] or (e if tags[e] in ("article", "main") else 0)
+    sure = [(bool(article[b.parent]), len(b.text) - b.linked) for b in blocks if not doubted[b.parent]]
+    within = sum(n for inner, n in sure if inner)
+    if within and within >= share * sum(n for _, n in sure):
+        doubted = [d or not a for d, a in zip(doubted, article)]
+    return Page(blocks, tags, above, article, doubted, path_above, path_depth)
+
+
+def _apart(a: int, b: int, page: Page, most: int = 6) -> int:
+    """Steps from one path to another over where they branch, ``most`` at most."""
+    steps = 0
+    while a != b and steps < most:
+        if page.path_depth[a] >= page.path_depth[b]:
+            a = page.path_above[a]
+        else:
+            b = page.path_above[b]
+        steps += 1
+    return steps
+
+
+def path_scores(page: Page, smoothing: int = 1, doubt: float = 0.02) -> dict[int, float]:
+    """Each path's fused ratio: geometric mean of its smoothed text and punctuation ratios, less where its blocks are doubtful."""
+    length, signs, nodes, doubtful, all_ = defaultdict(float), defaultdict(float), defaultdict(int), defaultdict(int), defaultdict(int)
+    for b in page.blocks:
         own = max(0, len(b.text) - b.linked) / len(b.text)
+        all_[b.path] += len(b.text)
         length[b.path] += len(b.text) * own
         signs[b.path] += len(_SIGNS.findall(b.text)) * own
         nodes[b.path] += 1
-    ratios = [(length[b.path] / nodes[b.path], signs[b.path] / nodes[b.path] + 0.1) for b in blocks]
-    out = []
-    for i in range(len(ratios)):
-        near = ratios[max(0, i - smoothing) : i + smoothing + 1]
-        out.append((sum(x for x, _ in near) / len(near) * sum(y for _, y in near) / len(near)) ** 0.5)
-    return out
-
-
-def main_text(page: str | None, threshold: float = 0.5) -> str:
+        doubtful[b.path] += page.doubted[b.parent]
+    ratios = {p: (length[p] / n, signs[p] / n + 0.1) for p, n in nodes.items()}
+    near: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    for i, b in enumerate(page.blocks):
+        for other in page.blocks[max(0, i - smoothing) : i + smoothing + 1]:
+            weight = 0.5 ** _apart(b.path, other.path, page)
+            sums, (x, y) = near[b.path], ratios[other.path]
+            sums[0] += weight
+            sums[1] += weight * x
+            sums[2] += weight * y
+    # neither links nor doubtful parts gain from neighbours
+    return {p: (x / w * y / w) ** 0.5 * length[p] / all_[p] * (doubt if 2 * doubtful[p] > nodes[p] else 1.0) for p, (w, x, y) in near.items()}
+
+
+def _holder(held: list[Block], page: Page) -> int:
+    """The least element around all of ``held``: that of a lone text element's parent, or the article that it is in."""
+    count = [0] * len(page.tags)
+    for b in held:
+        count[b.parent] += 1
+    for e in range(len(count) - 1, 0, -1):
+        count[page.above[e]] += count[e]
+    # elements around all of them lie on one line, and the deepest has the highest number
+    holder = max(e for e in range(len(count)) if count[e] == len(held))
+    holder = page.article[holder] or holder
+    while holder and page.tags[holder] in FLOW:
+        holder = page.above[holder]
+    return holder
+
+
+def main_text(page: str | None, threshold: float = 0.4, doubt: float = 0.02) -> str:
     """The article's text: blocks joined by a line feed."""
-    blocks, tags = blocks_of(page or "")
+    read = read_page(page or "")
+    blocks, tags, above = read.blocks, read.tags, read.above
     if not blocks:
         return ""
-    scores = path_scores(blocks)
-    least = threshold * sum(scores) / len(scores)
-    scored = [(b, s >= least) for b, s in zip(blocks, scores)]
-    articles = {e for b, good in scored if good for e in b.parents if tags[e] in ("article", "main")}
-    if articles:
-        # the element that says so; several articles on a page all count, unless one is inside another
-        return "\n".join(b.text for b in blocks if articles.intersection(b.parents))
-    # link lists among the article's parts are menus, unless the page is nothing else
-    scored = [(b, good) for b, good in scored if b.linked < 0.8 * len(b.text)] or scored
-    first = next((i for i, (_, good) in enumerate(scored) if good), len(scored))
-    held = [b for i, (b, good) in enumerate(scored) if good or (i < first and any(tags[e] in HEADINGS for e in b.parents))]
-    holder = held[0].parents if held else ()
-    for b in held:
-        holder = holder[: _shared(holder, b.parents)]
-    while holder and tags[holder[-1]] in FLOW:
-        holder = holder[:-1]
-
-    def belongs(b: Block) -> bool:
-        shared = _shared(holder, b.parents)
-        return shared == len(holder) or all(tags[e] in FLOW for e in b.parents[shared:])
-
-    return "\n".join(b.text for b, _ in scored if belongs(b))
-
-
-def _shared(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """How many parents two places have in common."""
-    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-
-
-def extracted(column: str = "html", threshold: float = 0.5) -> Column:
+    scores = path_scores(read, doubt=doubt)
+    weights = [(len(b.text) - b.linked + 1) * (doubt if read.doubted[b.parent] else 1.0) for b in blocks]
+    least = threshold * sum(w * scores[b.path] for w, b in zip(weights, blocks)) / sum(weights)
+    chosen = [scores[b.path] >= least for b in blocks]
+    open_ = [not good and not read.doubted[b.parent] and b.linked < 0.8 * len(b.text) for b, good in zip(blocks, chosen)]
+
+    heading = [False] * len(tags)
+    for e in range(1, len(tags)):
+        heading[e] = heading[above[e]] or tags[e] in HEADINGS
+    first, last = chosen.index(True), len(chosen) - chosen[::-1].index(True)
+    held = [chosen[i] or (i < first and open_[i] and heading[b.parent]) for i, b in enumerate(blocks)]
+    holder = _holder([b for i, b in enumerate(blocks) if held[i]], read)
+    articles = {read.article[b.parent] for i, b in enumerate(blocks) if chosen[i]} - {0}
+    around, e = {0}, holder
+    while e:
+        around.add(e)
+        e = above[e]
+    # a whole page is no article: of its parts, those count that hold content or stand between two that do
+    whole = tags[holder] in ("", "html", "body")
+    inside, beside = [holder == 0] + [False] * (len(tags) - 1), [True] + [False] * (len(tags) - 1)
+    for e in range(1, len(tags)):
+        inside[e] = e == holder or e in articles or inside[above[e]]
+        beside[e] = e in around or (tags[e] in FLOW and beside[above[e]])
+    part, holds = [0] * len(tags), [False] * len(tags)
+    for e in range(1, len(tags)):
+        part[e] = part[above[e]] if tags[e] in FLOW else e
+    for i, b in enumerate(blocks):
+        holds[part[b.parent]] |= held[i]
+
+    def belongs(i: int, b: Block) -> bool:
+        if beside[b.parent]:
+            return True
+        return inside[b.parent] and (not whole or read.article[b.parent] in articles or first < i < last or holds[part[b.parent]])
+
+    return "\n".join(b.text for i, b in enumerate(blocks) if held[i] or (open_[i] and belongs(i, b)))
+
+
+def extracted(column: str = "html", threshold: float = 0.4) -> Column:
     """The main text of a column of pages."""
 
     @F.pandas_udf("string")

@@ -1,7 +1,10 @@
 """Main text of pages of several makes."""
 
+import time
+
 import pytest
 
+from claimloom.llm import html_extract
 from claimloom.llm.html_extract import extracted, main_text
 
 LONG = "A first sentence, with a comma. A second one follows; it is longer, too."
@@ -60,6 +63,46 @@ def test_parts_outside(page, text):
     assert main_text(page) == text
 
 
+#: Pages on which the ratios alone decide: no name or tag says what is content.
+MENU = "<ul>" + "".join(f"<li><a href=/{i}>Entry {i}</a></li>" for i in range(8)) + "</ul>"
+UNNAMED = [
+    (f"<body><div>{MENU}</div><div><b>Buy now.</b></div><div><h1>Title</h1>{f'<p>{LONG}</p>' * 4}<p>Be.</p></div><div>All rights kept.</div></body>", "\n".join(["Title", *[LONG] * 4, "Be."])),
+    (f"<article><h1>Title</h1><p>{LONG}</p>{MENU}<p>{LONG}</p><p>End.</p></article>", f"Title\n{LONG}\n{LONG}\nEnd."),
+    (f"<body><table><tr><td>{MENU}<td><div><p>{LONG}</p><div><p>{LONG}</p></div></div><td><p>Stocks up</p></table></body>", f"{LONG}\n{LONG}"),
+    (f"<body><section><div>{LONG}</div><div>{LONG}</div></section><section><p>x</p></section></body>", f"{LONG}\n{LONG}"),
+    (f"<article><section id='side-effects'><h2>Side effects</h2><p>{LONG}</p></section><div id='related-work'><p>{LONG}</p></div><div id='comments'><p>{LONG}</p></div></article>", f"Side effects\n{LONG}\n{LONG}"),
+    (f"<article><p data-id='comment-12'>{LONG}</p></article><div class=ad>{LONG * 9}</div>", LONG),
+]
+
+
+@pytest.mark.parametrize("page,text", UNNAMED)
+def test_unnamed(page, text):
+    assert main_text(page) == text
+
+
+def test_scores_select(monkeypatch):
+    """With equal scores every path is content: the text of most pages changes, and no name or tag stands in for the ratios."""
+    pages = [(p, t) for p, t in [*PAGES, *WRAPPED, *OUTSIDE, *UNNAMED] if t and p.count("<") > 8]
+    scores = html_extract.path_scores
+    monkeypatch.setattr(html_extract, "path_scores", lambda *a, **k: dict.fromkeys(scores(*a, **k), 1.0))
+    assert sum(main_text(p) != t for p, t in pages) > 0.6 * len(pages)
+
+
+def test_names_are_one_feature_only(monkeypatch):
+    monkeypatch.setattr(html_extract, "NOISE", frozenset())
+    assert all(main_text(p) == t for p, t in UNNAMED[:4])
+
+
+def test_deep_nesting_is_linear():
+    def seconds(n):
+        began = time.process_time()
+        assert main_text("<div>".join(["Some text. "] * n)) and main_text("<b>a</i><p>x" * n) and main_text(f"<ul>{'<li>x<ul>' * n}")
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 12 * seconds(2_000) + 1
+
+
 @pytest.mark.parametrize("page,text", PAGES)
 def test_pages(page, text):
     assert main_text(page) == text
