@@ -7,12 +7,13 @@ each task's partition under a name of that attempt alone, and each task returns
 index of what it wrote; a task that runs again writes a new file and a new index, and
 files that no index names are ignored. Records with equal payloads of at least
 ``revisit_bytes`` bytes have one response, of the smallest id; the others are revisits
-that refer to it. Their digests are grouped before the shuffle.
+that refer to it. Their digests are grouped before the shuffle. Reading deals the index
+by stretches of an archive, so one archive keeps as many tasks busy as it has stretches.
 
 Defined results: null html is an empty payload. A null id is archived like any other
 but is a response only if all ids of its payload are null. Repeated rows of the
-smallest id are responses all. An empty table writes no archive. Bodies of any length
-are kept whole. Other columns are ignored.
+smallest id are responses all, and being one capture they share its record id. An empty
+table writes no archive. Bodies of any length are kept whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -37,6 +39,8 @@ from claimloom.plans.staging import new_path, stage
 DICT_MAGIC = 0x184D2A5D
 INDEX = "page_id long, archive string, offset long, length long"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+#: Spark's names for what Arrow calls s3.
+_SCHEME = re.compile("^s3[an]:")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -45,6 +49,16 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    """The id of the record of a page with a payload; whoever knows both can refer to it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
+
+
+def _opened(where: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system and path of a place, by the name that Spark or Arrow has for its scheme."""
+    return pyarrow.fs.FileSystem.from_uri(_SCHEME.sub("s3:", where))
+
+
 def _line(value: str) -> str:
     return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
@@ -58,13 +72,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     revisit = refers_to is not None
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
-    key = f"{page_id}:{url}:{digest32(payload)}"
+    digest = digest32(payload)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}>",
+        f"WARC-Record-ID: {record_id(page_id, digest)}",
         f"WARC-Date: {date}",
-        f"WARC-Payload-Digest: sha1:{digest32(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -73,7 +87,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if page_id is not None:
         lines.append(f"WARC-Page-ID: {page_id}")
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Page-ID: {refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -141,9 +155,9 @@ def write_archives(rows: DataFrame, folder: str, dictionary: bytes, date: str, l
                 index: dict[str, list] = {"page_id": [], "archive": [], "offset": [], "length": []}
                 for page_id, url, payload, refers_to in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")]):
                     if out is None:
-                        files, path = pyarrow.fs.FileSystem.from_uri(where)
+                        files, path = _opened(where)
                         files.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                        out = files.open_output_stream(path)
+                        out = files.open_output_stream(path, compression=None)
                         out.write(struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary)
                         offset = 8 + len(dictionary)
                     frame = packer.compress(record(page_id, url, payload, refers_to, date))
@@ -159,50 +173,64 @@ def write_archives(rows: DataFrame, folder: str, dictionary: bytes, date: str, l
     return rows.mapInArrow(write, INDEX)
 
 
-def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every record of the archives that ``index`` names, as ``READ``; an archive is one task's stream."""
-    spark = index.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    archives = index.select("archive").distinct().repartition(n, "archive")
+def read_archives(index: DataFrame, payloads: bool = True, stretch: int = 4 << 20) -> DataFrame:
+    """Every record that ``index`` names, as ``READ``; each ``stretch`` bytes of an archive are read by one task, in order."""
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
 
     def rows(found: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
         columns = list(zip(*found)) if found else [[]] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [c.split()[0] for c in READ.split(", ")])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for where in batch.column("archive").to_pylist():
-                files, path = pyarrow.fs.FileSystem.from_uri(where)
-                with files.open_input_stream(path) as raw:
-                    magic, size = struct.unpack("<II", raw.read(8))
-                    if magic != DICT_MAGIC:
-                        raise ValueError(f"{where} has no leading dictionary frame")
-                    unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(raw.read(size)))
-                    stream = io.BufferedReader(unpack.stream_reader(raw, read_across_frames=True), 1 << 20)
-                    held, weight = [], 0
-                    for found in records_of(stream):
+        now, raw, unpack, held, weight = None, None, None, [], 0
+        try:
+            for batch in batches:
+                for where, offset, length in zip(*[batch.column(c).to_pylist() for c in ("archive", "offset", "length")]):
+                    if where != now:
+                        if raw is not None:
+                            raw.close()
+                        files, path = _opened(where)
+                        now, raw = where, files.open_input_file(path)
+                        magic, size = struct.unpack("<II", raw.read(8))
+                        if magic != DICT_MAGIC:
+                            raise ValueError(f"{where} has no leading dictionary frame")
+                        unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(raw.read(size)))
+                    raw.seek(offset)
+                    for found in records_of(io.BytesIO(unpack.decompress(raw.read(length)))):
                         held.append(found if payloads else (*found[:6], None))
                         weight += found[2] if payloads else 100
-                        if weight > 8 << 20:
-                            yield rows(held)
-                            held, weight = [], 0
-                    yield rows(held)
+                    if weight > 8 << 20:
+                        yield rows(held)
+                        held, weight = [], 0
+            yield rows(held)
+        finally:
+            if raw is not None:
+                raw.close()
+
+    places = index.select("archive", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / stretch))
+    dealt = places.repartition(n, "archive", "stretch").sortWithinPartitions("archive", "offset")
+    return dealt.select("archive", "offset", "length").mapInArrow(read, READ)
+
 
-    return archives.mapInArrow(read, READ)
+def sample_records(pages: DataFrame, most: int, most_bytes: int, date: str) -> list[bytes]:
+    """Records of at most ``most`` ids, by a hash of them, and ``most_bytes`` of payload; the ids are chosen before any payload moves."""
+    ids = pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most)
+    cut = pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, most_bytes // 4).alias("html"))
+    # one row an id, so what is fetched is bounded however often an id is repeated
+    chosen = cut.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min(F.struct("html", "url")).alias("r"))
+    rows = sorted(chosen.select("page_id", "r.url", "r.html").collect())
+    return [record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), None, date) for r in rows]
 
 
-def archive_pages(pages: DataFrame, folder: str | None = None, revisit_bytes: int = 0, dictionary_bytes: int = 64 << 10, sample_records: int = 256, sample_bytes: int = 32 << 10, date: str = "2024-03-01T00:00:00Z") -> DataFrame:
+def archive_pages(pages: DataFrame, folder: str | None = None, revisit_bytes: int = 0, dictionary_bytes: int = 64 << 10, sampled: int = 256, sample_bytes: int = 32 << 10, date: str = "2024-03-01T00:00:00Z") -> DataFrame:
     """Writes all ``pages`` and returns the written index (``INDEX``).
 
-    The dictionary is trained on at most ``sample_records`` records of ``sample_bytes``
-    of payload each, which bounds what reaches the driver.
+    The dictionary is trained on at most ``sampled`` records of ``sample_bytes`` of
+    payload each, which bounds what reaches the driver.
     """
-    spark = pages.sparkSession
-    folder = folder or new_path(spark, "warc")
-    sample = pages.orderBy(F.xxhash64("page_id"), "page_id").limit(sample_records).select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, sample_bytes // 4).alias("html"))
-    samples = [record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), None, date) for r in sample.collect()]
-    dictionary = train_dictionary(samples, dictionary_bytes)
+    folder = folder or new_path(pages.sparkSession, "warc")
+    dictionary = train_dictionary(sample_records(pages, sampled, sample_bytes, date), dictionary_bytes)
     return stage(write_archives(with_revisits(pages, revisit_bytes), folder, dictionary, date), "warc-index").df
 
 

@@ -2,11 +2,12 @@
 
 import base64
 import hashlib
+import re
 import struct
 
-import pyarrow.fs
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from claimloom.llm import warc_zstd as wz
 
@@ -17,6 +18,12 @@ def pages():
     return out
 
 
+def stored(where):
+    """The bytes of an archive as they are on disk."""
+    with open(where.removeprefix("file://"), "rb") as f:
+        return f.read()
+
+
 def want(rows, least):
     body = {i: (h or "").encode() for i, _, h in rows}
     first = {}
@@ -43,13 +50,35 @@ def test_round_trip(spark, tmp_path, least):
     assert sorted(got, key=str) == want(rows, least)
     # any record can be read alone
     one = index.where("page_id = 7").first()
-    files, path = pyarrow.fs.FileSystem.from_uri(one["archive"])
-    data = files.open_input_stream(path).read()
+    data = stored(one["archive"])
     magic, size = struct.unpack("<II", data[:8])
     assert magic == wz.DICT_MAGIC
     frame = data[one["offset"] : one["offset"] + one["length"]]
     assert b"WARC-Page-ID: 7\r\n" in zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size])).decompress(frame)
 
 
+def test_archive_as_a_stream(spark, tmp_path):
+    """A reader that knows nothing of the index gets all records of an archive, each with an id and revisits with their response's."""
+    df = spark.createDataFrame(pages(), "page_id long, url string, html string")
+    index = wz.archive_pages(df, folder=f"file://{tmp_path}/warc")
+    ids, refers, n = set(), set(), 0
+    for (where,) in index.select("archive").distinct().collect():
+        data = stored(where)
+        size = struct.unpack("<II", data[:8])[1]
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size]))
+        text = unpack.stream_reader(data, read_across_frames=True).read()
+        n += text.count(b"WARC/1.1\r\n")
+        ids |= set(re.findall(rb"WARC-Record-ID: (\S+)", text))
+        refers |= set(re.findall(rb"WARC-Refers-To: (\S+)", text))
+    assert n == len(pages()) and refers and refers < ids
+    # an archive is dealt in stretches
+    assert wz.read_archives(index, stretch=2_000).select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_repeated_id_bounds_the_sample(spark):
+    df = spark.createDataFrame([(5, f"u{i}", "x" * i) for i in range(300)] + [(6, None, None)], "page_id long, url string, html string")
+    assert len(wz.sample_records(df, 10, 100, "2024-03-01T00:00:00Z")) == 2
+
+
 def test_empty(spark):
     assert wz.read_archives(wz.archive_pages(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
