@@ -68,6 +68,15 @@ def test_empty_tables(spark):
     check(spark, [], [(1, "some words here")])
 
 
+def test_clashing_names(spark):
+    """Names that the operator uses inside are the caller's to use."""
+    rows = [(1, "one two three four five six seven", *range(8)), (2, "clean words", *range(8))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bad int, bad_id int, key int, hit_id int, h int, at int, words int, n_hit int")
+    bench = spark.createDataFrame([(1, "two three four", 0, 0)], "item_id long, text string, win int, len int")
+    assert [r["doc_id"] for r in dc.drop_contaminated(docs, bench).collect()] == [2]
+    assert dc.contamination(docs, bench).count() == 2
+
+
 def test_blocks_find_the_same(spark):
     docs = spark.createDataFrame([(1, " ".join("w%d" % i for i in range(50)))], "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join("w%d" % i for i in range(10, 40)))], "item_id long, text string")
