@@ -52,6 +52,37 @@ STRATUM = 16
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string,token:string>>"
 
 
+#: Elements of an array that are folded together; arrays of n elements cost about n * CHUNK + (n / CHUNK) ** 2.
+CHUNK = 128
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often, and within which function, the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _chunks(array: Column) -> Column:
+    """An array that isn't empty as an array of its ``CHUNK`` elements each."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / CHUNK).cast("int")), lambda c: F.slice(array, c * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _running(values: Column, join, zero: Column) -> Column:
+    """What ``join`` (associative) makes of all elements before each one of an array of integers, ``zero`` for the first.
+
+    Appending to an array copies it, so elements are folded in chunks, and chunks by their totals.
+    """
+
+    def before(array: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(array, state, lambda done, v: F.struct(join(done["at"], v).alias("at"), F.concat(done["out"], F.array(done["at"])).alias("out")))["out"]
+
+    def folded(chunks: Column) -> Column:
+        return F.flatten(F.zip_with(chunks, before(F.transform(chunks, lambda c: F.aggregate(c, zero, lambda x, y: join(x, y))), zero), before))
+
+    none = F.array().cast("array<int>")
+    return _let(values, lambda all_: F.when(F.size(all_) == 0, none).otherwise(_let(_chunks(all_), folded)))
+
+
 def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as ``(start, rank, end, kind, token)``; ``keep`` decides after matching.
 
@@ -59,16 +90,31 @@ def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
     """
     none = F.array().cast(SPANS)
     # one piece more than matches: the last pair has no match
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1), lambda m, p: F.struct(m.alias("m"), F.char_length(p).alias("gap")))
+    pairs = F.filter(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"), F.split(text, pattern, -1).alias("gap")), lambda p: p["m"].isNotNull())
+
+    def placed(all_: Column) -> Column:
+        before = _running(F.transform(all_, lambda p: F.char_length(p["m"]) + F.char_length(p["gap"])), lambda x, y: x + y, F.lit(0))
+        return F.zip_with(all_, before, lambda p, at: span(p["m"], at + F.char_length(p["gap"])))
+
+    def span(token: Column, start: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.char_length(token)).alias("end"), F.lit(kind).alias("kind"), token.alias("token"))
+
+    return F.when(F.rlike(text, F.lit(pattern)), F.filter(_let(pairs, placed), lambda s: keep(s["token"])).cast(SPANS)).otherwise(none)
+
+
+def _apart(maybe: Column, base: Column) -> Column:
+    """The spans of ``maybe`` that overlap none of ``base``: by start, each lies behind all that begin before it and before the next that begins."""
+    far = F.lit(2**31 - 1)
+    is_base = lambda s: s["rank"] < KINDS.index("random")
 
-    def step(done: Column, pair: Column) -> Column:
-        start = done["at"] + pair["gap"]
-        end = start + F.char_length(pair["m"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), pair["m"].alias("token"))
-        return F.when(pair["m"].isNull(), done).otherwise(F.struct(end.alias("at"), F.concat(done["out"], F.array(span)).alias("out")))
+    def kept(every: Column) -> Column:
+        behind = _running(F.transform(every, lambda s: F.when(is_base(s), s["end"]).otherwise(0)), F.greatest, F.lit(0))
+        ahead = F.reverse(_running(F.reverse(F.transform(every, lambda s: F.when(is_base(s), s["start"]).otherwise(far))), F.least, far))
+        placed = F.arrays_zip(every.alias("span"), behind.alias("behind"), ahead.alias("ahead"))
+        free = F.filter(placed, lambda p: ~is_base(p["span"]) & (p["behind"] <= p["span"]["start"]) & (p["ahead"] >= p["span"]["end"]))
+        return F.transform(free, lambda p: p["span"])
 
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    return F.when(F.rlike(text, F.lit(pattern)), F.filter(placed, lambda s: keep(s["token"]))).otherwise(none)
+    return F.when((F.size(base) == 0) | (F.size(maybe) == 0), maybe).otherwise(_let(F.array_sort(F.concat(base, maybe)), kept))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -93,7 +139,7 @@ def tested(candidates: DataFrame, alpha: float) -> DataFrame:
     out = (
         out.withColumn("encoding", pick([name for name, *_ in ENCODINGS]))
         .withColumn("symbols", pick([alphabet for _, _, alphabet, _ in ENCODINGS]))
-        .withColumn("chars", F.split(F.when(F.col("enc") == 0, F.lower("core")).otherwise(F.col("core")), "(?!^)"))
+        .withColumn("chars", F.split(F.when(F.col("enc") == 0, F.lower("core")).otherwise(F.col("core")), "(?!^)(?!$)"))
         .withColumn("xs", F.transform("chars", lambda c: F.instr(F.col("symbols"), c).cast("double") - 1))
         .withColumn("n", F.size("xs").cast("double"))
         .withColumn("k", F.length("symbols").cast("double"))
@@ -157,7 +203,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # written once: a filter on what the patterns find would run them again
     found = stage(rows.select("doc_id", F.xxhash64("text").alias("key"), F.array_sort(base).alias("base"), maybe.alias("maybe")), "secret-candidates").df
-    apart = F.filter("maybe", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    apart = _apart(F.col("maybe"), F.col("base"))
     candidates = found.where(F.size("maybe") > 0).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.explode(apart).alias("span"))
     scored = tested(candidates.withColumn("token", F.col("span.token")), alpha).select(
         "doc_id",
@@ -177,24 +223,31 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every secret span of ``text`` replaced by ``mask`` (overlapping spans by one), and ``n_chars`` to match."""
-    found = secret_spans(docs, **options).where(F.size("spans") > 0).dropDuplicates(["doc_id", "key"])
-    found = found.select(F.col("doc_id").alias("_span_id"), F.col("key").alias("_span_key"), F.col("spans").alias("_spans"))
-    scanned = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_span_id")) & (F.xxhash64("text") == F.col("_span_key")), "left")
-    spans = F.coalesce(F.col("_spans"), F.array().cast(SPANS))
+    found = secret_spans(docs, **options).where(F.size("spans") > 0).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "spans")
+    same = F.col("all.doc_id").eqNullSafe(F.col("found.doc_id")) & (F.xxhash64("all.text") == F.col("found.key"))
+    scanned = docs.alias("all").join(found.alias("found"), same, "left")
+    was, spans = F.col("all.text"), F.coalesce(F.col("found.spans"), F.array().cast(SPANS))
     # what stands before each span and after the last; a span that begins inside those before it leaves nothing, and no second mask
-    reached = F.transform(spans, lambda s, i: F.array_max(F.concat(F.array(F.lit(0)), F.transform(F.slice(spans, F.lit(1), i), lambda p: p["end"]))))
-    parts = F.zip_with(
-        spans,
-        reached,
-        lambda s, r: F.when(s["start"] >= r, F.concat(F.substring(F.col("text"), r + 1, s["start"] - r), F.lit(mask))).otherwise(F.lit("")),
-    )
+    reached = _running(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0))
+
+    def masked(chunk: Column) -> Column:
+        # spans stand by start: the chunk's stretch is cut out once, and its parts from there
+        start, end = F.get(chunk, 0)["reached"], F.element_at(chunk, -1)["start"]
+
+        def parts(stretch: Column) -> Column:
+            part = lambda p: F.concat(F.substring(stretch, p["reached"] - start + 1, p["start"] - p["reached"]), F.lit(mask))
+            return F.array_join(F.transform(chunk, lambda p: F.when(p["start"] >= p["reached"], part(p)).otherwise(F.lit(""))), "")
+
+        return _let(F.substring(was, start + 1, F.greatest(end - start, F.lit(0))), parts)
+
+    places = F.zip_with(spans, reached, lambda s, r: F.struct(s["start"].alias("start"), r.alias("reached")))
     last = F.array_max(F.transform(spans, lambda s: s["end"]))
-    text = F.when(F.size(spans) == 0, F.col("text")).otherwise(F.concat(F.array_join(parts, ""), F.substring(F.col("text"), last + 1, F.char_length("text"))))
-    out = scanned.withColumn("text", text)
+    changed = F.size(spans) > 0
+    text = F.when(changed, F.concat(_let(places, lambda all_: F.array_join(F.transform(_chunks(all_), masked), "")), F.substring(was, last + 1, F.char_length(was)))).otherwise(was)
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        changed = F.size(spans) > 0
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("all.n_chars"))
+    return scanned.select(*[new.get(c, F.col(f"all.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:

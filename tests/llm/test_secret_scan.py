@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import time
 
 from claimloom.llm import secret_scan as ss
 
@@ -52,6 +54,69 @@ def test_random_tokens(spark):
     assert not any(got[i] for i in range(40, 52))
 
 
+def tail(z):
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def plain_battery(token):
+    """The three tests and the p-value against text, one symbol after another."""
+    core = token.rstrip("=").replace("-", "+").replace("_", "/")
+    _, pattern, symbols, share = next(e for e in ss.ENCODINGS if re.search(e[1], core))
+    xs = [symbols.index(c) for c in (core.lower() if len(symbols) == 16 else core)]
+    n, k = len(xs), len(symbols)
+    squares = sum(xs.count(x) ** 2 for x in set(xs))
+    chi, df, middle = squares * k / n - n, k - 1, (k - 1) / 2
+    z_chi = ((max(chi, 1e-9) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = [x > middle for x in xs]
+    runs, h = 1 + sum(a != b for a, b in zip(high, high[1:])), sum(high)
+    mean_runs = 2 * h * (n - h) / n + 1
+    var = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
+    z_runs = (runs - mean_runs) / math.sqrt(var) if var > 0 else 99.0
+    mean = sum(xs) / n
+    spread = sum((x - mean) ** 2 for x in xs)
+    z_serial = (sum((a - mean) * (b - mean) for a, b in zip(xs, xs[1:])) / spread + 1 / n) * math.sqrt(n) if spread else 99.0
+    pairs, same = n * (n - 1) / 2, (squares - n) / 2
+    q, t = ss.TEXT_PAIRS, ss.TEXT_TRIPLES
+    sd = math.sqrt(pairs * (q - q * q) + n * (n - 1) * (n - 2) * (t - q * q))
+    p_text = max(tail((pairs * q - same) / sd) * share**n, 10.0**-ss.DECADES)
+    return tail(z_chi), 2 * tail(abs(z_runs)), 2 * tail(abs(z_serial)), p_text
+
+
+def test_battery_against_a_plain_version(spark):
+    rng = random.Random(3)
+    alphabets = [a for *_, a, _ in ss.ENCODINGS] + ["ab1", "etaoinshrdlu1"]
+    tokens = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 90))) for _ in range(150)] + ["a1" * 20, "1" * 30 + "a"]
+    rows = ss.tested(spark.createDataFrame([(t,) for t in tokens], "token string"), 0.001).select("token", "p_chi", "p_runs", "p_serial", "p_text", "passes").collect()
+    for token, *got, passes in rows:
+        want = plain_battery(token)
+        assert all(abs(g - w) < 1e-6 + 1e-3 * w for g, w in zip(got, want)), (token, got, want)
+        assert passes == (min(want[:3]) > 0.001) or min(abs(p - 0.001) for p in want[:3]) < 1e-6
+
+
+def test_false_discovery_control(spark):
+    rng = random.Random(4)
+    rows = [(rng.randint(1, 3), rng.randint(-200, 0), rng.random() < 0.7) for _ in range(400)]
+    cut = {r["stratum"]: r["cut"] for r in ss.thresholds(spark.createDataFrame(rows, "stratum int, bin int, passes boolean"), 0.01).collect()}
+    for stratum in (1, 2, 3):
+        mine = [r for r in rows if r[0] == stratum]
+        good = [b for _, b, p in mine if p]
+        want = max((b for b in good if 10 ** (b / ss.BINS_PER_DECADE) * len(mine) <= 0.01 * sum(g <= b for g in good)), default=None)
+        held = {b for b in good if want is not None and b <= want}
+        assert {b for b in good if stratum in cut and b <= cut[stratum]} == held
+
+
+def test_many_spans_cost_in_proportion(spark):
+    def seconds(n):
+        text = " ".join(f"token=abcdefgh{i} Zk3vQ9x{i}LmP0aB7cD2eF5gH" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        assert ss.redact(docs).first()["text"].count("[SECRET]") >= n
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(8_000) < 8 * seconds(2_000) + 3
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts())], "doc_id long, text string, n_chars int")
     out = ss.redact(docs)
