@@ -11,6 +11,7 @@ comes back exactly. The loss mask covers the content of assistant turns.
 Turns are formatted row by row in column expressions. What needs a conversation's
 order runs over rows sorted by conversation and turn within a partition and keeps a
 running hash and counters alone, so a conversation of any length is never collected.
+A digest follows its conversation's order, so one conversation is one task's stream.
 
 Defined results: null text is empty text, a null role an empty role, a null part is
 skipped, a part of unknown type raises. Rows of one turn number are ordered by role,
@@ -49,13 +50,16 @@ def text_part(text: Column) -> Column:
     return F.array(part.cast(PART))
 
 
-def _visit(parts: Column) -> Column:
-    """The content of a message: each part by its type, in order; placeholders are numbered by their place among the parts."""
+def _visit(parts: Column, plain: bool = False) -> Column:
+    """The content of a message: each part by its type, in order; placeholders are numbered by their place among the parts.
+
+    With ``plain``, texts stand as they were.
+    """
 
     def shown(part: Column, at: Column) -> Column:
         placeholder = F.concat(F.lit("<|"), part["type"], F.lit(":"), at.cast("string"), F.lit("|>"))
         return (
-            F.when(part["type"] == "text", escape(F.coalesce(part["text"], F.lit(""))))
+            F.when(part["type"] == "text", F.coalesce(part["text"], F.lit("")) if plain else escape(F.coalesce(part["text"], F.lit(""))))
             .when(part["type"].isin(*ATTACHMENTS), placeholder)
             .otherwise(F.raise_error(F.concat(F.lit("unknown part type: "), F.coalesce(part["type"], F.lit("null")))))
         )
@@ -75,12 +79,12 @@ def format_turns(messages: DataFrame, content: str = "content", loss_roles: tupl
     """Per row of ``messages`` (conv_id, turn, role and an array of parts): its formatted turn.
 
     Columns: ``conv_id, turn, role, formatted, loss_start, loss_end`` (code points in
-    the formatted turn, null outside the mask), ``attachments`` and
-    ``attachment_tokens``.
+    the formatted turn, null outside the mask), ``attachments``, ``attachment_tokens``
+    and ``tie``, the content as it was, which orders rows of one turn and role.
     """
     parts = F.filter(F.coalesce(F.col(content), F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
     role = F.coalesce("role", F.lit(""))
-    rows = messages.select("conv_id", "turn", role.alias("role"), F.concat(F.lit("<s>["), escape(role), F.lit("]\n")).alias("head"), _visit(parts).alias("body"), _attachments(parts).alias("attachments"))
+    rows = messages.select("conv_id", "turn", role.alias("role"), F.concat(F.lit("<s>["), escape(role), F.lit("]\n")).alias("head"), _visit(parts).alias("body"), _attachments(parts).alias("attachments"), _visit(parts, plain=True).alias("tie"))
     masked = F.col("role").isin(*loss_roles)
     return rows.select(
         "conv_id",
@@ -91,6 +95,7 @@ def format_turns(messages: DataFrame, content: str = "content", loss_roles: tupl
         F.when(masked, F.char_length("head") + F.char_length("body")).alias("loss_end"),
         "attachments",
         F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]).alias("attachment_tokens"),
+        "tie",
     )
 
 
@@ -142,7 +147,7 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
         yield rows()
 
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = turns.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    ordered = turns.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie")
     return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(digest, DIGESTS)
 
 

@@ -17,6 +17,8 @@ def test_digests(spark):
     bits = ["</s>", "<s>", "[INST]", "\\", "\\<", "a", "é😀", "\n", "<|image:0|>", "]", "[/INST] ok", " "]
     rows = [(c, t, rng.choice(["user", "assistant", "system", "to]ol", "assistant"]), "".join(rng.choices(bits, k=rng.randint(0, 9)))) for c in range(30) for t in range(rng.randint(1, 9))]
     rows += [(50, 0, "user", None), (50, 1, "assistant", None), (51, 0, "assistant", "same"), (51, 0, "assistant", "same"), (52, t := 0, None, "x")]
+    # ties go by content, not by what the escape makes of it
+    rows += [(70, 0, "user", t) for t in ("<a", "Za", "[b", "\\c", "z")]
     rows += [(60, i, "assistant", "long " * 50) for i in range(3000)]
     shuffled = rows[:]
     rng.shuffle(shuffled)
@@ -24,6 +26,7 @@ def test_digests(spark):
     got = {r["conv_id"]: tuple(r)[1:5] for r in cf.conversation_digests(cf.format_turns(df)).collect()}
     for conv in {r[0] for r in rows}:
         mine = [(r or "", t or "") for c, _, r, t in rows if c == conv]
+        mine = sorted(mine) if conv == 70 else mine
         loss = "".join(t for r, t in mine if r == "assistant")
         assert got[conv] == (len(mine), sha("".join(f"{r}\n{t}\n" for r, t in mine)), len(loss), sha(loss))
     assert t == 0
@@ -37,6 +40,10 @@ def test_parts(spark):
     assert [tuple(a) for a in row["attachments"]] == [(1, "image", "s3://a.png", 576), (3, "audio", "b.wav", 12)]
     assert row["attachment_tokens"] == 588
     assert cf.read_turn(row["formatted"]) == ("assistant", "see <this><|image:1|><|audio:3|>")
+    paper = [("document", None, "paper.pdf", None), ("text", "and", None, None), ("document", None, None, 7)]
+    row = cf.format_turns(spark.createDataFrame([(1, 0, "user", paper)], df.schema)).first()
+    assert row["formatted"] == "<s>[user]\n<|document:0|>and<|document:2|></s>"
+    assert [tuple(a) for a in row["attachments"]] == [(0, "document", "paper.pdf", 1024), (2, "document", None, 7)]
     bad = spark.createDataFrame([(1, 0, "user", [("video", None, "x", None)])], df.schema)
     with pytest.raises(Exception, match="unknown part type"):
         cf.format_turns(bad).collect()
