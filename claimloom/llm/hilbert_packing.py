@@ -11,8 +11,9 @@ partition's end is cut into sequences whose sizes are powers of two, so there is
 padding at all and no task needs another's offsets.
 
 Defined results: null text is empty text, which has the end id alone. Repeated rows
-are packed once each. An empty table gives no pieces. Whole texts are tokenized, with
-special-token strings taken as ordinary text. Other columns are ignored.
+are packed once each. An empty table gives no pieces. Whole texts are tokenized as the
+tokenizer itself does it: the string of a special token gives that token's id. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,7 +113,8 @@ def along_curve(docs: DataFrame, partitions: int, sampled: int = 100) -> DataFra
 class WordTokenizer:
     """Ids of whole texts, word by word: the tokenizer drops white space and never merges across it, so a word's ids don't depend on its neighbours.
 
-    New words are tokenized many at a time, with a special token between two of them.
+    New words are tokenized many at a time, with a special token between two of them. A
+    text that holds a special token's own string is tokenized whole.
     """
 
     def __init__(self, path: str):
@@ -121,12 +123,13 @@ class WordTokenizer:
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         self.inner = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
         self.mark = self.inner.id_to_token(max(self.inner.get_added_tokens_decoder()))
         self.mark_id = self.inner.token_to_id(self.mark)
         self.known: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        # a word that holds a part of a special token's string goes alone, as ordinary text
+        # a word that holds a part of a special token's string, or becomes one in lower case, goes alone, as ordinary text
         alone = [w for w in words if "<|" in w or "|>" in w]
         for w, e in zip(alone, self.plain.encode_batch_fast(alone, add_special_tokens=False)):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
@@ -139,13 +142,15 @@ class WordTokenizer:
             self.known.update((w, data[4 * a : 4 * b - 4]) for w, a, b in zip(part, edges, edges[1:]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = {i: np.array(self.inner.encode(t, add_special_tokens=False).ids, "<u4") for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        texts = ["" if i in whole else t for i, t in enumerate(texts)]
         # the tokenizer lower-cases; letters A-Z can be lowered first unless a mark could combine with them
         split = [_SPACE.split(t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if not _MARK.search(t) else t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
         self.learn(list({w for words in split for w in words if w not in known}))
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        return [whole[i] if i in whole else np.frombuffer(b"".join([known[w] for w in words]), "<u4") for i, words in enumerate(split)]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -22,7 +22,6 @@ def texts():
 
 def reference(text):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
