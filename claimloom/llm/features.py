@@ -1,8 +1,9 @@
-"""Hashed byte n-gram counts of whole texts, the shared input of the vector operators."""
+"""What operators share: hashed byte n-gram counts of whole texts, and names for columns of their own."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 #: Multiplier of Fibonacci hashing.
 GOLDEN = np.uint32(2654435769)
@@ -21,10 +22,24 @@ def gram_counts(data: bytes, bits: int, n: int = 3) -> np.ndarray:
     return out
 
 
-def log_unit(counts: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """Rows of ``log(1 + count)``, weighted, at unit length; zero rows stay zero."""
-    x = np.log1p(counts)
-    if weights is not None:
-        x = x * weights
-    length = np.linalg.norm(x, axis=-1, keepdims=True)
-    return x / np.where(length > 0, length, 1)
+def packed_counts(counts: np.ndarray) -> bytes:
+    """The counts that aren't zero, as places and values."""
+    at = np.flatnonzero(counts).astype("<u4")
+    return at.tobytes() + counts[at].astype("<f4").tobytes()
+
+
+def unpacked_counts(packed: list[bytes], size: int) -> np.ndarray:
+    """Rows of :func:`packed_counts`, dense."""
+    out = np.zeros((len(packed), size), np.float32)
+    for row, data in zip(out, packed):
+        half = len(data) // 2
+        row[np.frombuffer(data[:half], "<u4")] = np.frombuffer(data[half:], "<f4")
+    return out
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

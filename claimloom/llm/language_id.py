@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimloom.llm.features import gram_counts
+from claimloom.llm.features import gram_counts, packed_counts, unpacked_counts
 
 #: Families of closely related languages.
 FAMILIES = {
@@ -136,24 +136,33 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def fit_from(docs: DataFrame, held_out: int = 0, folds: int = 5, max_rows: int = 6000) -> Fitted | None:
-    """The models of at most ``max_rows`` ids outside the held-out fold, one text (the least) of each, in the order of a hash, each language in its turn."""
+    """The models of at most ``max_rows`` ids outside the held-out fold, one text (the least) of each, in the order of a hash, each language alike.
+
+    Raises where there are more languages than ``max_rows``, rather than leave one out.
+    """
     known = docs.where("lang is not null and doc_id is not null and text is not null").where(fold("doc_id", folds) != held_out)
-    counted = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
+    ids = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    counted = {r["lang"]: max(1, r["n"]) for r in ids.orderBy("lang").limit(max_rows + 1).collect()}
     if not counted:
         return None
+    if len(counted) > max_rows:
+        raise ValueError(f"more than {max_rows} languages; raise max_rows")
     each = max_rows // len(counted)
+    # the first by hash are among those under a bar that lets several times as many through, so only these are sorted
+    bars = F.create_map(*[F.lit(x) for lang, n in counted.items() for x in (lang, min(1.0, (4 * each + 100) / n))])
+    place = (F.xxhash64("doc_id") / 2.0**64) + 0.5
+    keys = known.where(place <= F.element_at(bars, F.col("lang"))).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    keys = known.where(F.col("lang").isin([r["lang"] for r in counted])).select("doc_id", "lang").distinct()
     chosen = keys.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= each).select("doc_id", "lang")
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.minimum(counts_of(t), 65_000).astype(np.uint16).tobytes() for t in texts])
+        return pd.Series([packed_counts(counts_of(t)) for t in texts])
 
     # at most max_rows keys, so this side is bounded; one text a key, so the rows fetched are too
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = sample.select("lang", packed("text").alias("x")).toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
-    return fit(np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in rows.column("x")]), rows.column("lang").to_pylist())
+    return fit(unpacked_counts(rows.column("x").to_pylist(), 1 << BITS), rows.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: Fitted | None) -> Column:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.features import gram_counts
+from claimloom.llm.features import free_name, gram_counts, packed_counts, unpacked_counts
 
 BITS = 10
 STYLE = 12
@@ -124,7 +124,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int =
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.minimum(counts_of(t), 65_000).astype(np.uint16).tobytes() for t in texts])
+        return pd.Series([packed_counts(counts_of(t)) for t in texts])
 
     # one text an id, so that the rows fetched are at most max_labelled however often an id is repeated
     texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -132,7 +132,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int =
     rows = rows.sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("x", "ascending")])
     if not rows.num_rows:
         return None
-    counts = np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in rows.column("x")])
+    counts = unpacked_counts(rows.column("x").to_pylist(), (1 << BITS) + STYLE)
     return fit(counts, rows.column("quality").to_numpy(), rank, neighbours, power)
 
 
@@ -154,8 +154,8 @@ def score(docs: DataFrame, model: Fitted | None) -> Column:
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``least``, with all their columns."""
-    name = "_quality_score"
-    return docs.withColumn(name, score(docs, fit_from(docs, labels))).where(F.col(name) >= least).select(*docs.columns)
+    name = free_name(docs, "quality_score")
+    return docs.withColumn(name, score(docs, fit_from(docs, labels))).where(F.col(name) >= least).drop(name)
 
 
 def op2_quality_knn(spark, sf_dir: str) -> DataFrame:

@@ -65,10 +65,10 @@ def linked(a: np.ndarray, b: np.ndarray, b_codes: np.ndarray, b_factors: np.ndar
         certain = seen * factors + np.sqrt(np.maximum(1 - seen * seen, 0)) * spread
         near = np.minimum(certain, seen / factors + slack) >= least - 1e-4
         i, j = np.nonzero(near)
-        if len(i) > 50_000:
-            out[at : at + rows] = near & (ua[at : at + rows] @ ub.T >= least)
-        elif len(i):
-            out[at + i, j] = np.einsum("ij,ij->i", ua[at + i], ub[j]) >= least
+        # one way of summing for every pair, some at a time
+        for part in range(0, len(i), 1 << 15):
+            p, q = at + i[part : part + (1 << 15)], j[part : part + (1 << 15)]
+            out[p, q] = np.einsum("ij,ij->i", ua[p], ub[q]) >= least
     return out
 
 

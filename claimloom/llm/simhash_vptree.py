@@ -197,13 +197,15 @@ def keep_one_of_each(docs: DataFrame, radius: int = 4, shard_rows: int = 2048) -
     Of several under that id, or of none with an id, the one of the least hash of its text,
     then of the row, stays. Rows equal in all columns are kept or dropped alike.
     """
-    key, row = F.xxhash64("text"), F.xxhash64(*docs.columns)
+    key, row = F.xxhash64("text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     prints = stage(fingerprints(docs, more=(key.alias("key"), row.alias("row"))), "fingerprints").df
     place = F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "key", "row")
     heads = stage(prints.groupBy("fp").agg(F.min(place).alias("head")), "fingerprint-heads").df
     first = _rooted(heads, radius, shard_rows).groupBy("root").agg(F.min("head").alias("head"))
-    kept = first.select(F.col("head.doc_id").alias("_kept_id"), F.col("head.key").alias("_kept_key"), F.col("head.row").alias("_kept_row"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (key == F.col("_kept_key")) & (row == F.col("_kept_row")), "left_semi")
+    kept = first.select("head.doc_id", "head.key", "head.row")
+    row = F.xxhash64(*[F.col(f"all.`{c}`") for c in docs.columns])
+    same = F.col("all.doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.xxhash64("all.text") == F.col("kept.key")) & (row == F.col("kept.row"))
+    return docs.alias("all").join(kept.alias("kept"), same, "left_semi")
 
 
 def op10_simhash_vptree(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from claimloom.llm import chat_format, decontaminate, hilbert_packing, language_id, quality_knn, rabitq_dedup, secret_scan, simhash_vptree, warc_zstd
 
 #: Names that operators use inside.
-CLASHES = ("key", "fp", "head", "words", "spans", "base", "n_words", "place", "part", "tie", "score", "lang", "payload", "sha", "component_id", "size", "x", "rep")
+CLASHES = ("key", "fp", "head", "words", "spans", "base", "n_words", "place", "part", "tie", "score", "lang", "payload", "sha", "component_id", "size", "x", "rep",
+           "bad", "bad_id", "bad_key", "kept", "kept_id", "all", "found", "span", "quality_score", "_quality_score", "row", "h", "at", "win", "freq", "hit_id", "turn_number", "tie", "formatted", "code", "first_sha", "refers_to", "a.b")
 
 
 def crowded(df):
