@@ -7,15 +7,17 @@ Every detector works on all projects at once. No rows give no findings.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimloom.functions.claims import confidence_ceiling, is_ephemeral, is_strong, is_weak, moore_flagged, older_than, sycophancy
+from claimloom.functions.claims import confidence_ceiling, is_ephemeral, is_strong, is_weak, older_than, sycophancy
 from claimloom.plans.claim_graph import ClaimGraph
-from claimloom.plans.staging import stage
+from claimloom.plans.staging import stage, stage_told
 
 #: How many dependents are load, lately and in all, and how many sessions make a claim tested by use.
 RECENT_LOAD, TOTAL_LOAD, TESTED_SESSIONS = 2, 8, 3
@@ -39,20 +41,111 @@ def _tested_by_use() -> Column:
     return ~F.col("contradicted") & (F.col("sessions") >= TESTED_SESSIONS)
 
 
-def load_bearing_vibes(g: ClaimGraph) -> DataFrame:
-    """Weak claims on which others rest, lately or by their number."""
+class Rule(NamedTuple):
+    """A detector that a row of ``ClaimGraph.weighed`` alone decides."""
+
+    kind: str
+    where: Column
+    severity: Column | str
+    measure: Column | str
+    persistent: Column | bool = False
+
+
+def _detect(g: ClaimGraph, rule: Rule) -> DataFrame:
+    return _found(g.weighed.where(rule.where), *rule[:1], *rule[2:])
+
+
+def _load_bearing_vibes(as_of: str) -> Rule:
     recent = F.col("recent") >= RECENT_LOAD
     lasting = ~recent & (F.col("total") >= TOTAL_LOAD) & ~_tested_by_use()
-    rows = g.weighed.where(is_weak() & (recent | lasting) & ~is_ephemeral())
-    return _found(rows, "load_bearing_vibes", "critical", F.when(recent, F.col("recent")).otherwise(F.col("total")), ~recent)
+    return Rule("load_bearing_vibes", is_weak() & (recent | lasting) & ~is_ephemeral(), "critical", F.when(recent, F.col("recent")).otherwise(F.col("total")), ~recent)
 
 
-def fluency_trap(g: ClaimGraph) -> DataFrame:
-    """Unchallenged claims with dependents whose confidence passes what their basis supports."""
+def _fluency_trap(as_of: str) -> Rule:
     recent = F.col("recent") >= 1
     lasting = ~recent & (F.col("total") >= TOTAL_LOAD) & ~_tested_by_use()
-    rows = g.weighed.where(~F.col("challenged") & (recent | lasting) & ~is_ephemeral() & (F.col("confidence") > confidence_ceiling()))
-    return _found(rows, "fluency_trap", "critical", F.when(recent, F.col("recent")).otherwise(F.col("total")), ~recent)
+    hit = ~F.col("challenged") & (recent | lasting) & ~is_ephemeral() & (F.col("confidence") > confidence_ceiling())
+    return Rule("fluency_trap", hit, "critical", F.when(recent, F.col("recent")).otherwise(F.col("total")), ~recent)
+
+
+def _legacy_load_bearer(as_of: str) -> Rule:
+    idle = ~older_than(as_of, 7, "last_referenced_at") | F.expr(f"timestamp_ntz '{as_of}' - last_referenced_at = interval '7' day")
+    return Rule("legacy_load_bearer", older_than(as_of, 30, "created_at") & idle & ~F.col("closed") & (F.col("n_incoming") >= 2), "warning", "n_incoming", True)
+
+
+def _ability_overstatement(as_of: str) -> Rule:
+    return Rule("ability_overstatement", F.expr("not closed and not challenged and ability_overstatement and speaker = 'assistant'"), F.when(F.col("total") >= 2, "warning").otherwise("info"), "total")
+
+
+def _sentience_drift(as_of: str) -> Rule:
+    hit = F.expr("speaker = 'assistant' and not closed and not challenged and (sentience_claim or relational_drift)")
+    return Rule("sentience_drift", hit, F.when((F.col("total") >= 2) | (F.col("drifting") >= 3), "warning").otherwise("info"), "drifting")
+
+
+def _consequential_action(as_of: str) -> Rule:
+    severity = F.when((F.col("flagged") >= 3) & ~F.col("grounded"), "critical").when(F.col("flagged") >= 2, "warning").otherwise("info")
+    return Rule("consequential_action", F.expr("not closed and not challenged and consequential_action"), severity, "flagged")
+
+
+def _well_sourced_load_bearer(as_of: str) -> Rule:
+    return Rule("strength_well_sourced_load_bearer", is_strong() & (F.col("total") >= 2), "info", "total")
+
+
+def _productive_stress_test(as_of: str) -> Rule:
+    return Rule("strength_productive_stress_test", F.expr("(challenged or pushed_back) and has_in and has_out"), "info", "degree")
+
+
+def _grounded_premise_adopted(as_of: str) -> Rule:
+    return Rule("strength_grounded_premise_adopted", (F.col("speaker") == "user") & is_strong() & (F.col("adoptions") >= 2), "info", "adoptions")
+
+
+def _orphan(as_of: str) -> Rule:
+    return Rule("orphan", F.col("degree") == 0, "warning", F.lit(0))
+
+
+def load_bearing_vibes(g: ClaimGraph) -> DataFrame:
+    """Weak claims on which others rest, lately or by their number."""
+    return _detect(g, _load_bearing_vibes(g.as_of))
+
+
+def fluency_trap(g: ClaimGraph) -> DataFrame:
+    """Unchallenged claims with dependents whose confidence passes what their basis supports."""
+    return _detect(g, _fluency_trap(g.as_of))
+
+
+def legacy_load_bearer(g: ClaimGraph) -> DataFrame:
+    """Old open claims that are still referred to and carry structural edges."""
+    return _detect(g, _legacy_load_bearer(g.as_of))
+
+
+def ability_overstatement(g: ClaimGraph) -> DataFrame:
+    return _detect(g, _ability_overstatement(g.as_of))
+
+
+def sentience_drift(g: ClaimGraph) -> DataFrame:
+    return _detect(g, _sentience_drift(g.as_of))
+
+
+def consequential_action(g: ClaimGraph) -> DataFrame:
+    """Announced actions, graded by their session's flags and whether anything there is grounded."""
+    return _detect(g, _consequential_action(g.as_of))
+
+
+def well_sourced_load_bearer(g: ClaimGraph) -> DataFrame:
+    return _detect(g, _well_sourced_load_bearer(g.as_of))
+
+
+def productive_stress_test(g: ClaimGraph) -> DataFrame:
+    return _detect(g, _productive_stress_test(g.as_of))
+
+
+def grounded_premise_adopted(g: ClaimGraph) -> DataFrame:
+    return _detect(g, _grounded_premise_adopted(g.as_of))
+
+
+def orphan(g: ClaimGraph) -> DataFrame:
+    """Claims that no edge touches."""
+    return _detect(g, _orphan(g.as_of))
 
 
 def coverage_imbalance(g: ClaimGraph) -> DataFrame:
@@ -116,13 +209,6 @@ def premature_closure(g: ClaimGraph) -> DataFrame:
     return _found(rows, "premature_closure", F.when(F.col("terminates_inquiry") & F.col("caps"), "warning").otherwise("info"), "place")
 
 
-def legacy_load_bearer(g: ClaimGraph) -> DataFrame:
-    """Old open claims that are still referred to and carry structural edges."""
-    idle = ~older_than(g.as_of, 7, "last_referenced_at") | F.expr(f"timestamp_ntz '{g.as_of}' - last_referenced_at = interval '7' day")
-    rows = g.weighed.where(older_than(g.as_of, 30, "created_at") & idle & ~F.col("closed") & (F.col("n_incoming") >= 2))
-    return _found(rows, "legacy_load_bearer", "warning", "n_incoming", True)
-
-
 def sycophancy_saturation(g: ClaimGraph) -> DataFrame:
     """Sessions in which assistant claims are flagged at a high rate beside weak claims that stand."""
     flags = sum((F.col(c).cast("int") for c in ("grand_significance", "unique_connection", "dismisses_counterevidence")), F.lit(0))
@@ -143,18 +229,6 @@ def sycophancy_saturation(g: ClaimGraph) -> DataFrame:
     return _found(rows, "sycophancy_saturation", "warning", "flagged", anchor=F.col("top.id"))
 
 
-def ability_overstatement(g: ClaimGraph) -> DataFrame:
-    rows = g.weighed.where("not closed and not challenged and ability_overstatement and speaker = 'assistant'")
-    return _found(rows, "ability_overstatement", F.when(F.col("total") >= 2, "warning").otherwise("info"), "total")
-
-
-def sentience_drift(g: ClaimGraph) -> DataFrame:
-    drift = F.col("sentience_claim") | F.col("relational_drift")
-    rows = g.weighed.where((F.col("speaker") == "assistant") & ~F.col("closed") & drift)
-    rows = rows.withColumn("in_session", F.count("*").over(Window.partitionBy("project", "session_id"))).where("not challenged")
-    return _found(rows, "sentience_drift", F.when((F.col("total") >= 2) | (F.col("in_session") >= 3), "warning").otherwise("info"), "in_session")
-
-
 def amplification_cascade(g: ClaimGraph) -> DataFrame:
     """Runs of three or more flagged claims of a session, one of an assistant at least, that no pushback breaks."""
     runs = g.cascades.groupBy("project", "session_id", "island").agg(
@@ -166,43 +240,13 @@ def amplification_cascade(g: ClaimGraph) -> DataFrame:
     return _found(rows, "amplification_cascade", "warning", "n", anchor=F.get("run.id", 0), ids=F.array_join("run.id", ","))
 
 
-def consequential_action(g: ClaimGraph) -> DataFrame:
-    """Announced actions, graded by their session's flags and whether anything there is grounded."""
-    live = g.claims.where("not closed and not challenged")
-    session = Window.partitionBy("project", "session_id")
-    rows = live.withColumns({"flagged": F.count_if(moore_flagged()).over(session), "grounded": F.bool_or(F.col("basis").isin("research", "empirical")).over(session)}).where("consequential_action")
-    severity = F.when((F.col("flagged") >= 3) & ~F.col("grounded"), "critical").when(F.col("flagged") >= 2, "warning").otherwise("info")
-    return _found(rows, "consequential_action", severity, "flagged")
-
-
-def well_sourced_load_bearer(g: ClaimGraph) -> DataFrame:
-    return _found(g.weighed.where(is_strong() & (F.col("total") >= 2)), "strength_well_sourced_load_bearer", "info", "total")
-
-
-def productive_stress_test(g: ClaimGraph) -> DataFrame:
-    return _found(g.weighed.where("(challenged or pushed_back) and has_in and has_out"), "strength_productive_stress_test", "info", "degree")
-
-
-def grounded_premise_adopted(g: ClaimGraph) -> DataFrame:
-    bots = g.claims.where("speaker = 'assistant'").select(F.col("id").alias("from_id"))
-    adopted = g.edges.where("relation in ('supports', 'depends_on')").join(bots, "from_id", "left_semi").groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("adoptions"))
-    rows = g.claims.where((F.col("speaker") == "user") & is_strong()).join(adopted, "id").where("adoptions >= 2")
-    return _found(rows, "strength_grounded_premise_adopted", "info", "adoptions")
-
-
-def orphan(g: ClaimGraph) -> DataFrame:
-    """Claims that no edge touches."""
-    rows = g.claims.join(g.marks.select("id"), "id", "left_anti")
-    return _found(rows, "orphan", "warning", F.lit(0))
-
-
-def bottleneck(g: ClaimGraph, chunk: int = 64) -> DataFrame:
+def bottleneck(g: ClaimGraph, chunk: int = 256) -> DataFrame:
     """Claims through which unusually many shortest paths of the recent graph run.
 
     The recent graph keeps edges with a recent end, undirected, parallel edges
-    multiplying paths. Sources are dealt in chunks of a component, each with the
-    component's edges beside it, and the partial scores are summed; a component is
-    what one project said within hours. A score at least 1 and two population
+    multiplying paths. Sources are dealt in chunks of a project, each with the project's
+    recent edges beside it (what it said within hours), and the partial scores are
+    summed. A score at least 1 and two population
     deviations above the mean of the claims that others reach is a finding.
     """
     from claimloom.functions.claims import is_recent
@@ -253,51 +297,78 @@ def bottleneck(g: ClaimGraph, chunk: int = 64) -> DataFrame:
     return _found(rows, "bottleneck", F.when(F.col("challenged"), "info").otherwise("warning"), F.round("score"))
 
 
-def unchallenged_chain(g: ClaimGraph, max_length: int = 2000, max_paths: int = 5_000_000) -> DataFrame:
+def _heights(good: DataFrame, steps: DataFrame, at_once: int, max_length: int) -> DataFrame:
+    """``(id, height, next)`` of claims below which no cycle is: how many claims their longest chain has, and where it goes.
+
+    A round gives a height to every claim whose heads have theirs; ``at_once`` rounds
+    are one job. Of equally high heads the one of the least id is next.
+    """
+    leaves = good.join(steps.select(F.col("from_id").alias("id")), "id", "left_anti").select("id", F.lit(1).alias("height"), F.lit(None).cast("string").alias("next"))
+    known, totals = stage_told(leaves, "chain-heights", n=F.count("*"))
+    leaves = known.df
+    for _ in range(0, max_length, at_once):
+        before, now = totals["n"], known.df
+        for _ in range(at_once):
+            heads = now.select(F.col("id").alias("to_id"), F.col("height").alias("h"))
+            tails = steps.join(heads, "to_id", "left").groupBy(F.col("from_id").alias("id")).agg(F.bool_and(F.col("h").isNotNull()).alias("ready"), F.min(F.struct(-F.col("h"), "to_id")).alias("best"))
+            now = leaves.unionByName(tails.where("ready").select("id", (1 - F.col("best.col1")).cast("int").alias("height"), F.col("best.to_id").alias("next")))
+        known, totals = stage_told(now, "chain-heights", n=F.count("*"))
+        if totals["n"] == before:
+            return known.df
+    raise RuntimeError(f"chains of more than {max_length} claims; raise max_length to find them")
+
+
+def _followed(starts: DataFrame, known: DataFrame) -> DataFrame:
+    """``(project, ids)``: the chain of each start ``(project, over, length)`` along ``next``, by jumps of powers of two."""
+    longest = starts.agg(F.max("length")).first()[0] or 0
+    rows = starts.select("project", F.col("over").alias("id"), F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("place"))
+    jump = known.where("next is not null").select(F.col("id").alias("was"), F.col("next").alias("to"))
+    for bit in range(max(0, longest - 1).bit_length()):
+        rows = rows.join(jump, (F.col("id") == F.col("was")) & (F.col("place").bitwiseAND(1 << bit) > 0), "left").select("project", F.coalesce("to", "id").alias("id"), "place")
+        further = jump.select(F.col("was").alias("mid"), F.col("to").alias("end"))
+        jump = stage(jump.join(further, F.col("to") == F.col("mid")).select("was", F.col("end").alias("to")), "chain-jumps").df
+    return rows.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("place", "id")))["id"].alias("ids"))
+
+
+def unchallenged_chain(g: ClaimGraph, max_length: int = 2000, max_paths: int = 5_000_000, at_once: int = 6) -> DataFrame:
     """The longest chain of each project, of three claims or more, that nobody challenged or pushed back on.
 
     Chains follow structural edges from tail to head. Claims without a cycle below them
-    get their height by peeling leaves, a join a round. What a cycle holds back is
-    searched path by path, a step a round; more than ``max_paths`` open paths raise.
-    Of equal chains the one with the least ids, from its start, is returned.
+    get their height by rounds of joins, and only the winning chains are followed at the
+    end. What a cycle holds back is searched path by path, a step a round; more than
+    ``max_paths`` open paths, or rounds beyond ``max_length``, raise. Of equal chains the
+    one with the least ids, from its start, is returned.
     """
     good = g.claims.where("not challenged").select("id", "project").join(g.marks.where("pushed_back").select("id"), "id", "left_anti")
-    heads = good.select(F.col("id").alias("to_id"))
-    steps = g.edges.where("relation in ('supports', 'depends_on') and from_id <> to_id").select("from_id", "to_id").distinct()
-    steps = stage(steps.join(good.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(heads, "to_id", "left_semi"), "chain-steps").df
     good = stage(good, "chain-claims").df
-    # heights: a claim is done once all its heads are
-    done = stage(good.join(steps.select(F.col("from_id").alias("id")), "id", "left_anti").select("id", F.lit(1).alias("height"), F.array("id").alias("chain")), "chain-done").df
-    open_steps = steps
-    for _ in range(max_length):
-        joined = open_steps.join(done.select(F.col("id").alias("to_id"), F.col("height").alias("h"), F.col("chain").alias("c")), "to_id", "left")
-        tails = joined.groupBy(F.col("from_id").alias("id")).agg(F.bool_and(F.col("h").isNotNull()).alias("ready"), F.min(F.struct(-F.col("h"), "c")).alias("best"))
-        ready = tails.where("ready").join(done.select("id"), "id", "left_anti")
-        fresh = stage(ready.select("id", (1 - F.col("best.col1")).cast("int").alias("height"), F.concat(F.array("id"), "best.c").alias("chain")), "chain-fresh").df
-        if fresh.isEmpty():
-            break
-        done = done.unionByName(fresh)
-        open_steps = stage(open_steps.join(fresh.select(F.col("id").alias("from_id")), "from_id", "left_anti"), "chain-open").df
-    best = done
-    held = stage(good.select("id").join(done.select("id"), "id", "left_anti"), "chain-held").df
-    if not held.isEmpty():
-        paths = stage(held.select("id", F.array("id").alias("chain"), F.col("id").alias("end")), "chain-paths").df
-        while True:
-            n = paths.count()
-            if n == 0:
-                break
+    steps = g.edges.where("relation in ('supports', 'depends_on') and from_id <> to_id").select("from_id", "to_id").distinct()
+    steps = stage(steps.join(good.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(good.select(F.col("id").alias("to_id")), "to_id", "left_semi"), "chain-steps").df
+    known = _heights(good, steps, at_once, max_length)
+    # a chain is a path of claims that cycles hold back, then the chain of a claim of known height
+    best = known.select("id", "height", F.array().cast("array<string>").alias("path"), F.col("id").alias("over"))
+    held, totals = stage_told(good.select("id").join(known.select("id"), "id", "left_anti"), "chain-held", n=F.count("*"))
+    if totals["n"]:
+        paths, n = held.df.select("id", F.array("id").alias("path"), F.col("id").alias("end")), totals["n"]
+        while n:
             if n > max_paths:
                 raise RuntimeError(f"{n} open paths through cycles; raise max_paths to search them all")
             inside = paths.join(steps, F.col("end") == F.col("from_id"), "left")
-            settled = inside.join(done.select(F.col("id").alias("to_id"), F.col("height").alias("h"), F.col("chain").alias("c")), "to_id", "left")
+            settled = inside.join(known.select(F.col("id").alias("to_id"), F.col("height").alias("h")), "to_id", "left")
             # a path may stop anywhere, or go over into a claim of known height
-            over = settled.where("h is not null").select("id", (F.size("chain") + F.col("h")).alias("height"), F.concat("chain", "c").alias("chain"))
-            stop = paths.select("id", F.size("chain").alias("height"), "chain")
-            best = stage(best.unionByName(stop).unionByName(over).groupBy("id").agg(F.min(F.struct(-F.col("height"), "chain")).alias("b")).select("id", (-F.col("b.col1")).cast("int").alias("height"), "b.chain"), "chain-best").df
-            longer = settled.where("h is null and to_id is not null and not array_contains(chain, to_id)")
-            paths = stage(longer.select("id", F.concat("chain", F.array("to_id")).alias("chain"), F.col("to_id").alias("end")), "chain-paths").df
-    rows = best.join(good, "id").where("height >= 3").groupBy("project").agg(F.min(F.struct(-F.col("height"), "chain")).alias("b"))
-    return _found(rows, "unchallenged_chain", "warning", -F.col("b.col1"), anchor=F.get("b.chain", 0), ids=F.array_join("b.chain", ","))
+            over = settled.where("h is not null").select("id", (F.size("path") + F.col("h")).alias("height"), "path", F.col("to_id").alias("over"))
+            stop = paths.select("id", F.size("path").alias("height"), "path", F.lit(None).cast("string").alias("over"))
+            rank = F.struct(-F.col("height"), F.concat("path", F.array_compact(F.array("over"))), "path", "over")
+            best = stage(best.unionByName(stop).unionByName(over).groupBy("id").agg(F.min(rank).alias("b")).select("id", (-F.col("b.col1")).cast("int").alias("height"), "b.path", "b.over"), "chain-best").df
+            longer = settled.where("h is null and to_id is not null and not array_contains(path, to_id)")
+            staged, totals = stage_told(longer.select("id", F.concat("path", F.array("to_id")).alias("path"), F.col("to_id").alias("end")), "chain-paths", n=F.count("*"))
+            paths, n = staged.df, totals["n"]
+    rank = F.struct(-F.col("height"), F.concat("path", F.array_compact(F.array("over"))), "path", "over")
+    rows = best.where("height >= 3").join(good, "id").groupBy("project").agg(F.min(rank).alias("b"))
+    rows = stage(rows.select("project", (-F.col("b.col1")).alias("height"), "b.path", "b.over"), "chain-winners").df
+    tails = _followed(rows.where("over is not null").select("project", "over", (F.col("height") - F.size("path")).alias("length")), known)
+    whole = rows.join(tails.withColumnRenamed("project", "its_project"), F.col("project").eqNullSafe(F.col("its_project")), "left")
+    whole = whole.withColumn("chain", F.concat("path", F.coalesce("ids", F.array().cast("array<string>"))))
+    return _found(whole, "unchallenged_chain", "warning", "height", anchor=F.get("chain", 0), ids=F.array_join("chain", ","))
 
 
 #: In the order in which findings are listed.
@@ -311,13 +382,39 @@ DETECTORS = {
 }
 
 
+#: Those of them that rows of ``weighed`` decide.
+RULES = {
+    f.__name__[1:]: f
+    for f in (
+        _load_bearing_vibes, _fluency_trap, _legacy_load_bearer, _ability_overstatement, _sentience_drift, _consequential_action,
+        _well_sourced_load_bearer, _productive_stress_test, _grounded_premise_adopted, _orphan,
+    )
+}
+
+
+def _by_row(g: ClaimGraph, names: list[str]) -> DataFrame:
+    """Findings of all rules that ``names`` lists, in one pass over the claims."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    found = []
+    for seq, name in enumerate(DETECTORS):
+        if name in names:
+            rule = RULES[name](g.as_of)
+            measure = rule.measure if isinstance(rule.measure, Column) else F.col(rule.measure)
+            finding = F.struct(
+                F.lit(rule.kind).alias("type"), as_column(rule.severity).alias("severity"), as_column(rule.persistent).alias("persistent"), measure.cast("long").alias("measure"), F.lit(seq).alias("seq")
+            )
+            found.append(F.when(rule.where, finding))
+    rows = g.weighed.select("project", "id", F.explode(F.array_compact(F.array(*found))).alias("f"))
+    return rows.select("project", "f.type", "f.severity", F.col("id").alias("anchor_id"), F.col("id").alias("claim_ids"), "f.persistent", "f.measure", "f.seq")
+
+
 def findings(g: ClaimGraph, names: tuple[str, ...] | None = None) -> DataFrame:
-    """All findings, each with its detector's place as ``seq``."""
-    out = None
+    """All findings, each with its detector's place as ``seq``; the frames that detectors share are written once."""
+    g = g.staged()
+    wanted = [n for n in DETECTORS if names is None or n in names]
+    out = _by_row(g, [n for n in wanted if n in RULES]) if any(n in RULES for n in wanted) else None
     for seq, (name, detect) in enumerate(DETECTORS.items()):
-        if names is None or name in names:
+        if name in wanted and name not in RULES:
             part = detect(g).withColumn("seq", F.lit(seq))
             out = part if out is None else out.unionByName(part)
     return out
-
-

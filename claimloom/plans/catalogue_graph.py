@@ -144,20 +144,30 @@ _BODIES = {
 QUERIES["detect_bottleneck"] = lambda spark, sf_dir: D.bottleneck(graph(spark, sf_dir))
 QUERIES["detect_unchallenged_chain"] = lambda spark, sf_dir: D.unchallenged_chain(graph(spark, sf_dir))
 
-#: Detectors that both engines can state, all together.
+#: Detectors that SQL can state too; queries over these alone are named ``stated_`` and held against it.
 STATED = tuple(_BODIES)
 _ALL_CTES = ", " + ", ".join(dict.fromkeys([*(m.strip() for n, (_, m) in _BODIES.items() if m and n not in ("coverage_imbalance", "abandoned_topic")), _BODIES["abandoned_topic"][1].strip()]))
 _SEQ = {n: i for i, n in enumerate(D.DETECTORS)}
 _FOUND = _ALL_CTES + ", found as (" + " union all ".join(f"select *, {_SEQ[n]} as seq from ({b})" for n, (b, _) in _BODIES.items()) + ") "
 
 
-@query("findings", _FOUND + "select * from found")
+@query("findings", None)
 def findings(spark, sf_dir):
-    return D.findings(graph(spark, sf_dir), STATED)
+    return D.findings(graph(spark, sf_dir))
 
 
-@query("severity_rollup", _FOUND + "select project, count_if(severity = 'critical' and not starts_with(type, 'strength_')) as critical, count_if(severity = 'warning' and not starts_with(type, 'strength_')) as warning, count_if(severity = 'info' and not starts_with(type, 'strength_')) as info, count_if(starts_with(type, 'strength_')) as strengths, count(*) as total from found group by 1")
+@query("severity_rollup", None)
 def severity_rollup(spark, sf_dir):
+    return M.severity_rollup(D.findings(graph(spark, sf_dir)))
+
+
+@query("stated_findings", _FOUND + "select * from found")
+def stated_findings(spark, sf_dir):
+    return D.findings(graph(spark, sf_dir), STATED)
+
+
+@query("stated_severity_rollup", _FOUND + "select project, count_if(severity = 'critical' and not starts_with(type, 'strength_')) as critical, count_if(severity = 'warning' and not starts_with(type, 'strength_')) as warning, count_if(severity = 'info' and not starts_with(type, 'strength_')) as info, count_if(starts_with(type, 'strength_')) as strengths, count(*) as total from found group by 1")
+def stated_severity_rollup(spark, sf_dir):
     return M.severity_rollup(D.findings(graph(spark, sf_dir), STATED))
 
 
@@ -248,14 +258,11 @@ def clusters(spark, sf_dir):
     return graph(spark, sf_dir).clusters.select("project", "component", "size", "n_edges", "importance", "attention", "density")
 
 
-@query("max_depth", ", fr(root, id, d, way) as (select id, id, 1, [id] from claims where id not in (select to_id from edges) union select root, to_id, d + 1, list_append(way, to_id) from fr join edges on from_id = fr.id where false), roots as (select id from claims where id not in (select to_id from edges)) select project, max(d) as max_depth from (select project, 1 as d from claims) group by 1 having false", base=True)
+@query("max_depth", None)  # a shortest way needs a minimum inside the recursion; tests hold it against a breadth-first search
 def max_depth(spark, sf_dir):
     return graph(spark, sf_dir).depths()
 
 
-del ORACLES["max_depth"]  # a shortest way needs a minimum inside the recursion; tests hold it against a breadth-first search
-
-
 @query("integrity", ", o as (select project, count(*) as n, count_if(degree = 0) as orphans from w group by 1) select project, n, orphans, n > 3 and orphans / n > 0.4 as under_connected from o")
 def integrity(spark, sf_dir):
     return M.integrity(graph(spark, sf_dir))
@@ -407,16 +414,34 @@ cand as (select f.*, tier, coalesce(grand_significance or unique_connection or d
 sel as (select *, row_number() over (partition by project order by tier, flagged desc, seq, anchor_id) as place from cand) """
 
 
-@query("cooldown_filter", _SELECT + "select project, type, anchor_id, tier, flagged from cand")
+def _eligible(spark, sf_dir, names=None):
+    g = graph(spark, sf_dir).staged()
+    return M.eligible(g, D.findings(g, names), fires(spark, sf_dir)).select("project", "type", "anchor_id", "tier", "flagged")
+
+
+def _hooked(spark, sf_dir, names=None):
+    g = graph(spark, sf_dir).staged()
+    return M.select_for_hook(g, D.findings(g, names), fires(spark, sf_dir)).select("project", "type", "anchor_id", "place")
+
+
+@query("cooldown_filter", None)
 def cooldown_filter(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    return M.eligible(g, D.findings(g, STATED), fires(spark, sf_dir)).select("project", "type", "anchor_id", "tier", "flagged")
+    return _eligible(spark, sf_dir)
 
 
-@query("hook_selection", _SELECT + "select project, type, anchor_id, place from sel where place <= 5")
+@query("hook_selection", None)
 def hook_selection(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    return M.select_for_hook(g, D.findings(g, STATED), fires(spark, sf_dir)).select("project", "type", "anchor_id", "place")
+    return _hooked(spark, sf_dir)
+
+
+@query("stated_cooldown_filter", _SELECT + "select project, type, anchor_id, tier, flagged from cand")
+def stated_cooldown_filter(spark, sf_dir):
+    return _eligible(spark, sf_dir, STATED)
+
+
+@query("stated_hook_selection", _SELECT + "select project, type, anchor_id, place from sel where place <= 5")
+def stated_hook_selection(spark, sf_dir):
+    return _hooked(spark, sf_dir, STATED)
 
 
 _CAL = ", cs as (select project, session_id, count(*) as claims, count_if(speaker = 'assistant') as bots, count_if(speaker = 'assistant' and syc) as flagged, count_if(basis = 'vibes' and not challenged and not closed) as weak_claims from w group by 1, 2) "

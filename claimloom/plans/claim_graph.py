@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimloom.functions.claims import PUSHBACK, STRUCTURAL, is_recent
+from claimloom.functions.claims import PUSHBACK, STRUCTURAL, is_recent, moore_flagged
 from claimloom.plans.components import connected_components
 from claimloom.plans.staging import stage
 
@@ -24,6 +24,7 @@ class ClaimGraph:
     def __init__(self, claims: DataFrame, edges: DataFrame, as_of: str):
         self.as_of = as_of
         self.all_claims, self.all_edges = claims, edges
+        self.is_staged = False
 
     @cached_property
     def claims(self) -> DataFrame:
@@ -31,10 +32,25 @@ class ClaimGraph:
 
     @cached_property
     def edges(self) -> DataFrame:
-        """Edges both of whose ends are active claims, with the project of the tail."""
-        ids = self.claims.select("id", "project")
-        tails = ids.select(F.col("id").alias("from_id"), "project")
-        return self.all_edges.join(tails, "from_id").join(ids.select(F.col("id").alias("to_id")), "to_id", "left_semi")
+        """Edges both of whose ends are active claims of one project, with that project."""
+        ids = self.claims.select("id", F.coalesce("project", F.lit("")).alias("of"), "project")
+        tails = ids.select(F.col("id").alias("from_id"), "of", "project")
+        return self.all_edges.join(tails, "from_id").join(ids.select(F.col("id").alias("to_id"), "of"), ["to_id", "of"], "left_semi").drop("of")
+
+    def staged(self) -> ClaimGraph:
+        """The same graph with the frames that many operators share written once, each from those before it."""
+        if self.is_staged:
+            return self
+        out = ClaimGraph(self.all_claims, self.all_edges, self.as_of)
+        out.is_staged = True
+        out.claims = stage(self.claims, "claims").df
+        out.edges = stage(out.edges, "claim-edges").df
+        out.weighed = stage(out.weighed, "claims-weighed").df
+        out.marks = out.weighed.where("degree > 0").select("id", "pushed_back", "contradicted", "has_in", "has_out", "degree")
+        out.dependent_counts = out.weighed.where("total > 0").select("id", "total", "recent", "sessions")
+        out.components = stage(out.components, "claim-components").df
+        out.clusters = stage(out.clusters, "claim-clusters").df
+        return out
 
     @cached_property
     def dependents(self) -> DataFrame:
@@ -79,11 +95,30 @@ class ClaimGraph:
             F.count("*").alias("degree"),
         )
 
+    @cached_property
+    def adoptions(self) -> DataFrame:
+        """``(id, adoptions)``: structural edges from an assistant's claims into each."""
+        bots = self.claims.where("speaker = 'assistant'").select(F.col("id").alias("from_id"))
+        return self.edges.where(F.col("relation").isin(*STRUCTURAL)).join(bots, "from_id", "left_semi").groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("adoptions"))
+
+    @cached_property
+    def session_marks(self) -> DataFrame:
+        """Per session: drifting assistant claims, flagged live claims, and whether a live one is grounded."""
+        live = ~F.col("closed") & ~F.col("challenged")
+        drift = (F.col("speaker") == "assistant") & ~F.col("closed") & (F.col("sentience_claim") | F.col("relational_drift"))
+        return self.claims.groupBy("project", "session_id").agg(
+            F.count_if(drift).alias("drifting"),
+            F.count_if(live & moore_flagged()).alias("flagged"),
+            F.coalesce(F.bool_or(live & F.col("basis").isin("research", "empirical")), F.lit(False)).alias("grounded"),
+        )
+
     @cached_property
     def weighed(self) -> DataFrame:
-        """Claims with their dependents' counts and marks, zeros and false where there are none."""
-        out = self.claims.join(self.dependent_counts, "id", "left").join(self.incoming, "id", "left").join(self.marks, "id", "left")
-        zero = {c: F.coalesce(c, F.lit(0)) for c in ("total", "recent", "sessions", "n_incoming", "degree")}
+        """Claims with their dependents' counts, marks, adoptions and what their session is like; zeros and false where there are none."""
+        out = self.claims.join(self.dependent_counts, "id", "left").join(self.incoming, "id", "left").join(self.marks, "id", "left").join(self.adoptions, "id", "left")
+        session = self.session_marks.withColumnsRenamed({"project": "its_project", "session_id": "its_session"})
+        out = out.join(session, F.col("project").eqNullSafe(F.col("its_project")) & F.col("session_id").eqNullSafe(F.col("its_session")), "left").drop("its_project", "its_session")
+        zero = {c: F.coalesce(c, F.lit(0)) for c in ("total", "recent", "sessions", "n_incoming", "degree", "adoptions")}
         return out.withColumns(zero | {c: F.coalesce(c, F.lit(False)) for c in ("pushed_back", "contradicted", "has_in", "has_out")})
 
     @cached_property
@@ -130,7 +165,9 @@ class ClaimGraph:
         roots = self.claims.select("id", "project").join(inner.select(F.col("to_id").alias("id")), "id", "left_anti")
         front = stage(roots.select(F.col("id").alias("root"), "id"), "depth-front").df
         seen, last = front.withColumn("depth", F.lit(1)), 1
-        while last < max_rounds:
+        while True:
+            if last == max_rounds:
+                raise RuntimeError(f"ways of more than {max_rounds} claims; raise max_rounds")
             after = front.join(inner, front["id"] == inner["from_id"]).select("root", F.col("to_id").alias("id")).distinct()
             front = stage(after.join(seen.select("root", "id"), ["root", "id"], "left_anti"), "depth-front").df
             if front.isEmpty():

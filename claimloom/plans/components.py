@@ -2,7 +2,8 @@
 
 Each step is a min aggregation and an equi-join, so a vertex with very many
 neighbours is pre-aggregated before the shuffle and its join is open to AQE skew
-splitting. Every round is written to the shared folder, which cuts the lineage.
+splitting. Every round is one job: its write to the shared folder cuts the lineage and
+takes the totals that tell when nothing changes.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.plans.staging import drop_staged, stage
+from claimloom.plans.staging import drop_staged, stage_told
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -42,23 +43,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     repeated edges and edges with a null end are ignored; no edges give no rows.
     Raises if ``max_rounds`` rounds don't settle, rather than return a partial answer.
     """
-    spark = edges.sparkSession
-    now = stage(
+    told = {"n": F.count("*"), "total": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    first = (
         edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
         .where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        "edges",
+        .distinct()
     )
-    seen = None
+    now, seen = stage_told(first, "edges", **told)
     for _ in range(max_rounds):
-        n, total = now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if n == 0 or (n, total) == seen:
+        after, totals = stage_told(_round(now.df), "edges", **told)
+        drop_staged(edges.sparkSession, now.path)
+        now = after
+        if totals == seen or not totals["n"]:
             return now.df.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 now.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        seen = (n, total)
-        after = stage(_round(now.df), "edges")
-        drop_staged(spark, now.path)
-        now = after
+        seen = totals
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,17 +2,20 @@
 
 A staged table lives under the folder that the session names in
 ``spark.checkpoint.dir``; a folder of our own is used only where that setting is
-absent, as in tests. Staged tables survive the loss of any executor.
+absent and all of Spark runs on this machine, as in tests. Staged tables survive the
+loss of any executor. What a block stages under :func:`released` goes at its end.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
-#: Used only where the session names no checkpoint folder.
+#: Used only where the session names no checkpoint folder and is local.
 FALLBACK_DIR = "/tmp/claimloom-checkpoints"
 
 
@@ -24,28 +27,55 @@ class Staged(NamedTuple):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; sets one where there is none."""
+    """The session's shared folder; a local session without one gets one, any other raises."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(FALLBACK_DIR)
         named = FALLBACK_DIR
     return named.rstrip("/")
 
 
+#: The places that each open block of :func:`released` has handed out.
+_HANDED_OUT: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/claimloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/claimloom/{name}-{uuid.uuid4().hex}"
+    if _HANDED_OUT:
+        _HANDED_OUT[-1].append(path)
+    return path
+
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes what is staged inside the block once it ends; nothing lazy that reads it may leave the block."""
+    _HANDED_OUT.append([])
+    try:
+        yield
+    finally:
+        for path in _HANDED_OUT.pop():
+            drop_staged(spark, path)
 
-def stage(df: DataFrame, name: str) -> Staged:
+
+def stage(df: DataFrame, name: str, path: str | None = None) -> Staged:
     """Write ``df`` to the shared folder and return the reread table."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return Staged(spark.read.schema(df.schema).parquet(path), path)
 
 
+def stage_told(df: DataFrame, name: str, **totals: Column) -> tuple[Staged, dict]:
+    """:func:`stage`, with totals of the rows that the same write takes."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *[c.alias(n) for n, c in totals.items()]), name)
+    return staged, seen.get
+
+
 def drop_staged(spark: SparkSession, path: str) -> None:
     """Remove a staged table that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
