@@ -35,7 +35,6 @@ BITS, DIMS, CELL_BITS = 10, 4, 8
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words that a worker remembers the ids of before it starts anew.
 REMEMBERED = 600_000
-_SPACE = re.compile("[ \n\t\r]+")
 _MARK = re.compile("[\u0300-\u036f]")
 
 
@@ -126,31 +125,46 @@ class WordTokenizer:
         self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
         self.mark = self.inner.id_to_token(max(self.inner.get_added_tokens_decoder()))
         self.mark_id = self.inner.token_to_id(self.mark)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         # a word that holds a part of a special token's string, or becomes one in lower case, goes alone, as ordinary text
-        alone = [w for w in words if "<|" in w or "|>" in w]
-        for w, e in zip(alone, self.plain.encode_batch_fast(alone, add_special_tokens=False)):
+        alone = [w for w in words if b"<|" in w or b"|>" in w]
+        for w, e in zip(alone, self.plain.encode_batch_fast([_text(w) for w in alone], add_special_tokens=False)):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
         rest = [w for w in words if w not in self.known]
         for at in range(0, len(rest), 512):
             part = rest[at : at + 512]
-            ids = np.array(self.inner.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.inner.encode_batch_fast([self.mark.join(map(_text, part))], add_special_tokens=False)[0].ids, "<u4")
             edges = [0, *(np.flatnonzero(ids == self.mark_id) + 1).tolist(), len(ids) + 1]
             data = ids.tobytes()
             self.known.update((w, data[4 * a : 4 * b - 4]) for w, a, b in zip(part, edges, edges[1:]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = {i: np.array(self.inner.encode(t, add_special_tokens=False).ids, "<u4") for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        texts = ["" if i in whole else t for i, t in enumerate(texts)]
-        # the tokenizer lower-cases; letters A-Z can be lowered first unless a mark could combine with them
-        split = [_SPACE.split(t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if not _MARK.search(t) else t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
-        known = self.known
-        self.learn(list({w for words in split for w in words if w not in known}))
-        return [whole[i] if i in whole else np.frombuffer(b"".join([known[w] for w in words]), "<u4") for i, words in enumerate(split)]
+        out, split, open_ = [], [], set()
+        for t in texts:
+            if any(s in t for s in self.special):
+                out.append(np.array(self.inner.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+                split.append(())
+                continue
+            data = t.encode("utf-8", "surrogatepass")
+            # the tokenizer lower-cases; letters A-Z can be lowered first unless a mark could combine with them
+            words = (data.lower() if t.isascii() or not _MARK.search(t) else data).split()
+            parts = list(map(self.known.get, words))
+            if None in parts:
+                open_.update(w for w, p in zip(words, parts) if p is None)
+                out.append(None)
+            else:
+                out.append(b"".join(parts))
+            split.append(words)
+        self.learn(list(open_))
+        return [np.frombuffer(b"".join(map(self.known.get, words)) if ids is None else ids, "<u4") for words, ids in zip(split, out)]
+
+
+def _text(word: bytes) -> str:
+    return word.decode("utf-8", "surrogatepass")
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
