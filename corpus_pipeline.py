@@ -4,9 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 Parquet and reread as the next one's docs. All but the last return the columns of
 documents; the last returns the packed pieces.
 
-Defined results of every stage: rows with null or empty text go through each stage by
-its operator's rule, repeated rows are kept or dropped alike, and an empty table stays
-empty.
+Defined results of every stage: nulls in any column are allowed; an id may be null or
+repeated, and every stage decides by id and text, so that texts under one id don't share
+their fate. Null and empty texts score and hash as empty texts, are never contaminated
+and hold no secrets. Texts of any length are taken whole. Ties (repeated rows equal in
+all columns) are kept or dropped alike, also by the stage for near duplicates, which
+keeps one row of any others. Columns beyond those of documents pass through, whatever
+their names. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from claimloom.llm import decontaminate, hilbert_packing, quality_knn, secret_scan, simhash_vptree
-from claimloom.plans.staging import stage
+from claimloom.plans.staging import drop_staged, new_path, released, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +60,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result is written to the shared folder and reread.
+
+    What a stage wrote on its way goes once its result is written, and that once the next one's is.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}").df
+        path = new_path(spark, f"pipeline-{name}")
+        with released(spark):
+            docs = stage(function(spark, docs, sf_dir), name, path).df
+        if before:
+            drop_staged(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
