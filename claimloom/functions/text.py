@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,7 +73,8 @@ def validated_basis(basis: Column, source: Column, text: Column, transcript: Col
 
 
 def coerced_basis(basis: Column, speaker: Column) -> Column:
-    return F.when(basis.isin(*BASIS_ORDER), basis).otherwise(F.when(speaker == "assistant", "llm_output").otherwise("vibes"))
+    told = F.lower(F.trim(basis))
+    return F.when(told.isin(*BASIS_ORDER), told).otherwise(F.when(speaker == "assistant", "llm_output").otherwise("vibes"))
 
 
 def document_source(path: Column, headings: Column) -> Column:
@@ -95,6 +99,28 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def verify_key(text: Column) -> Column:
+    """The key under which a text's check is kept: the hash of its composed, case-folded words."""
+
+    @F.pandas_udf("string")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).casefold().split()))
+
+    return F.substring(F.sha2(folded(text), 256), 1, 24)
+
+
+def query_text(text: Column, most: int = 200) -> Column:
+    """What to search for: a text's words within ``most`` bytes, without a character that the cut would break."""
+    bare = F.trim(F.regexp_replace(text, r"[\s\x{85}\x{A0}]+", " "))
+    cut = F.make_valid_utf8(F.substring(F.encode(bare, "UTF-8"), 1, most).cast("string"))
+    return F.when(F.octet_length(bare) <= most, bare).otherwise(F.regexp_replace(cut, "\ufffd+$", ""))
+
+
+def flattened_messages(messages: Column) -> Column:
+    """An array of ``(role, content)`` as one string that equal arrays alone share."""
+    return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(":\x1f"), m["content"], F.lit("\x1e"))), "")
+
+
 def token_estimate(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4)
 

@@ -81,3 +81,24 @@ def edge_matches(gold: DataFrame, found: DataFrame) -> DataFrame:
     f = found.select("episode", F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b"), F.col("relation").alias("got"))
     same = f.groupBy("episode", "a", "b").agg(F.collect_set("got").alias("got"))
     return g.join(same, ["episode", "a", "b"], "left").select("episode", "a", "b", "want", F.col("got").isNotNull().alias("matched"), F.coalesce(F.array_contains("got", F.col("want")), F.lit(False)).alias("agrees"))
+
+
+def match_rates(episodes: DataFrame) -> DataFrame:
+    """Over all episodes, from their sums: recall of claims and edges, precision of edges, and how many matched edges have the right relation.
+
+    ``episodes`` has gold_claims, matched_claims, gold_edges, matched_edges, found_edges and right_relations.
+    """
+    names = ("gold_claims", "matched_claims", "gold_edges", "matched_edges", "found_edges", "right_relations")
+    s = {n: F.coalesce(F.sum(n), F.lit(0)) for n in names}
+    return episodes.agg(
+        rate(s["matched_claims"], s["gold_claims"]).alias("claim_recall"), rate(s["matched_edges"], s["gold_edges"]).alias("edge_recall"),
+        rate(s["matched_edges"], s["found_edges"]).alias("edge_precision"), rate(s["right_relations"], s["matched_edges"]).alias("relation_accuracy"),
+    )
+
+
+def episode_counts(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """Per episode what ``match_rates`` sums over edges: gold ones, those matched, those with the right relation, and all that were found."""
+    each = edge_matches(gold, found).groupBy("episode").agg(F.count("*").alias("gold_edges"), F.count_if("matched").alias("matched_edges"), F.count_if("agrees").alias("right_relations"))
+    all_found = found.groupBy("episode").agg(F.count("*").alias("found_edges"))
+    none = F.lit(0).cast("long")
+    return each.join(all_found, "episode", "full").select("episode", *[F.coalesce(c, none).alias(c) for c in ("gold_edges", "matched_edges", "right_relations", "found_edges")])

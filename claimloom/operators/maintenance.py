@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimloom.functions.claims import CEILINGS, RELATIONS, inventory_flagged, is_weak, older_than, sycophancy
+from claimloom.functions.claims import CEILINGS, RELATIONS, inventory_flagged, is_stop_class, is_weak, older_than, sycophancy, truncated
 from claimloom.plans.claim_graph import ClaimGraph
+from claimloom.plans.staging import stage_told
 
 #: The tier in which a finding is shown; kinds without one are reported but not shown.
 TIERS = {
@@ -95,13 +96,31 @@ def close_superseded(claims: DataFrame, edges: DataFrame) -> DataFrame:
     return claims.join(gone, "id", "left").withColumn("closed", F.col("closed") | F.coalesce("_gone", F.lit(False))).select(*claims.columns)
 
 
+def settled_merges(merges: DataFrame, max_rounds: int = 32) -> DataFrame:
+    """``merges`` (absorb, keep) with every ``keep`` one that stays: chains are followed, in rounds that double their reach.
+
+    Of several merges of one claim the least ``keep`` holds, and merges into oneself are
+    none; merges in a circle raise.
+    """
+    one = merges.where("absorb <> keep").groupBy("absorb").agg(F.min("keep").alias("keep"))
+    for _ in range(max_rounds):
+        further = one.select(F.col("absorb").alias("keep"), F.col("keep").alias("beyond"))
+        staged, told = stage_told(one.join(further, "keep", "left").select("absorb", F.coalesce("beyond", "keep").alias("keep"), F.col("beyond").isNotNull().alias("open")), "merges", n=F.count_if("open"))
+        one = staged.df.select("absorb", "keep")
+        if not told["n"]:
+            return one
+        if not one.where("absorb = keep").isEmpty():
+            break
+    raise ValueError("claims are merged in a circle")
+
+
 def merge_claims(claims: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Claims and edges after each ``absorb`` of ``merges`` has gone into its ``keep``.
+    """Claims and edges after each ``absorb`` of ``merges`` has gone into its ``keep``, or into what that went into.
 
     Edges follow; loops go, and of edges that become equal one that was there stays.
     Membership of the absorbed claim goes with it.
     """
-    to = merges.select("absorb", "keep")
+    to = settled_merges(merges.select("absorb", "keep"))
     moved = edges.join(to.withColumnsRenamed({"absorb": "from_id", "keep": "f"}), "from_id", "left").join(to.withColumnsRenamed({"absorb": "to_id", "keep": "t"}), "to_id", "left")
     moved = moved.select("id", F.coalesce("f", "from_id").alias("from_id"), F.coalesce("t", "to_id").alias("to_id"), "relation", "strength", "created_at", (F.col("f").isNotNull() | F.col("t").isNotNull()).alias("moved"))
     one = moved.where("from_id <> to_id").groupBy("from_id", "to_id", "relation").agg(F.min(F.struct("moved", "id", "strength", "created_at")).alias("e"))
@@ -119,8 +138,13 @@ def set_archived(claims: DataFrame, ids: DataFrame, archived: bool, project: str
 
 
 def challenge(claims: DataFrame, changes: DataFrame) -> DataFrame:
-    """Claims of ``changes`` (id, new_text, new_basis) are challenged; a change that isn't null takes effect."""
-    out = claims.join(changes, "id", "left").withColumns({"challenged": F.col("challenged") | F.coalesce("new_text", "new_basis").isNotNull(), "text": F.coalesce("new_text", "text"), "basis": F.coalesce("new_basis", "basis")})
+    """Claims of ``changes`` (id, new_text, new_basis) are challenged, whether or not anything is revised.
+
+    A new text or basis that is neither null nor empty takes effect; of several changes
+    of one claim, the greatest such text and basis.
+    """
+    one = changes.groupBy("id").agg(F.max(F.expr("nullif(new_text, '')")).alias("_text"), F.max(F.expr("nullif(new_basis, '')")).alias("_basis")).withColumn("_hit", F.lit(True))
+    out = claims.join(one, "id", "left").withColumns({"challenged": F.col("challenged") | F.coalesce("_hit", F.lit(False)), "text": F.coalesce("_text", "text"), "basis": F.coalesce("_basis", "basis")})
     return out.select(*claims.columns)
 
 
@@ -133,7 +157,109 @@ def delete_project(claims: DataFrame, edges: DataFrame, project: str) -> tuple[D
     """Claims and edges without those of ``project``; an edge goes with either end."""
     gone = claims.where(F.col("project") == project).select("id")
     left = edges.join(gone.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
-    return claims.where(F.col("project") != project), left
+    return claims.where(~F.col("project").eqNullSafe(F.lit(project))), left
+
+
+def unarchive_project(claims: DataFrame, project: str, as_of: str) -> DataFrame:
+    """All archived claims of a project taken back, which counts as a reference."""
+    hit = F.coalesce("archived", F.lit(False)) & (F.col("project") == project)
+    back = F.when(hit, F.expr(f"timestamp_ntz '{as_of}'")).otherwise(F.col("last_referenced_at"))
+    return claims.withColumn("last_referenced_at", back).withColumn("archived", F.col("archived") & ~hit)
+
+
+def delete_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    return edges.join(ids.select("id"), "id", "left_anti")
+
+
+def without_closed(claims: DataFrame) -> DataFrame:
+    """Claims that nobody retired; an unknown flag retires nothing."""
+    return claims.where(~F.coalesce("closed", F.lit(False)))
+
+
+def without_superseded(claims: DataFrame, edges: DataFrame) -> DataFrame:
+    """Claims of a set without those that a strictly newer one of the set contradicts, both times being known."""
+    ends = claims.select("id", "created_at")
+    newer = ends.select(F.col("id").alias("from_id"), F.col("created_at").alias("new_at"))
+    older = ends.select(F.col("id").alias("to_id"), F.col("created_at").alias("old_at"))
+    gone = edges.where("relation = 'contradicts'").join(newer, "from_id").join(older, "to_id").where("new_at > old_at")
+    return claims.join(gone.select(F.col("to_id").alias("id")), "id", "left_anti")
+
+
+def upsert(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """``table`` with each key of ``new`` replaced or added; ``new`` has one row a key."""
+    return table.join(new.select(*key), key, "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
+
+
+def log_fires(fires: DataFrame, picked: DataFrame, claims: DataFrame) -> DataFrame:
+    """The notification log with what was ``picked`` (id, claim_id, type, fired_at, turn) now.
+
+    Of a doubtful claim from a document the text and basis are kept, to see later
+    whether it changed; of any other nothing is.
+    """
+    now = claims.select(F.col("id").alias("claim_id"), "text", "basis", is_stop_class().alias("stop_class"))
+    rows = picked.join(now, "claim_id", "left").withColumn("stop_class", F.coalesce("stop_class", F.lit(False)))
+    kept = lambda c, none: F.when(F.col("stop_class"), F.col(c)).otherwise(F.lit(none))
+    rows = rows.select("id", "claim_id", "type", "fired_at", "stop_class", kept("text", "").alias("text_at_fire"), kept("basis", "").alias("basis_at_fire"), kept("turn", 0).cast("long").alias("turn_at_fire"))
+    return fires.unionByName(rows.select(*fires.columns))
+
+
+def sweep_stamps(last: DataFrame, swept: DataFrame, as_of: str, hours: float = 24) -> DataFrame:
+    """``(project, swept_at)`` after sweeps of ``swept`` (project, overflow): now, or half the interval ago where candidates were left over."""
+    now = F.expr(f"timestamp_ntz '{as_of}'")
+    half = F.expr(f"timestamp_ntz '{as_of}' - make_dt_interval(0, 0, {int(hours * 30)}, 0)")
+    return upsert(last, swept.select("project", F.when(F.col("overflow") > 0, half).otherwise(now).alias("swept_at")), ["project"])
+
+
+def verified_now(lookups: DataFrame, cache: DataFrame, as_of: str, hit_days: int = 7, miss_hours: int = 1) -> DataFrame:
+    """``lookups`` (key, ...) with the fresh outcome of each, if the cache (key, snippet, source, failed, fetched_at) has one.
+
+    ``hit`` says that a search succeeded within ``hit_days``; a failure within
+    ``miss_hours`` is ``resting``: not a hit, and not to be asked again yet.
+    """
+    ago = F.expr(f"timestamp_ntz '{as_of}' - fetched_at")
+    latest = latest_by_key(cache.select("key", "snippet", "source", "failed", "fetched_at"), ["key"], "fetched_at")
+    out = lookups.join(latest.withColumnRenamed("source", "checked_source"), "key", "left")
+    good = F.coalesce(~F.col("failed") & (ago <= F.expr(f"interval '{hit_days}' day")), F.lit(False))
+    rest = F.coalesce(F.col("failed") & (ago <= F.expr(f"interval '{miss_hours}' hour")), F.lit(False))
+    out = out.withColumns({"hit": good, "resting": rest})
+    return out.withColumns({c: F.when(F.col("hit"), F.col(c)) for c in ("snippet", "checked_source")}).drop("failed", "fetched_at")
+
+
+def external_checks(chosen: DataFrame, claims: DataFrame, checks: DataFrame, secondary: int = 2) -> DataFrame:
+    """``chosen`` (project, anchor_id, place) with ``check``, what a search said of its anchor.
+
+    Only doubtful claims from documents are checked (``checks``: claim_id, snippet), the
+    first finding of a project always, of the others ``secondary`` that have an answer.
+    """
+    stop = claims.where(is_stop_class()).select(F.col("id").alias("anchor_id"))
+    told = checks.where("snippet <> ''").select(F.col("claim_id").alias("anchor_id"), "snippet").join(stop, "anchor_id", "left_semi")
+    rows = chosen.join(told, "anchor_id", "left").withColumn("extra", F.col("snippet").isNotNull() & (F.col("place") > 1))
+    nth = F.sum(F.col("extra").cast("int")).over(Window.partitionBy("project").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("check", F.when(~F.col("extra") | (nth <= secondary), truncated("snippet", 220))).drop("extra", "snippet")
+
+
+def since_turn(marks: DataFrame, counted: DataFrame) -> DataFrame:
+    """``(conv, since)``: the turn after which to read; a mark at or beyond the transcript's turns means a new session."""
+    rows = counted.join(marks, "conv", "left")
+    since = F.coalesce("last_turn", F.lit(0))
+    return rows.select("conv", F.when((F.col("turns") > 0) & (since >= F.col("turns")), 0).otherwise(since).alias("since"))
+
+
+def deliverable(pending: DataFrame, delivered: DataFrame, as_of: str, hours: int = 12) -> DataFrame:
+    """The latest pending note of each session, once, unless it is older than ``hours``; ``pending`` has id, session_id, text, made_at."""
+    fresh = pending.where(F.expr(f"timestamp_ntz '{as_of}' - made_at <= interval '{hours}' hour"))
+    latest = fresh.groupBy("session_id").agg(F.max(F.struct("made_at", "id", "text")).alias("n")).select("session_id", "n.id", "n.text", "n.made_at")
+    return latest.where("text <> ''").join(delivered.select("id"), "id", "left_anti")
+
+
+def event_lines(events: DataFrame, extras: str, fixed: list[str], at: str, as_of: str) -> DataFrame:
+    """A JSON line an event: its extras (a map of strings), over which the fixed fields win; a missing time is now."""
+    said = F.create_map(*[x for c in fixed for x in (F.lit(c), F.col(c).cast("string"))])
+    time = F.create_map(F.lit("ts"), F.coalesce(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.date_format(F.lit(as_of).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")))
+    extra = F.coalesce(F.col(extras), F.create_map().cast("map<string,string>"))
+    own = F.map_filter(extra, lambda k, v: ~k.isin(*fixed))
+    has_time = F.map_contains_key(own, F.lit("ts"))
+    return events.select(F.to_json(F.when(has_time, F.map_concat(own, said)).otherwise(F.map_concat(own, said, time))).alias("value"))
 
 
 def latest_by_key(rows: DataFrame, key: list[str], at: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.plans.claim_graph import ClaimGraph
@@ -30,18 +30,38 @@ def search_claims(claims: DataFrame, text: str, project: str | None = None, basi
     return rows if basis is None else rows.where(F.col("basis") == basis)
 
 
+def _grams(text: Column, n: int = 4) -> Column:
+    """The distinct runs of ``n`` characters of a text."""
+    every = F.transform(F.sequence(F.lit(1), F.char_length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(F.char_length(text) >= n, F.array_distinct(every))
+
+
 def resolve_text(probes: DataFrame, claims: DataFrame) -> DataFrame:
-    """``(needle, claim_id)`` of each probe: the first claim of equal text, else the only claim that holds it, else null.
+    """``(project, from_id, needle, claim_id)``: the active claim of the project that a text means, else null.
 
-    Probes are the new edges' texts of one batch; a substring has no key to join on, so
-    each block of claims meets the batch's probes that no equal text settled.
+    The first claim of equal text, in any case and without white space around it, else
+    the only one that holds it. A claim doesn't mean itself, and an empty text nothing.
+    A text of four characters or more meets those claims alone that share its rarest
+    run of four; shorter ones meet their project's claims.
     """
-    exact = claims.select(F.lower(F.trim("text")).alias("key"), "id").groupBy("key").agg(F.min("id").alias("exact"))
-    keyed = probes.select("needle", F.lower(F.trim("needle")).alias("key")).join(exact, "key", "left")
-    open_probes = keyed.where("exact is null").select("needle", F.lower("needle").alias("low"))
-    inside = claims.select("id", F.lower("text").alias("text")).join(open_probes, F.contains(F.col("text"), F.col("low")))
-    only = inside.groupBy("needle").agg(F.count("*").alias("n"), F.min("id").alias("part")).where("n = 1")
-    return keyed.join(only, "needle", "left").select("needle", F.coalesce("exact", "part").alias("claim_id"))
+    active = claims.where(~F.coalesce("archived", F.lit(False))).select("id", "project", F.lower("text").alias("low"), "created_at")
+    asked = probes.select("project", "from_id", "needle", F.lower(F.trim("needle")).alias("key")).where("key <> ''")
+    exact = active.groupBy("project", F.col("low").alias("key")).agg(F.min(F.struct("created_at", "id"))["id"].alias("exact"))
+    keyed = asked.join(exact, ["project", "key"], "left")
+    open_ = keyed.where("exact is null").select("project", "key").distinct()
+    spread = active.select("project", "id", "low", F.explode(_grams(F.col("low"))).alias("gram"))
+    often = spread.groupBy("project", "gram").agg(F.count("*").alias("freq"))
+    rarest = (
+        open_.select("project", "key", F.explode(_grams(F.col("key"))).alias("gram"))
+        .join(often, ["project", "gram"], "left")
+        .groupBy("project", "key")
+        .agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram"))["gram"].alias("gram"))
+    )
+    inside = spread.join(rarest, ["project", "gram"]).where(F.contains("low", "key")).select("project", "key", "id")
+    short = active.join(open_.where(F.char_length("key") < 4), "project").where(F.contains("low", "key")).select("project", "key", "id")
+    only = inside.unionByName(short).groupBy("project", "key").agg(F.count("*").alias("n"), F.min("id").alias("part")).where("n = 1")
+    found = keyed.join(only, ["project", "key"], "left").withColumn("claim_id", F.coalesce("exact", "part"))
+    return found.select("project", "from_id", "needle", F.when(~F.col("claim_id").eqNullSafe(F.col("from_id")), F.col("claim_id")).alias("claim_id"))
 
 
 def basis_map(claims: DataFrame) -> DataFrame:
@@ -71,6 +91,11 @@ def topology(g: ClaimGraph) -> DataFrame:
     return out.select("project", "claims", "orphans", F.coalesce("clusters", F.lit(0)).alias("clusters"), F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
+def topology_whole(g: ClaimGraph) -> DataFrame:
+    """``topology`` with each project's depth and its claims by basis."""
+    return topology(g).join(g.depths(), "project").join(basis_map(g.claims), "project")
+
+
 def session_eval(g: ClaimGraph) -> DataFrame:
     """Per session (a document's, where claims come from one): claims, edges from them, and bases."""
     sessions = g.claims.select(F.col("id").alias("from_id"), "session_id")

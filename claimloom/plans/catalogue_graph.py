@@ -211,10 +211,12 @@ def search_claims(spark, sf_dir):
     return S.search_claims(derived.claims(spark, sf_dir), "The", project="p1", basis="vibes").select("id", "basis")
 
 
-@query("resolve_text", ", probe as (select distinct substr(text, 1, 24) as needle from claims where n % 3 = 0 union select text from claims where n % 3 = 1), ex as (select needle, min(id) as id from probe join claims on lower(trim(text)) = lower(trim(needle)) group by 1), su as (select needle, min(id) as id from probe join claims on contains(lower(text), lower(needle)) group by 1 having count(*) = 1) select needle, coalesce(ex.id, su.id) as claim_id from probe left join ex using (needle) left join su using (needle)")
+@query("resolve_text", ", probe as (select distinct project, id as from_id, substr(text, 1, 24) as needle from claims union select project, id, text from claims where n % 3 = 1 union select project, 'c0', text from claims), pr as (select *, lower(trim(needle)) as key from probe), ks as (select distinct project, key from pr where key <> ''), ex as (select ks.project, key, arg_min(id, (created_at, id)) as id from ks join claims c on c.project = ks.project and not archived and lower(text) = key group by 1, 2), su as (select ks.project, key, min(id) as id from ks join claims c on c.project = ks.project and not archived and contains(lower(text), key) group by 1, 2 having count(*) = 1) select project, from_id, needle, nullif(coalesce(ex.id, su.id), from_id) as claim_id from pr left join ex using (project, key) left join su using (project, key) where key <> ''")
 def resolve_text(spark, sf_dir):
     claims = derived.claims(spark, sf_dir)
-    probes = claims.where("n % 3 = 0").selectExpr("substring(text, 1, 24) as needle").union(claims.where("n % 3 = 1").select("text")).distinct()
+    parts = claims.selectExpr("project", "id as from_id", "substring(text, 1, 24) as needle")
+    whole = claims.where("n % 3 = 1").selectExpr("project", "id as from_id", "text as needle")
+    probes = parts.union(whole).union(claims.selectExpr("project", "'c0' as from_id", "text as needle")).distinct()
     return S.resolve_text(probes, claims)
 
 
@@ -323,11 +325,12 @@ def unarchive_claims(spark, sf_dir):
     return M.set_archived(claims, claims.where("n % 12 = 0").select("id"), False, as_of=derived.AS_OF).select("id", "archived", "last_referenced_at")
 
 
-@query("challenge_claims", "select id, challenged or n % 50 = 1 as challenged, case when n % 50 = 1 then 'revised ' || id else text end as text, case when n % 50 = 1 then 'research' else basis end as basis from claims")
+@query("challenge_claims", "select id, challenged or n % 50 = 1 or n % 50 = 2 as challenged, case when n % 50 = 1 then 'revised ' || id else text end as text, case when n % 50 = 1 then 'research' else basis end as basis from claims")
 def challenge_claims(spark, sf_dir):
     claims = derived.claims(spark, sf_dir)
-    changes = claims.where("n % 50 = 1").selectExpr("id", "concat('revised ', id) as new_text", "'research' as new_basis")
-    return M.challenge(claims, changes).select("id", "challenged", "text", "basis")
+    revised = claims.where("n % 50 = 1").selectExpr("id", "concat('revised ', id) as new_text", "'research' as new_basis")
+    plain = claims.where("n % 50 in (1, 2)").selectExpr("id", "'' as new_text", "cast(null as string) as new_basis")
+    return M.challenge(claims, revised.unionByName(plain)).select("id", "challenged", "text", "basis")
 
 
 @query("close_claims", "select id, closed or n % 45 = 0 as closed from claims")
@@ -357,6 +360,17 @@ def delete_project(spark, sf_dir):
     return M.delete_project(derived.claims(spark, sf_dir), derived.edges(spark, sf_dir), "p4")[1].select("id")
 
 
+@query("delete_project_claims", "select id from claims where project <> 'p4'")
+def delete_project_claims(spark, sf_dir):
+    return M.delete_project(derived.claims(spark, sf_dir), derived.edges(spark, sf_dir), "p4")[0].select("id")
+
+
+@query("merge_chains", ", keep as (select 'c' || n as absorb, n from claims where n % 4 <> 0), r(absorb, m) as (select absorb, n - 1 from keep union all select absorb, m - 1 from r where m % 4 <> 0 and 'c' || m in (select id from claims)) select absorb, 'c' || min(m) as keep from r group by 1")
+def merge_chains(spark, sf_dir):
+    claims = derived.claims(spark, sf_dir)
+    return M.settled_merges(claims.where("n % 4 <> 0").selectExpr("id as absorb", "concat('c', n - 1) as keep"))
+
+
 @query("validate_claims", "select id, 'confidence' as problem from claims where confidence > 0.9 union all select id, 'basis' from claims where basis = 'analogy'")
 def validate_claims(spark, sf_dir):
     bad = derived.claims(spark, sf_dir).withColumn("confidence", F.expr("if(confidence > 0.9, 1.5, confidence)")).withColumn("basis", F.expr("if(basis = 'analogy', 'hunch', basis)"))

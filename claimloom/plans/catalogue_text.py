@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.functions import chunking, text
+from claimloom.functions.claims import STATUS_PATTERNS
 from claimloom.operators import evaluation as E
 from claimloom.operators import knowledge_base as K
 from claimloom.operators import maintenance as M
@@ -113,18 +114,26 @@ def jaccard_pairs(spark, sf_dir):
     return S.similar_pairs(_texts(spark, sf_dir), block=("project", "speaker"))[0].withColumn("sim", F.round("sim", 9))
 
 
-@query("cross_dedup", BASE + f", ex as (select id, speaker, created_at, list_sort({_GRAMS}) as g from claims), nw as (select n as index, speaker, list_sort({_GRAMS}) as g from (select n, speaker, text || ' additional words follow' as text from claims where n % 5 = 0)) select index, first(id order by created_at, id) as id from nw join ex using (speaker) where len(nw.g) > 0 and len(ex.g) > 0 and 2 * len(list_intersect(nw.g, ex.g)) > len(list_distinct(list_concat(nw.g, ex.g))) group by 1")
+@query("jaccard_members", _TEXTS + " select h.head, g.id from g join h on g.project = h.project and g.speaker = h.speaker and g.g = h.g")
+def jaccard_members(spark, sf_dir):
+    """Whose set each head of ``jaccard_pairs`` stands for."""
+    return S.similar_pairs(_texts(spark, sf_dir), block=("project", "speaker"))[1]
+
+
+@query("cross_dedup", BASE + f", ex as (select id, project, speaker, created_at, list_sort({_GRAMS}) as g from claims), nw as (select n as index, project, speaker, list_sort({_GRAMS}) as g from (select n, project, speaker, text || ' additional words follow' as text from claims)) select index, first(id order by created_at, id) as id from nw join ex using (project, speaker) where len(nw.g) > 0 and len(ex.g) > 0 and 2 * len(list_intersect(nw.g, ex.g)) > len(list_distinct(list_concat(nw.g, ex.g))) group by 1")
 def cross_dedup(spark, sf_dir):
     claims = derived.claims(spark, sf_dir)
-    new = claims.where("n % 5 = 0").select(F.col("n").alias("index"), "speaker", F.concat("text", F.lit(" additional words follow")).alias("text"))
+    new = claims.select(F.col("n").alias("index"), "project", "speaker", F.concat("text", F.lit(" additional words follow")).alias("text"))
     return S.match_existing(new, claims)
 
 
 @query("batch_dedup")
 def batch_dedup(spark, sf_dir):
     rows = _texts(spark, sf_dir).withColumn("index", F.xxhash64("id"))
-    none = F.array().cast("array<long>")
-    batch = rows.select("index", "text", F.element_at(F.array(*map(F.lit, derived.BASES)), (F.col("n") % 9 + 1).cast("int")).alias("basis"), F.lit("").alias("source"), "speaker", *[none.alias(c) for c in ("depends_on", "supports", "contradicts", "questions")])
+    # every claim names its edited copies: its near one as its support, its equal one, now and then, as what it contradicts
+    other = lambda mark, every: F.when(F.col("n") % every == 0, F.array(F.xxhash64(F.concat("id", F.lit(mark))))).otherwise(F.array().cast("array<long>"))
+    lists = {"depends_on": other("x", 8), "supports": other("y", 5), "contradicts": other("x", 16), "questions": other("y", 35)}
+    batch = rows.select("index", "text", F.element_at(F.array(*map(F.lit, derived.BASES)), (F.col("n") % 9 + 1).cast("int")).alias("basis"), F.lit("").alias("source"), "speaker", *[v.alias(c) for c, v in lists.items()])
     return S.deduplicate_batch(batch)
 
 
@@ -162,11 +171,14 @@ def basis_coercion(spark, sf_dir):
     return rows.select("id", text.coerced_basis(F.col("told"), F.col("speaker")).alias("basis"))
 
 
-@query("ephemeral_status", BASE + "select id, text || case n % 6 when 0 then ' All tests now pass' when 1 then ' It was  pushed.' when 2 then ' CI is green' when 3 then ' contests compass' when 4 then ' Works end-to-end' else '' end as said, regexp_matches(said, '(?is)\\btests?\\b.{0,100}\\b(pass(es|ed|ing)?|green|exist)\\b') or regexp_matches(said, '(?i)\\bwas\\s+(pushed|committed|tagged|merged|installed|created|updated|reordered|rewritten|flipped|renamed|deleted|added|made|auto-created)\\b') or regexp_matches(said, '(?i)\\bworks? end-to-end\\b') or regexp_matches(said, '(?is)\\bCI\\b.{0,30}\\b(spinning|running|green|passing)\\b') as ephemeral from claims")
+_TAILS = (" All tests now pass", " It was  pushed.", " CI is green", " contests compass", " Works end-to-end", " lint: clean", " came back green", " tagged and pushed", " Smoke test passes", " process completed", "")
+
+
+@query("ephemeral_status", BASE + "select id, text || " + str(list(_TAILS)) + "[n % 11 + 1] as said, " + " or ".join(f"regexp_matches(said, '{p}')" for p in STATUS_PATTERNS) + " as ephemeral from claims")
 def ephemeral_status(spark, sf_dir):
     from claimloom.functions.claims import is_ephemeral
 
-    tail = F.element_at(F.array(*map(F.lit, (" All tests now pass", " It was  pushed.", " CI is green", " contests compass", " Works end-to-end", ""))), (F.col("n") % 6 + 1).cast("int"))
+    tail = F.element_at(F.array(*map(F.lit, _TAILS)), (F.col("n") % 11 + 1).cast("int"))
     return derived.claims(spark, sf_dir).select("id", F.concat("text", tail).alias("said")).withColumn("ephemeral", is_ephemeral("said"))
 
 
@@ -372,10 +384,8 @@ def sessionized(spark, sf_dir):
 
 @query("stream_first_fires", "select distinct user_id, event_type from events")
 def stream_first_fires(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    stream = V.event_stream(spark, f"{sf_dir}/events.parquet*", events.schema)
-    counted = stream.withColumn("ts", F.lit("2024-01-01").cast("timestamp")).withWatermark("ts", V.LATE).dropDuplicatesWithinWatermark(["user_id", "event_type"])
-    return V.run_to_table(counted.select("user_id", "event_type"), "first-fires")
+    stream = V.event_stream(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema)
+    return V.run_to_table(V.first_of_key(stream, ["user_id", "event_type"]).select("user_id", "event_type"), "first-fires")
 
 
 @query("stream_cooldown")

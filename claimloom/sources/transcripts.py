@@ -52,8 +52,9 @@ def merged_turns(turns: DataFrame, by: list[str]) -> DataFrame:
     return merged.withColumns(ends).where("island between start and stop").drop("start", "stop")
 
 
-def token_budget(turns: DataFrame, by: list[str], budget: int) -> DataFrame:
-    """The leading turns up to and with the one that crosses ``budget`` tokens; ``tokens`` runs on."""
+def token_budget(turns: DataFrame, by: list[str], budget: int, headroom: float = 0.0) -> DataFrame:
+    """The leading turns up to and with the one that crosses ``budget`` tokens and a share of ``headroom`` beyond; ``tokens`` runs on."""
+    budget = budget + int(budget * headroom)
     from claimloom.functions.text import token_estimate
 
     order = Window.partitionBy(*by).orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
@@ -67,6 +68,36 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("line_no", F.row_number().over(Window.partitionBy("path").orderBy("at"))).drop("at")
 
 
+def read_documents(spark: SparkSession, path: str, most: int = 10 << 20) -> DataFrame:
+    """``(path, text, too_long)`` of whole files; a file above ``most`` bytes is listed without being read."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= most).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit(False).alias("too_long"))
+    return small.unionByName(files.where(F.col("length") > most).select("path", F.lit(None).cast("string").alias("text"), F.lit(True).alias("too_long")))
+
+
+def last_lines(lines: DataFrame, most: int, at: str = "line_no") -> DataFrame:
+    """The last ``most`` lines, the latest first."""
+    return lines.orderBy(F.desc(at)).limit(most)
+
+
+def argument_maps(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Propositions ``(episode, id, text)`` and relations ``(episode, from_id, to_id, relation)`` of argument-map files, one an episode.
+
+    A relation goes from a proposition over an inference (supports) or conflict
+    (contradicts) node to another.
+    """
+    node, edge = "struct<nodeID:string,type:string,text:string>", "struct<fromID:string,toID:string>"
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("episode"), F.from_json("value", f"struct<nodes:array<{node}>,edges:array<{edge}>>").alias("m"))
+    nodes = whole.select("episode", F.inline("m.nodes")).withColumnRenamed("nodeID", "id")
+    edges = whole.select("episode", F.inline("m.edges"))
+    said = nodes.where("type = 'I'").select("episode", "id", "text")
+    links = nodes.where("type in ('RA', 'CA')").select("episode", F.col("id").alias("by"), F.when(F.col("type") == "RA", "supports").otherwise("contradicts").alias("relation"))
+    ends = said.select("episode", "id")
+    into = edges.withColumnsRenamed({"fromID": "from_id", "toID": "by"}).join(ends.withColumnRenamed("id", "from_id"), ["episode", "from_id"], "left_semi")
+    out = edges.withColumnsRenamed({"fromID": "by", "toID": "to_id"}).join(ends.withColumnRenamed("id", "to_id"), ["episode", "to_id"], "left_semi")
+    return said, into.join(links, ["episode", "by"]).join(out, ["episode", "by"]).select("episode", "from_id", "to_id", "relation")
+
+
 def read_kb(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Claims and provenance of knowledge-base exports: an array of claims, or an object with both."""
     text = spark.read.text(path, wholetext=True).select(F.ltrim(F.regexp_replace("value", "^﻿", "")).alias("value"))

@@ -22,6 +22,17 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def line_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """New JSON-lines files of a folder as a stream; lines that don't parse are left out."""
+    lines = spark.readStream.text(path).select(F.from_json("value", schema).alias("e"), "value")
+    return lines.where(F.get_json_object("value", "$").isNotNull() & F.col("e").isNotNull()).select("e.*")
+
+
+def sweep_timer(marks: DataFrame, hours: float = 24) -> DataFrame:
+    """``(project, due_at)`` of a stream or table of sweep stamps ``(project, swept_at)``: when each project's next sweep is due."""
+    return marks.select("project", (F.col("swept_at") + F.expr(f"make_dt_interval(0, 0, {int(hours * 60)}, 0)")).alias("due_at"))
+
+
 def _timed(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
 
@@ -55,39 +66,65 @@ COOLDOWN, LASTING_COOLDOWN = 24, 168
 FIRED = "claim_id string, type string, fired_at timestamp, shown boolean"
 
 
+def _shown(at: float, persistent: bool, last: float | None) -> bool:
+    """Whether a candidate is shown: nothing of its key was, or long enough ago for what it asks."""
+    return last is None or at - last >= 3600 * (LASTING_COOLDOWN if persistent else COOLDOWN)
+
+
 def cooldown_walk(rows: Iterator[tuple], last: float | None) -> tuple[list[tuple], float | None]:
     """``(fired_at, shown)`` of one key's candidates ``(seconds, persistent)`` in time order, and the last one shown."""
     out = []
     for at, persistent in rows:
-        rest = 3600 * (LASTING_COOLDOWN if persistent else COOLDOWN)
-        shown = last is None or at - last >= rest
+        shown = _shown(at, persistent, last)
         last = at if shown else last
         out.append((at, shown))
     return out, last
 
 
-def cooldown(candidates: DataFrame) -> DataFrame:
+def cooldown(candidates: DataFrame, late: str = LATE) -> DataFrame:
     """``FIRED`` rows of candidates (claim_id, type, fired_at, persistent): shown unless their key rests.
 
-    Streaming keeps the last time shown of each key as state; the rest that the current
-    candidate asks for decides.
+    A batch is walked over rows sorted by key and time within partitions, with the last
+    time shown alone in memory. A stream keeps that time as the key's state, and forgets
+    it once the longest rest has passed the watermark; candidates later than ``late``
+    are dropped. Rows of one key in one micro-batch are sorted together, so what a
+    micro-batch takes (``maxFilesPerTrigger``) bounds them.
     """
-
-    def walk(key, frames: Iterator[pd.DataFrame], state=None) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["fired_at", "persistent"])
-        last = state.get[0] if state is not None and state.exists else None
-        seconds = rows["fired_at"].astype("datetime64[us]").astype("int64") / 1e6
-        told, last = cooldown_walk(zip(seconds, rows["persistent"]), last)
-        if state is not None and last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"claim_id": key[0], "type": key[1], "fired_at": rows["fired_at"].to_numpy(), "shown": [s for _, s in told]})
-
-    grouped = candidates.select("claim_id", "type", F.col("fired_at").cast("timestamp").alias("fired_at"), "persistent").groupBy("claim_id", "type")
-    if candidates.isStreaming:
-        from pyspark.sql.streaming.state import GroupStateTimeout
-
-        return grouped.applyInPandasWithState(walk, FIRED, "last double", "append", GroupStateTimeout.NoTimeout)
-    return grouped.applyInPandas(lambda key, pdf: next(walk(key, iter([pdf]))), FIRED)
+    rows = candidates.select("claim_id", "type", F.col("fired_at").cast("timestamp").alias("fired_at"), "persistent")
+    if not candidates.isStreaming:
+        return _walk_sorted(rows)
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def walk(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        batch = pd.concat(list(frames)).sort_values(["fired_at", "persistent"])
+        seconds = batch["fired_at"].astype("datetime64[us]").astype("int64") / 1e6
+        told, last = cooldown_walk(zip(seconds, batch["persistent"]), state.get[0] if state.exists else None)
+        state.update((last,))
+        state.setTimeoutTimestamp(max(int((last + 3600 * LASTING_COOLDOWN) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"claim_id": key[0], "type": key[1], "fired_at": batch["fired_at"].to_numpy(), "shown": [s for _, s in told]})
+
+    grouped = rows.withWatermark("fired_at", late).groupBy("claim_id", "type")
+    return grouped.applyInPandasWithState(walk, FIRED, "last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _walk_sorted(rows: DataFrame) -> DataFrame:
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, None
+        for frame in frames:
+            seconds = frame["fired_at"].astype("datetime64[us]").astype("int64") / 1e6
+            shown = []
+            for claim, kind, at, persistent in zip(frame["claim_id"], frame["type"], seconds, frame["persistent"]):
+                if (claim, kind) != now:
+                    now, last = (claim, kind), None
+                shown.append(_shown(at, persistent, last))
+                last = at if shown[-1] else last
+            yield pd.DataFrame({"claim_id": frame["claim_id"], "type": frame["type"], "fired_at": frame["fired_at"], "shown": shown})
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "claim_id", "type").sortWithinPartitions("claim_id", "type", "fired_at", "persistent").mapInPandas(walk, FIRED)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
