@@ -7,7 +7,9 @@ block's value counts, which cover all fingerprints and are at most 65,536 rows a
 block, so what reaches the driver is bounded by that, whatever the input. A value
 goes to its home shard; one that lies within the block radius outside a vantage
 ball also goes into the ball, so the triangle inequality guarantees that each close
-pair meets in some shard. Inside a shard exact 64-bit distances decide.
+pair meets in some shard. Inside a shard the tree goes on: every fingerprint is a query
+that takes only the branches its triangle bounds leave open, and exact 64-bit distances
+decide in the leaves.
 
 A shard above ``shard_rows`` (one hot block value) is dealt in chunks; every pair of
 chunks is one bounded task, so no group is ever collected whole, and nothing is
@@ -98,25 +100,56 @@ def vantage_shards(values: np.ndarray, counts: np.ndarray, radius: int, shard_ro
     return shards
 
 
-def _link_within(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect all of ``fps`` within ``radius``: a breadth-first walk in which each visited one leaves the rest."""
-    src, dst = [], []
-    rest = fps
-    while len(rest) > 1:
-        root, rest = rest[0], rest[1:]
-        front = np.array([root], np.uint64)
-        while len(front) and len(rest):
-            near = np.zeros(len(rest), bool)
-            for f in front:
-                near |= np.bitwise_count(rest ^ f) <= radius
-                if near.all():
-                    break
-            front, rest = rest[near], rest[~near]
-            src.append(front)
-            dst.append(np.full(len(front), root, np.uint64))
-    if not src:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return np.concatenate(src), np.concatenate(dst)
+def near_pairs(fps: np.ndarray, block: int, radius: int, leaf: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in ``fps`` within ``radius`` bits that agree within ``radius // 4`` bits on ``block``, some twice.
+
+    A vantage-point tree over the block's values: the points of a node lie inside or
+    outside the median ball of its vantage value, and queries, which are all points, go
+    only where the triangle inequality lets a point near them be. Leaves compare all 64
+    bits. Points that share one value are searched by their other blocks instead, of
+    which one must agree as closely.
+    """
+    reach = radius // BLOCKS
+    every = np.arange(len(fps))
+    todo = [(every, every, block, True)]
+    while todo:
+        points, queries, of, whole = todo.pop()
+        if not len(queries) or not len(points):
+            continue
+        if len(points) > leaf:
+            values = (fps >> np.uint64(BLOCK_BITS * of)) & np.uint64(0xFFFF)
+            vantage = values[points[len(points) // 2]]
+            mine, theirs = np.bitwise_count(values[points] ^ vantage), np.bitwise_count(values[queries] ^ vantage)
+            edge = max(1, int(np.median(mine)))
+            inner = mine < edge
+            if 0 < inner.sum() < len(points):
+                todo.append((points[inner], queries[theirs < edge + reach], of, whole))
+                todo.append((points[~inner], queries[theirs >= max(edge - reach, 0)], of, whole))
+                continue
+            if whole:
+                todo += [(points, queries, other, False) for other in range(BLOCKS) if other != of]
+                continue
+        for at in range(0, len(points), 512):
+            some = points[at : at + 512]
+            i, j = np.nonzero(np.bitwise_count(fps[queries][:, None] ^ fps[some][None, :]) <= radius)
+            i, j = queries[i], some[j]
+            yield i[i < j], j[i < j]
+
+
+def _link_within(fps: np.ndarray, block: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect exactly those of ``fps`` (distinct) that ``near_pairs`` joins: from each to the first of its component."""
+    root = np.arange(len(fps))
+    for i, j in near_pairs(fps, block, radius):
+        while len(i):
+            a, b = root[i], root[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            if len(i):
+                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                while (root != root[root]).any():
+                    root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(fps)))
+    return fps[moved], fps[root[moved]]
 
 
 def shard_map(values: np.ndarray, counts: np.ndarray, blocks: np.ndarray, reach: int, shard_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +173,7 @@ def shard_map(values: np.ndarray, counts: np.ndarray, blocks: np.ndarray, reach:
     return starts, shard[order], np.array(chunks, np.int32)
 
 
-def links(distinct: DataFrame, radius: int = 4, shard_rows: int = 2048) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
     """``(src, dst)`` edges that connect exactly the fingerprints (column ``fp``, distinct) within ``radius`` of each other."""
     blocks = F.array(*[F.shiftrightunsigned("fp", BLOCK_BITS * b).bitwiseAND(0xFFFF).cast("int") for b in range(BLOCKS)])
     # at most 4 x 65,536 counts, whatever the input
@@ -163,13 +196,13 @@ def links(distinct: DataFrame, radius: int = 4, shard_rows: int = 2048) -> DataF
                 wide = np.repeat(np.arange(len(of)), n)
                 other = np.arange(len(wide)) - np.repeat(np.cumsum(n) - n, n)
                 own = own[wide]
-                columns = (fps[of][wide], shard[wide], np.minimum(own, other).astype(np.int32), np.maximum(own, other).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "shard", "lo", "hi"])
+                columns = (fps[of][wide], np.full(len(wide), b, np.int32), shard[wide], np.minimum(own, other).astype(np.int32), np.maximum(own, other).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "block", "shard", "lo", "hi"])
 
-    sent = distinct.select("fp", F.xxhash64("fp").alias("mixed")).mapInArrow(deal, "fp long, shard int, lo int, hi int")
+    sent = distinct.select("fp", F.xxhash64("fp").alias("mixed")).mapInArrow(deal, "fp long, block int, shard int, lo int, hi int")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        src, dst = _link_within(np.unique(pdf["fp"].to_numpy()).view(np.uint64), radius)
+        src, dst = _link_within(np.unique(pdf["fp"].to_numpy()).view(np.uint64), int(pdf["block"].iloc[0]), radius)
         return pd.DataFrame({"src": src.view(np.int64), "dst": dst.view(np.int64)})
 
     return sent.groupBy("shard", "lo", "hi").applyInPandas(link, "src long, dst long").distinct()
@@ -181,7 +214,7 @@ def _rooted(heads: DataFrame, radius: int, shard_rows: int) -> DataFrame:
     return heads.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "head", F.coalesce("component", "fp").alias("root"))
 
 
-def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle_words: int = 4, shard_rows: int = 2048) -> DataFrame:
+def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle_words: int = 4, shard_rows: int = 4096) -> DataFrame:
     """``(doc_id, fp, component_id)`` per row: the smallest id reachable over links of at most ``radius`` bits."""
     prints = stage(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints").df
     heads = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("head")), "fingerprint-heads").df
@@ -191,7 +224,7 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, radius: int = 4, shard_rows: int = 2048) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
     """One row of ``docs`` of each near-duplicate class: that of the smallest id, nulls last.
 
     Of several under that id, or of none with an id, the one of the least hash of its text,

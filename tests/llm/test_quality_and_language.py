@@ -1,7 +1,10 @@
 """Held-out accuracy, and the defined results of odd rows."""
 
+import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from claimloom.llm import language_id, quality_knn
@@ -57,6 +60,70 @@ def test_language(spark):
     assert docs.select(language_id.identify(docs, None)["lang"].alias("l")).where("l <> 'und'").count() == 0
 
 
+def plain_scaled(counts, idf):
+    x = [math.log1p(float(c)) * float(w) for c, w in zip(counts, idf)]
+    for part in (slice(0, 1 << quality_knn.BITS), slice(1 << quality_knn.BITS, None)):
+        length = math.sqrt(sum(v * v for v in x[part]))
+        x[part] = [v / length if length else v for v in x[part]]
+    return np.array(x)
+
+
+def plain_vote(model, counts):
+    """One document against every labelled vector, one cosine after another."""
+    z = plain_scaled(counts, model.idf) @ model.axes.astype(np.float64)
+    length = math.sqrt(float(z @ z))
+    if not length:
+        return model.base
+    cosines = [float(z @ v.astype(np.float64)) / length for v in model.vectors]
+    near = sorted(range(len(cosines)), key=lambda i: -cosines[i])[: model.neighbours]
+    good = sum(max(cosines[i], 0) ** model.power for i in near if model.good[i]) * 0.5 / model.base
+    bad = sum(max(cosines[i], 0) ** model.power for i in near if not model.good[i]) * 0.5 / (1 - model.base)
+    return good / (good + bad) if good + bad else model.base
+
+
+def test_votes_equal_a_plain_search():
+    rng = random.Random(6)
+    texts = [sentence(rng, SYLLABLES[rng.choice(list(SYLLABLES))], rng.randint(1, 60)) for _ in range(120)] + ["AB!! " * rng.randint(1, 30) for _ in range(30)]
+    counts = np.stack([quality_knn.counts_of(t) for t in texts])
+    model = quality_knn.fit(counts, np.array([1] * 120 + [0] * 30), rank=16, neighbours=9, power=8.0)
+    asked = np.stack([quality_knn.counts_of(t) for t in [*texts[:10], *texts[-5:], "", None, "x", "New words here, with others."]])
+    got = quality_knn.vote(model, asked)
+    assert all(abs(g - plain_vote(model, c)) < 2e-3 for g, c in zip(got, asked))
+
+
+def plain_language(model, counts):
+    """The family of the largest weight sum, then every pair's vote in it; margins settle ties."""
+    x = np.log1p(counts.astype(np.float64))
+    x = np.append(x / (np.linalg.norm(x) or 1), 1.0)
+    family = max(range(len(model.families)), key=lambda i: float(x @ model.family_weights[:, i].astype(np.float64)))
+    names = model.members[model.families[family]]
+    votes, margins = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+    for (a, b), w in model.pairs.items():
+        if a in names:
+            m = float(x @ w.astype(np.float64))
+            votes[a if m > 0 else b] += 1
+            margins[a] += m
+            margins[b] -= m
+    return max(names, key=lambda n: (votes[n], margins[n]))
+
+
+def test_languages_equal_plain_votes():
+    rng = random.Random(2)
+    more = SYLLABLES | {"nl": ["ij", "een", "het", "oo", "sch", "van"], "it": ["zione", "gli", "che", "del", "ato", "io"], "xx": ["qu", "zz", "kk", "vv"]}
+    langs = [rng.choice(list(more)) for _ in range(350)]
+    counts = np.stack([language_id.counts_of(sentence(rng, more[lang], rng.randint(2, 50))) for lang in langs])
+    model = language_id.fit(counts[:250], langs[:250])
+    got, scores = language_id.predict(model, counts[250:])
+    assert list(got) == [plain_language(model, c) for c in counts[250:]]
+    assert sum(g == w for g, w in zip(got, langs[250:])) > 90 and ((scores >= 0) & (scores <= 1)).all()
+
+
+def test_more_languages_than_rows_raise(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="max_rows"):
+        language_id.fit_from(docs, max_rows=5)
+
+
 def test_repeated_ids_count_once(spark):
     rng = random.Random(4)
     rows = [(i, sentence(rng, SYLLABLES["en" if i % 2 else "de"]), "en" if i % 2 else "de") for i in range(60)]

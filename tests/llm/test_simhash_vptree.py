@@ -60,6 +60,23 @@ def test_classes_with_small_shards(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
 
 
+def test_tree_search_finds_every_near_pair():
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(150)]
+    spread = [b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 6))) for b in base for _ in range(3)]
+    one_value = [(rng.getrandbits(48) << 16) | 0xBEEF for _ in range(120)]
+    one_value += [x ^ (1 << rng.randrange(16, 64)) ^ (1 << rng.randrange(16, 64)) for x in one_value]
+    dense = [sum(1 << b for b in rng.sample(range(64), rng.randint(0, 2))) for _ in range(200)]
+    for some in (spread, one_value, dense, spread + one_value + dense, [5], []):
+        fps = np.array(sorted(set(some)), np.uint64)
+        found = set()
+        for block in range(sv.BLOCKS):
+            for i, j in sv.near_pairs(fps, block, 4, leaf=8):
+                found |= set(zip(i.tolist(), j.tolist()))
+        want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4}
+        assert found == want
+
+
 def test_documents(spark):
     rng = random.Random(3)
     words = ["w%d" % i for i in range(300)]
