@@ -479,7 +479,7 @@ def threshold_sweep(spark, sf_dir):
 
 @query("topology", ", " + _CLUSTERS + ", k as (select project, count(*) as clusters from clu group by 1) select project, count(*) as claims, count_if(degree = 0) as orphans, coalesce(max(clusters), 0) as clusters, (select count(*) from pe where pe.project = w.project) as edges from w left join k using (project) group by 1")
 def topology(spark, sf_dir):
-    return S.topology(graph(spark, sf_dir))
+    return S.topology(graph(spark, sf_dir).staged())
 
 
 @query("session_eval", "select session_id, count(*) as claims, coalesce(max(k), 0) as edges, count_if(basis = 'research') as research, count_if(basis = 'vibes') as vibes from claims left join (select c.session_id, count(*) as k from edges e join claims c on c.id = e.from_id group by 1) using (session_id) group by 1")
