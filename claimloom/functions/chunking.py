@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame
 REFERENCE_TITLES = frozenset(("references", "bibliography", "works cited", "citations", "notes", "footnotes", "endnotes", "end notes", "further reading", "sources"))
 HEADING = re.compile(r"(#{1,6})[ \t\n\f\r]+(.+?)[ \t\n\f\r]*\Z")
 FENCE = re.compile("`{3,}|~{3,}")
+#: A bold label within the first ten lines, behind nothing but headings and blank lines; and the rule that ends such a block.
+ATTRIBUTION = re.compile(r"(?:[^\S\n]*(?:#[^\n]*)?\n){0,9}[^\S\n]*(?=\*\*)[^\n]*:\*\*")
+RULE = re.compile(r"^[^\S\n]*---[^\S\n]*$", re.M)
 CHUNKS = "path string, chunk_index int, heading_path array<string>, text string, content_hash string"
 
 
@@ -28,13 +32,8 @@ def body_of(text: str) -> str:
         close = start.find("\n---", 4)
         if close >= 0:
             return start[close + 4 :].lstrip("\n")
-    lines = start.split("\n")
-    told = next((x.strip() for x in lines[:10] if x.strip() and not x.strip().startswith("#")), "")
-    if told.startswith("**") and ":**" in told:
-        rules = [i for i, x in enumerate(lines) if x.strip() == "---"]
-        if rules:
-            return "\n".join(lines[rules[0] + 1 :])
-    return text
+    rule = RULE.search(start) if ATTRIBUTION.match(start) else None
+    return start[rule.end() + 1 :] if rule else text
 
 
 def sections(text: str) -> Iterator[tuple[list[str], str]]:
@@ -62,7 +61,7 @@ def sections(text: str) -> Iterator[tuple[list[str], str]]:
     yield list(path), "\n".join(held)
 
 
-def packed(parts: list[str], most: int, between: str) -> Iterator[str]:
+def packed(parts: Iterable[str], most: int, between: str) -> Iterator[str]:
     """Parts joined up to ``most`` bytes; each join counts as long as ``between``."""
     held: list[str] = []
     filled = 0
@@ -82,29 +81,14 @@ def split_sentences(paragraph: str) -> list[str]:
 
 def pieces(text: str, most: int) -> Iterator[str]:
     """Paragraphs packed to ``most`` bytes; a longer paragraph by its sentences, of which a longer one stays whole."""
-    run: list[str] = []
-    for paragraph in (p.strip() for p in re.split(r"\n[^\S\n]*(?:\n[^\S\n]*)+", text)):
-        if not paragraph:
+    paragraphs = filter(None, (p.strip() for p in re.split(r"\n[^\S\n]*(?:\n[^\S\n]*)+", text)))
+    for long, some in groupby(paragraphs, lambda p: _size(p) > most):
+        if not long:
+            yield from packed(some, most, "\n\n")
             continue
-        if _size(paragraph) <= most:
-            run.append(paragraph)
-            continue
-        yield from packed(run, most, "\n\n")
-        run = []
-        kept: list[str] = []
-        filled = 0
-        for sentence in split_sentences(paragraph):
-            if kept and filled + _size(sentence) > most:
-                yield " ".join(kept).strip()
-                kept, filled = [], 0
-            if _size(sentence) > most:
-                yield sentence
-                continue
-            filled += _size(sentence) + bool(kept)
-            kept.append(sentence)
-        if kept:
-            yield " ".join(kept).strip()
-    yield from packed(run, most, "\n\n")
+        for paragraph in some:
+            # of sentences neither the last nor the next one's space counts
+            yield from packed(split_sentences(paragraph), most + 2, " ")
 
 
 def chunks_of(text: str | None, most: int = 12_000) -> list[tuple[list[str], str]]:

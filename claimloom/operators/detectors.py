@@ -240,13 +240,14 @@ def amplification_cascade(g: ClaimGraph) -> DataFrame:
     return _found(rows, "amplification_cascade", "warning", "n", anchor=F.get("run.id", 0), ids=F.array_join("run.id", ","))
 
 
-def bottleneck(g: ClaimGraph, chunk: int = 256) -> DataFrame:
+def bottleneck(g: ClaimGraph, chunk: int = 256, max_pairs: int = 2_000_000) -> DataFrame:
     """Claims through which unusually many shortest paths of the recent graph run.
 
     The recent graph keeps edges with a recent end, undirected, parallel edges
     multiplying paths. Sources are dealt in chunks of a project, each with the project's
     recent edges beside it (what it said within hours), and the partial scores are
-    summed. A score at least 1 and two population
+    summed; more than ``max_pairs`` of them in one project raise, since a task holds
+    them all. A score at least 1 and two population
     deviations above the mean of the claims that others reach is a finding.
     """
     from claimloom.functions.claims import is_recent
@@ -255,6 +256,9 @@ def bottleneck(g: ClaimGraph, chunk: int = 256) -> DataFrame:
     touched = g.edges.join(recent.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select("from_id", "to_id", "project")
     touched = touched.unionByName(g.edges.join(recent.withColumnRenamed("id", "to_id"), "to_id", "left_semi").join(recent.withColumnRenamed("id", "from_id"), "from_id", "left_anti").select("from_id", "to_id", "project"))
     pairs = stage(touched.groupBy("project", F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).agg(F.count("*").alias("ways")).where("a <> b"), "recent-pairs").df
+    most = pairs.groupBy("project").count().agg(F.max("count")).first()[0] or 0
+    if most > max_pairs:
+        raise RuntimeError(f"{most} recent pairs in one project; raise max_pairs if a task can hold them")
     sources = pairs.select("project", F.explode(F.array("a", "b")).alias("source")).distinct()
     parts = sources.groupBy("project").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
     dealt = sources.join(parts, "project").select("project", "source", "parts").withColumn("part", F.pmod(F.xxhash64("source"), F.col("parts")).cast("int"))
