@@ -1,12 +1,17 @@
-"""What operators share: hashed byte n-gram counts of whole texts, and names for columns of their own."""
+"""What operators share: texts as bytes, hashed byte n-gram counts of whole texts, and names for columns of their own."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Multiplier of Fibonacci hashing.
 GOLDEN = np.uint32(2654435769)
+#: Bytes of text that a task works on at a time, but for one longer text.
+AT_ONCE = 4 << 20
 
 
 def gram_counts(data: bytes, bits: int, n: int = 3) -> np.ndarray:
@@ -37,6 +42,19 @@ def unpacked_counts(packed: list[bytes], size: int) -> np.ndarray:
     return out
 
 
+def text_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(first row, bytes, ends)`` of the texts of a column, about ``AT_ONCE`` bytes at a time; nulls are empty."""
+    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_string()).fill_null("")
+    _, offsets, values = column.buffers()
+    edges = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(values, np.uint8) if values is not None and values.size else np.empty(0, np.uint8)
+    row = 0
+    while row < len(column):
+        to = max(row + 1, int(np.searchsorted(edges, edges[row] + AT_ONCE, "right")) - 1)
+        yield row, data[edges[row] : edges[to]], edges[row + 1 : to + 1] - edges[row]
+        row = to
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores as keep it apart from the columns of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -33,11 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.features import text_blocks
 from claimloom.plans.staging import stage
 
 BUCKETS = 10_000
-#: Bytes of text that a task works on at a time, but for one longer text.
-AT_ONCE = 4 << 20
 #: Words up to so many bytes are hashed side by side, longer ones each by itself.
 SHORT = 40
 DRAWN = "doc_id long, n_features long, weight long, score long, eligible boolean"
@@ -139,19 +138,6 @@ def features(data: np.ndarray, ends: np.ndarray, buckets: int = BUCKETS) -> tupl
     return np.concatenate([t for t, _ in found]), (np.concatenate([c for _, c in found]) % np.uint32(buckets)).astype(np.int64), words
 
 
-def text_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(first row, bytes, ends)`` of the texts of a column, about ``AT_ONCE`` bytes at a time; nulls are empty."""
-    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_string()).fill_null("")
-    _, offsets, values = column.buffers()
-    edges = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    data = np.frombuffer(values, np.uint8) if values is not None and values.size else np.empty(0, np.uint8)
-    row = 0
-    while row < len(column):
-        to = max(row + 1, int(np.searchsorted(edges, edges[row] + AT_ONCE, "right")) - 1)
-        yield row, data[edges[row] : edges[to]], edges[row + 1 : to + 1] - edges[row]
-        row = to
-
-
 def bucket_counts(texts: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """How many features of all ``texts`` fall into each bucket: one vector a task, merged as a tree."""
 
@@ -228,3 +214,21 @@ def resampled(docs: DataFrame, target: DataFrame, share: tuple[int, int] = (5, 1
 
 def op12_importance_resampling(spark, sf_dir: str) -> DataFrame:
     return resampled(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLE_SQL = r"""
+with steps as (select list(c::bigint order by i) as t from (select i, list_reduce(list_prepend(i::bigint, range(8)::bigint[]), lambda c, k: xor(c >> 1, case when c & 1 = 1 then 3988292384::bigint else 0::bigint end)) as c from range(256) r(i))),
+w as (select false as target, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as ws from documents
+      union all select true, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') from benchmark),
+f as (select target, doc_id, array_to_string(ws[i : i + n - 1], ' ') as f from w, range(1, 4) ns(n), unnest(range(1, len(ws) - n + 2)) as t(i)),
+h as (select f, hex(encode(f)) as h from (select distinct f from f)),
+b as (select f, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(h) + 1, 2), lambda i: (16 * (instr('0123456789ABCDEF', h[i]) - 1) + instr('0123456789ABCDEF', h[i + 1]) - 1)::bigint)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 as b from h, steps),
+n as (select b, count(*) filter (not target) as s, count(*) filter (target) as t from f join b using (f) group by b),
+g as (select b, cast(floor(1000 * ln((t + 1)::double * (s_all + 10000) / ((s + 1)::double * (t_all + 10000)))) as bigint) as gain from n, (select sum(s) as s_all, sum(t) as t_all from n)),
+d as (select doc_id, count(*) as n_features, cast(sum(gain) as bigint) as weight from f join b using (f) join g using (b) where not target group by doc_id),
+scored as (select doc_id, len(ws) >= 20 as eligible, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+                  coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || doc_id), 8))::bigint + 0.5) / 4294967296))) as bigint) as score
+           from w left join d using (doc_id) where not target),
+ranked as (select *, row_number() over (partition by eligible order by score desc, doc_id) as r, (count(*) filter (eligible) over ()) * 5 // 100 as drawn from scored)
+select doc_id, n_features, weight, score, case when eligible and r <= drawn then r end as rank from ranked
+"""
