@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 #: Kinds of parts that become placeholders, and the tokens that one stands for where a part doesn't say.
 ATTACHMENTS = {"image": 576, "audio": 750, "document": 1024}
 PART = "struct<type:string,text:string,ref:string,tokens:long>"
-_ESCAPED = re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"<s>\[((?:\\.|[^\\\]])*)\]\n((?:\\.|[^\\<]|<\|[a-z]+:\d+\|>)*)</s>", re.S)
+#: Runs are taken whole and never given back, so reading a turn holds no state a character.
+_TURN = re.compile(r"<s>\[((?:[^\\\]]++|\\[\\<\[\]])*+)\]\n((?:[^\\<]++|\\[\\<\[\]]|<\|[a-z]+:\d+\|>)*+)</s>", re.S)
+#: No text from Spark holds it: half of a pair of code units, alone.
+_ALONE = "\ud800"
 
 
 def escape(text: Column) -> Column:
@@ -41,7 +43,11 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    # pairs of backslashes first, from the left, as they were written
+    text = text.replace("\\\\", _ALONE)
+    for sign in "<[]":
+        text = text.replace(f"\\{sign}", sign)
+    return text.replace(_ALONE, "\\")
 
 
 def text_part(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 
 import pytest
 
@@ -52,3 +54,22 @@ def test_parts(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], f"conv_id long, turn long, role string, content array<{cf.PART}>")
     assert cf.conversation_digests(cf.format_turns(df)).count() == 0
+
+
+READS = r"""
+import resource, sys
+from claimloom.llm.chat_format import read_turn
+text = {"plain": "plain words \u00e9, " * 1_300_000, "signs": "<\\[" * 6_600_000}[sys.argv[1]]
+formatted = "<s>[user]\n" + text.replace("\\", "\\\\").replace("<", "\\<").replace("[", "\\[") + "</s>"
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert read_turn(formatted) == ("user", text)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / len(formatted))
+"""
+
+
+@pytest.mark.parametrize("kind", ["plain", "signs"])
+def test_reading_a_long_turn_takes_memory_in_proportion(kind):
+    """20 MB and 40 MB of text, prose or control signs alone, take a few bytes a character more than they are."""
+    done = subprocess.run([sys.executable, "-c", READS, kind], capture_output=True, text=True, cwd=".")
+    assert done.returncode == 0, done.stderr
+    assert float(done.stdout) < 6, done.stdout
