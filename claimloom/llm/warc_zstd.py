@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import json
 import re
 import struct
 import uuid
@@ -41,6 +42,8 @@ INDEX = "page_id long, archive string, offset long, length long"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 #: Spark's names for what Arrow calls s3.
 _SCHEME = re.compile("^s3[an]:")
+#: A field of ours: the address, as JSON, where it holds line ends.
+RAW_URL = "WARC-Page-URL-JSON"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -59,14 +62,6 @@ def _opened(where: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(_SCHEME.sub("s3:", where))
 
 
-def _line(value: str) -> str:
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
-
-
-def _unline(value: str) -> str:
-    return value.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
-
-
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
     """One WARC/1.1 record; a revisit keeps the HTTP head alone."""
     revisit = refers_to is not None
@@ -83,7 +78,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        lines.append(f"WARC-Target-URI: {_line(url)}")
+        # as it is; one that no header line can hold has its line ends encoded there and stands whole in a field of ours
+        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        if "\r" in url or "\n" in url:
+            lines.append(f"{RAW_URL}: {json.dumps(url)}")
     if page_id is not None:
         lines.append(f"WARC-Page-ID: {page_id}")
     if revisit:
@@ -110,8 +108,10 @@ def records_of(stream: io.BufferedIOBase) -> Iterator[tuple]:
         if fields["warc-type"] == "response" and (len(payload) != told or digest32(payload) != digest):
             raise ValueError("a payload doesn't match its digest")
         page, refers, url = fields.get("warc-page-id"), fields.get("warc-refers-to-page-id"), fields.get("warc-target-uri")
+        if raw := fields.get(RAW_URL.lower()):
+            url = json.loads(raw)
         yield (
-            int(page) if page else None, _unline(url) if url is not None else None, told, digest, fields["warc-type"],
+            int(page) if page else None, url, told, digest, fields["warc-type"],
             int(refers) if refers else None, payload if fields["warc-type"] == "response" else None,
         )
 

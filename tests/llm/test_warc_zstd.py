@@ -14,7 +14,7 @@ from claimloom.llm import warc_zstd as wz
 
 def pages():
     out = [(i, f"http://x/{i}", f"<html>page {i} é" + "<p>body</p>" * (i % 50)) for i in range(120)]
-    out += [(200 + i, "http://y/\r\n%", "<p>same</p>" * 3) for i in range(20)] + [(150, None, None), (151, "u", ""), (3, "again", out[3][2]), (400, "u", "x" * 500_000), (None, "n", out[5][2])]
+    out += [(200 + i, "http://y/\r\n%", "<p>same</p>" * 3) for i in range(20)] + [(150, None, None), (151, "u", ""), (3, "again", out[3][2]), (400, "u", "x" * 500_000), (None, "n", out[5][2]), (500, "http://a/b%20c?d=%25&e=%0D", "z")]
     return out
 
 
@@ -61,7 +61,7 @@ def test_archive_as_a_stream(spark, tmp_path):
     """A reader that knows nothing of the index gets all records of an archive, each with an id and revisits with their response's."""
     df = spark.createDataFrame(pages(), "page_id long, url string, html string")
     index = wz.archive_pages(df, folder=f"file://{tmp_path}/warc")
-    ids, refers, n = set(), set(), 0
+    ids, refers, addresses, n = set(), set(), set(), 0
     for (where,) in index.select("archive").distinct().collect():
         data = stored(where)
         size = struct.unpack("<II", data[:8])[1]
@@ -70,7 +70,10 @@ def test_archive_as_a_stream(spark, tmp_path):
         n += text.count(b"WARC/1.1\r\n")
         ids |= set(re.findall(rb"WARC-Record-ID: (\S+)", text))
         refers |= set(re.findall(rb"WARC-Refers-To: (\S+)", text))
+        addresses |= set(re.findall(rb"WARC-Target-URI: ([^\r]*)\r\n", text))
     assert n == len(pages()) and refers and refers < ids
+    # addresses stand as they are; line ends alone, which no header can hold, are encoded
+    assert {b"http://a/b%20c?d=%25&e=%0D", b"http://x/7", b"http://y/%0D%0A%"} < addresses
     # an archive is dealt in stretches
     assert wz.read_archives(index, stretch=2_000).select(F.spark_partition_id()).distinct().count() > 4
 
