@@ -8,7 +8,8 @@ a window is its single rarest shingle; in a second pass only prefixes join. A pr
 place in the window gives the window's place in the document, the length bound drops
 windows that would pass an end, and the words are compared in the document's own row, so
 nothing but true occurrences leaves the task. What is broadcast are blocks of about
-``block_rows`` shingles or windows; a larger benchmark takes more passes.
+``block_rows`` shingles or windows; a larger benchmark takes more passes. Which items a
+window belongs to joins what was found, so items that share a window aren't broadcast.
 
 Defined results: a null text has no words and is never contaminated; an item without
 words is ignored; equal windows of several items count for each of them; repeated
@@ -18,6 +19,8 @@ after lower-casing A-Z only. Other columns are ignored.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,20 +81,30 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def window_hits(docs: DataFrame, bench: DataFrame, window: int = 13, block_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, key, start, len, item_ids)``: every occurrence of a benchmark window in a document.
+class Benchmark(NamedTuple):
+    """``windows`` (win_id, win, words, len), each of them once, and ``members`` (win_id, item_id)."""
+
+    windows: DataFrame
+    members: DataFrame
+
+
+def staged_benchmark(bench: DataFrame, window: int = 13, id_col: str = "item_id", text_col: str = "text") -> Benchmark:
+    each = stage(benchmark_windows(bench, window, id_col, text_col), "benchmark").df
+    windows = stage(each.select("win", "words", "len").distinct().withColumn("win_id", F.monotonically_increasing_id()), "windows").df
+    return Benchmark(windows, each.join(windows.select("win_id", "win"), "win").select("win_id", "item_id").distinct())
+
+
+def window_hits(docs: DataFrame, windows: DataFrame, block_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, key, start, len, win_id)``: every occurrence in a document of one of :class:`Benchmark`'s windows.
 
     ``key`` is a hash of the text, so that different texts under one id stay apart.
     """
     spark = docs.sparkSession
-    windows = stage(
-        benchmark_windows(bench, window).groupBy("win", "words", "len").agg(F.collect_set("item_id").alias("item_ids")), "windows"
-    ).df
     size = F.least(F.col("len"), F.lit(SHINGLE_WORDS))
     sizes = sorted(n for (n,) in windows.select(size).distinct().collect())
     if not sizes:
-        return spark.createDataFrame([], "doc_id long, key long, start int, len int, item_ids array<long>")
-    tokens = _union([windows.where(size == n).select("win", F.posexplode(_shingles(F.col("words"), n)).alias("offset", "h")) for n in sizes])
+        return spark.createDataFrame([], "doc_id long, key long, start int, len int, win_id long")
+    tokens = _union([windows.where(size == n).select("win_id", F.posexplode(_shingles(F.col("words"), n)).alias("offset", "h")) for n in sizes])
     # first pass: how often each benchmark shingle stands in the documents
     words = docs.select(words_of(F.col(text_col)).alias("words"))
     wanted = stage(tokens.select("h").distinct(), "shingles").df
@@ -100,16 +113,16 @@ def window_hits(docs: DataFrame, bench: DataFrame, window: int = 13, block_rows:
         "shingle-counts",
     ).df
     # a shingle that no document has leaves its windows without candidates: the left join keeps it as the rarest
-    ranked = tokens.join(often, "h", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "offset", "h")).alias("p"))
-    prefix = windows.join(ranked, "win").where("p.freq > 0").select("win", "len", "item_ids", F.col("p.h").alias("h"), F.col("p.offset").alias("offset"))
+    ranked = tokens.join(often, "h", "left").groupBy("win_id").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "offset", "h")).alias("p"))
+    prefix = windows.join(ranked, "win_id").where("p.freq > 0").select("win_id", "win", "len", F.col("p.h").alias("h"), F.col("p.offset").alias("offset"))
     prefix = stage(prefix, "prefixes").df
     # second pass: the prefixes alone join, and what they find is compared where it stands
     text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), words_of(F.col(text_col)).alias("words"))
     start = F.col("at") - F.col("offset")
     fits = (start >= 0) & (start + F.col("len") <= F.size("words"))
     same = F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("len")), " ") == F.col("win")
-    found = [_spots(text, sizes).join(F.broadcast(part), "h").where(fits & same) for part in _in_blocks(prefix, "win", block_rows)]
-    return _union(found).select("doc_id", "key", start.alias("start"), "len", "item_ids")
+    found = [_spots(text, sizes).join(F.broadcast(part), "h").where(fits & same) for part in _in_blocks(prefix, "win_id", block_rows)]
+    return _union(found).select("doc_id", "key", start.alias("start"), "len", "win_id")
 
 
 def _covered(spans: Column) -> Column:
@@ -122,25 +135,19 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step)["n"]
 
 
-def _judged(docs: DataFrame, bench: DataFrame, window: int, min_share: tuple[int, int]) -> DataFrame:
-    """``contamination`` with ``key``, a hash of the text, beside each id."""
+def _judged(docs: DataFrame, hits: DataFrame, min_share: tuple[int, int]) -> DataFrame:
+    """``doc_id, key, n_words, n_hit, contaminated`` of every row of ``docs``; ``key`` is a hash of the text."""
     per_doc = (
-        window_hits(docs, bench, window)
-        .groupBy(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"))
-        .agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"))
-        .select("hit_id", "hit_key", "item_ids", _covered(F.col("spans")).cast("long").alias("n_hit"))
+        hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"))
+        .agg(F.collect_set(F.struct("start", "len")).alias("spans"))
+        .select("hit_id", "hit_key", _covered(F.col("spans")).cast("long").alias("n_hit"))
     )
     n_words = F.size(words_of(F.col("text"))).cast("long")
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), n_words.alias("n_words"))
     part, whole = min_share
     joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
-    return joined.select(
-        "doc_id", "key", "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.when(F.col("item_ids").isNull(), 0).otherwise(F.size("item_ids")).cast("long").alias("n_items"),
-        F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
-        ((F.coalesce("n_hit", F.lit(0)) > 0) & (F.coalesce("n_hit", F.lit(0)) * whole >= F.col("n_words") * part)).alias("contaminated"),
-    )
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return joined.select("doc_id", "key", "n_words", n_hit.alias("n_hit"), ((n_hit > 0) & (n_hit * whole >= F.col("n_words") * part)).alias("contaminated"))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, min_share: tuple[int, int] = (1, 20)) -> DataFrame:
@@ -148,12 +155,19 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, min_share
 
     A row is contaminated if hit words are at least ``min_share`` (a fraction) of its words.
     """
-    return _judged(docs, bench, window, min_share).drop("key")
+    known = staged_benchmark(bench, window)
+    hits = stage(window_hits(docs, known.windows), "hits").df
+    items = hits.select("doc_id", "key", "win_id").distinct().join(known.members, "win_id").groupBy(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key")).agg(F.collect_set("item_id").alias("item_ids"))
+    rows = _judged(docs, hits, min_share)
+    told = rows.join(items, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left")
+    item_ids = F.coalesce("item_ids", F.array().cast("array<bigint>"))
+    return told.select("doc_id", "n_words", "n_hit", F.size(item_ids).cast("long").alias("n_items"), item_ids.alias("item_ids"), "contaminated")
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = 13, min_share: tuple[int, int] = (1, 20)) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns; each text under an id, or under none, for itself."""
-    bad = _judged(docs, bench, window, min_share).where("contaminated").select("doc_id", "key").distinct()
+    hits = window_hits(docs, staged_benchmark(bench, window).windows)
+    bad = _judged(docs, hits, min_share).where("contaminated").select("doc_id", "key").distinct()
     same = F.col("all.doc_id").eqNullSafe(F.col("bad.doc_id")) & (F.xxhash64("all.text") == F.col("bad.key"))
     return docs.alias("all").join(bad.alias("bad"), same, "left_anti")
 

@@ -80,5 +80,16 @@ def test_clashing_names(spark):
 def test_blocks_find_the_same(spark):
     docs = spark.createDataFrame([(1, " ".join("w%d" % i for i in range(50)))], "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join("w%d" % i for i in range(10, 40)))], "item_id long, text string")
-    rows = dc.window_hits(docs, bench, block_rows=3).collect()
+    rows = dc.window_hits(docs, dc.staged_benchmark(bench).windows, block_rows=3).collect()
     assert sorted(r["start"] for r in rows) == list(range(10, 28))
+
+
+def test_items_of_a_shared_window_are_not_broadcast(spark):
+    """A window of many items is one row of what is broadcast, and all of its items are found."""
+    text = " ".join("w%d" % i for i in range(13))
+    bench = spark.range(30_000).selectExpr("id as item_id", f"'{text}' as text")
+    known = dc.staged_benchmark(bench)
+    assert known.windows.columns == ["win", "words", "len", "win_id"] and known.windows.count() == 1
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "clean words"), (None, f"x {text} y")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_hit"], r["n_items"], len(set(r["item_ids"]))) for r in dc.contamination(docs, bench).collect())
+    assert got == [(0, 13, 30_000, 30_000), (1, 13, 30_000, 30_000), (1, 13, 30_000, 30_000), (2, 0, 0, 0)]
