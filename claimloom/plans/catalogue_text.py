@@ -11,7 +11,8 @@ from claimloom.operators import knowledge_base as K
 from claimloom.operators import maintenance as M
 from claimloom.operators import similarity as S
 from claimloom.plans.catalogue_graph import BASE, graph
-from claimloom.sources import derived, transcripts
+from claimloom.plans.staging import new_path
+from claimloom.sources import derived, line_files, transcripts
 from claimloom.streaming import events as V
 
 QUERIES: dict = {}
@@ -56,6 +57,41 @@ def transcript_turns(spark, sf_dir):
     return turns(spark, sf_dir)
 
 
+def _line_files(spark, sf_dir):
+    """The conversations' rows as lines of files that Spark writes, one a bucket of conversations, and the folder that holds them."""
+    rows = table(spark, sf_dir, "conversations")
+    said = F.concat_ws(":", "conv_id", "turn", F.coalesce("role", F.lit("")), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " "))
+    folder = new_path(spark, "line-files")
+    dealt = rows.select((F.col("conv_id") % 4).alias("bucket"), "conv_id", "turn", said.alias("value")).repartition("bucket").sortWithinPartitions("bucket", "conv_id", "turn", "value")
+    dealt.select("bucket", "value").write.partitionBy("bucket").text(folder)
+    return folder
+
+
+def _bucket():
+    return F.regexp_extract("path", r"bucket=(\d+)", 1).cast("int").alias("bucket")
+
+
+_LINES = "with l as (select conv_id % 4 as bucket, conv_id, turn, conv_id || ':' || turn || ':' || coalesce(role, '') || ':' || regexp_replace(coalesce(text, ''), '[\\r\\n]', ' ', 'g') as value from conversations), p as (select cast(bucket as int) as bucket, value, sum(strlen(value) + 1) over (partition by bucket order by conv_id, turn, value rows unbounded preceding) - strlen(value) - 1 as pos, sum(strlen(value) + 1) over (partition by bucket) as size from l)"
+
+
+@query("tail_lines", _LINES + " select bucket, cast(pos as bigint) as pos, value from p where size <= 20000 or pos > size - 20000")
+def tail_lines(spark, sf_dir):
+    """The whole lines of the last 20,000 bytes of each file, read from its end."""
+    return line_files.last_bytes(spark, _line_files(spark, sf_dir), 20_000, ".txt").select(_bucket(), F.col("at").alias("pos"), "value")
+
+
+@query("last_lines", _LINES + ", w as (select *, row_number() over (partition by bucket order by pos desc) as k from p where size <= 32768 or pos > size - 32768) select bucket, cast(pos as bigint) as pos, value from w where k <= 5")
+def last_lines(spark, sf_dir):
+    return line_files.last_lines(spark, _line_files(spark, sf_dir), 5, suffix=".txt").select(_bucket(), F.col("at").alias("pos"), "value")
+
+
+@query("appended_lines", _LINES + " select bucket, cast(pos as bigint) as pos, value from p")
+def appended_lines(spark, sf_dir):
+    """The lines of all files as a stream of what was appended since its last offsets, which at first is all."""
+    stream = line_files.appended_lines(spark, _line_files(spark, sf_dir), ".txt", stretch=1 << 20)
+    return V.run_to_table(stream, "appended-lines").select(_bucket(), F.col("at").alias("pos"), "value")
+
+
 @query("transcript_last", _TURNS + "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as k from t where text <> '') where k <= 3")
 def transcript_last(spark, sf_dir):
     return transcripts.window_of(turns(spark, sf_dir), ["conv_id"], most=3).select("conv_id", "turn", "role")

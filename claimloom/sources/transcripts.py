@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from claimloom.sources.line_files import last_bytes
+
 
 def _text_of(content: Column) -> Column:
     """A message's text: a JSON string itself, or the text blocks of an array by line feeds."""
@@ -68,6 +70,14 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("line_no", F.row_number().over(Window.partitionBy("path").orderBy("at"))).drop("at")
 
 
+def recent_messages(spark: SparkSession, path: str, most: int = 50, tail: int = 2 << 20) -> DataFrame:
+    """``(path, turn, role, text)`` of a first read of transcripts: the last ``most`` messages in each file's last ``tail`` bytes.
+
+    Turns are counted within what is read.
+    """
+    return window_of(parse_lines(last_bytes(spark, path, tail), ["path"], at="at"), ["path"], most=most)
+
+
 def read_documents(spark: SparkSession, path: str, most: int = 10 << 20) -> DataFrame:
     """``(path, text, too_long)`` of whole files; a file above ``most`` bytes is listed without being read."""
     files = spark.read.format("binaryFile").load(path)
@@ -75,11 +85,6 @@ def read_documents(spark: SparkSession, path: str, most: int = 10 << 20) -> Data
     return small.unionByName(files.where(F.col("length") > most).select("path", F.lit(None).cast("string").alias("text"), F.lit(True).alias("too_long")))
 
 
-def last_lines(lines: DataFrame, most: int, at: str = "line_no") -> DataFrame:
-    """The last ``most`` lines, the latest first."""
-    return lines.orderBy(F.desc(at)).limit(most)
-
-
 def argument_maps(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Propositions ``(episode, id, text)`` and relations ``(episode, from_id, to_id, relation)`` of argument-map files, one an episode.
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.plans.staging import new_path
+from claimloom.sources.line_files import appended_lines
 
 LATE = "10 minutes"
 
@@ -22,10 +23,15 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def objects(lines: DataFrame, schema: str, line: str = "value") -> DataFrame:
+    """The JSON objects of a stream or table of lines; lines that don't parse, and other JSON, are left out."""
+    whole = F.get_json_object(line, "$").isNotNull() & F.ltrim(line).startswith("{")
+    return lines.where(whole).select(F.from_json(line, schema).alias("e")).select("e.*")
+
+
 def line_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """New JSON-lines files of a folder as a stream; lines that don't parse are left out."""
-    lines = spark.readStream.text(path).select(F.from_json("value", schema).alias("e"), "value")
-    return lines.where(F.get_json_object("value", "$").isNotNull() & F.col("e").isNotNull()).select("e.*")
+    """The JSON objects of files that grow, or that a folder gets, as a stream."""
+    return objects(appended_lines(spark, path), schema)
 
 
 def sweep_timer(marks: DataFrame, hours: float = 24) -> DataFrame:

@@ -117,7 +117,8 @@ def test_readers(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"role": "user", "content": "a"}\nbad\n{"message": {"role": "assistant", "content": "b"}}\n')
     turns = transcripts.parse_lines(transcripts.read_transcripts(spark, str(tmp_path / "t.jsonl")), ["path"])
     assert [(r["turn"], r["text"]) for r in turns.orderBy("turn").collect()] == [(1, "a"), (2, "b")]
-    assert [r["line_no"] for r in transcripts.last_lines(transcripts.read_transcripts(spark, str(tmp_path / "t.jsonl")), 2).collect()] == [3, 2]
+    assert [(r["role"], r["text"]) for r in transcripts.recent_messages(spark, str(tmp_path / "t.jsonl"), most=1).collect()] == [("assistant", "b")]
+    assert [(r["role"], r["text"]) for r in transcripts.recent_messages(spark, str(tmp_path / "t.jsonl"), tail=70).collect()] == [("assistant", "b")]
 
 
 def test_match_rates(spark):
