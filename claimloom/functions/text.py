@@ -42,7 +42,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def word_set(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([A-Za-z0-9_]+)")))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)")))
 
 
 def has_any(text: Column, phrases: tuple[str, ...]) -> Column:

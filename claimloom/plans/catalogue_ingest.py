@@ -9,6 +9,7 @@ from claimloom.functions import text as T
 from claimloom.operators import evaluation as E
 from claimloom.operators import ingest as I
 from claimloom.operators import maintenance as M
+from claimloom.operators import matching as X
 from claimloom.operators import scans as S
 from claimloom.plans.catalogue_graph import BASE, fires, graph
 from claimloom.sources import derived
@@ -210,12 +211,55 @@ def safe_projects(spark, sf_dir):
 # evaluation
 
 
-@query("match_rates", ", f as (select to_id as from_id, from_id as to_id, case when substr(id, length(id), 1) in ('1', '3') then 'supports' else relation end as relation from edges where substr(from_id, length(from_id), 1) in ('1', '3', '5')), m as (select count(*) as gold, count(f.from_id) as matched, count_if(f.relation = g.relation) as agree from edges g left join f on f.from_id = g.to_id and f.to_id = g.from_id) select matched / gold as edge_recall, matched / (select count(*) from f) as edge_precision, agree / matched as relation_accuracy from m")
+def _annotated(spark, sf_dir):
+    """Sessions as episodes: their claims and inner edges as they are, and as a reader might have found them."""
+    claims = derived.claims(spark, sf_dir).selectExpr("session_id as episode", "cast(turn_number as bigint) as place", "text", "basis", "n", "id")
+    found = claims.where("n % 5 <> 0").selectExpr("episode", "1000 - place as place", "case when n % 3 = 0 then concat(text, ' and some further words') when n % 3 = 1 then concat_ws(' ', slice(split(text, ' '), 1, 12)) else text end as text", "if(n % 4 = 0, 'vibes', basis) as basis", "id")
+    edges = derived.edges(spark, sf_dir)
+    ends = claims.select("episode", "id", "place")
+    inner = edges.join(ends.select("episode", F.col("id").alias("from_id"), F.col("place").alias("from_place")), "from_id").join(ends.select("episode", F.col("id").alias("to_id"), F.col("place").alias("to_place")), ["episode", "to_id"])
+    relations = inner.selectExpr("episode", "from_place * 100 + to_place as place", "from_place", "to_place", "if(relation = 'contradicts', relation, 'supports') as relation")
+    links = inner.where("from_place % 3 <> 0").selectExpr("episode", "to_place * 100 + from_place as place", "1000 - to_place as from_place", "1000 - from_place as to_place", "if(from_place % 4 = 0, 'questions', relation) as relation")
+    return claims, relations, found, links
+
+
+_WORDS = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))"
+_EVALUATED = f""", g as (select session_id as episode, turn_number::bigint as place, text, n, id from claims),
+f as (select episode, 1000 - place as place, case when n % 3 = 0 then text || ' and some further words' when n % 3 = 1 then array_to_string(string_split(text, ' ')[1:12], ' ') else text end as text from g where n % 5 <> 0),
+gw as (select episode, place, {_WORDS} as w from g), fw as (select episode, place, {_WORDS} as w from f),
+s as (select episode, gw.place as l, fw.place as r, len(list_intersect(gw.w, fw.w)) / (len(gw.w) + len(fw.w) - len(list_intersect(gw.w, fw.w))) as score from gw join fw using (episode) where len(gw.w) > 0 and len(fw.w) > 0),
+b as (select * from s where score >= 0.25 qualify row_number() over (partition by episode, l order by score desc, r) = 1),
+m as (select episode, l, r from b qualify row_number() over (partition by episode, r order by l) = 1),
+i as (select x.episode, x.place as fp, y.place as tp, relation from edges e join g x on x.id = e.from_id join g y on y.id = e.to_id and y.episode = x.episode),
+gr as (select episode, fp * 100 + tp as place, fp, tp, case when relation = 'contradicts' then relation else 'supports' end as relation from i),
+fe as (select i.episode, tp * 100 + fp as place, 1000 - tp as fp, 1000 - fp as tp, case when fp % 4 = 0 then 'questions' else relation end as relation from i where fp % 3 <> 0),
+fk as (select fe.* from fe semi join f p on p.episode = fe.episode and p.place = fe.fp semi join f q on q.episode = fe.episode and q.place = fe.tp),
+wp as (select gr.episode, gr.place, relation, least(x.r, y.r) as a, greatest(x.r, y.r) as b from gr join m x on x.episode = gr.episode and x.l = gr.fp join m y on y.episode = gr.episode and y.l = gr.tp),
+hit as (select w.episode, w.relation as want, h.relation as got from (select *, row_number() over (partition by episode, a, b order by place) as nth from wp) w join (select episode, relation, least(fp, tp) as a, greatest(fp, tp) as b, row_number() over (partition by episode, least(fp, tp), greatest(fp, tp) order by place) as nth from fk) h using (episode, a, b, nth)),
+ev as (select episode, (select count(*) from g where g.episode = e.episode) as gold_claims, (select count(*) from m where m.episode = e.episode) as matched_claims, (select count(*) from gr where gr.episode = e.episode) as gold_edges, (select count(*) from hit where hit.episode = e.episode) as matched_edges, (select count(*) from fk where fk.episode = e.episode) as found_edges, (select count(*) from hit where hit.episode = e.episode and (want = 'supports') = (got in ('supports', 'depends_on'))) as right_relations from (select distinct episode from g) e)"""
+
+
+@query("episode_evaluation", _EVALUATED + " select * from ev")
+def episode_evaluation(spark, sf_dir):
+    """Every episode's claims matched by words, and its relations over the matches."""
+    return X.episode_evaluation(*[t.drop("n", "id") for t in _annotated(spark, sf_dir)])
+
+
+@query("match_rates", _EVALUATED + " select sum(matched_claims) / sum(gold_claims) as claim_recall, sum(matched_edges) / sum(gold_edges) as edge_recall, sum(matched_edges) / sum(found_edges) as edge_precision, sum(right_relations) / sum(matched_edges) as relation_accuracy from ev")
 def match_rates(spark, sf_dir):
-    edges = derived.edges(spark, sf_dir).withColumn("episode", F.expr("length(from_id)"))
-    found = edges.where("right(from_id, 1) in ('1', '3', '5')").selectExpr("episode", "to_id as from_id", "from_id as to_id", "if(right(id, 1) in ('1', '3'), 'supports', relation) as relation")
-    counts = E.episode_counts(edges, found).withColumns({"gold_claims": F.lit(0), "matched_claims": F.lit(0)})
-    return E.match_rates(counts).select("edge_recall", "edge_precision", "relation_accuracy")
+    return E.match_rates(episode_evaluation(spark, sf_dir))
+
+
+@query("basis_matches", None)
+def basis_matches(spark, sf_dir):
+    """Samples take their best free claim in order; tests hold the rounds against a plain loop."""
+    samples, _, found, _ = _annotated(spark, sf_dir)
+    return X.basis_matches(samples, found)
+
+
+@query("basis_accuracy", None)
+def basis_accuracy(spark, sf_dir):
+    return X.basis_accuracy(basis_matches(spark, sf_dir))
 
 
 @query("topology_whole", None)

@@ -9,11 +9,13 @@ from claimloom.functions.claims import STATUS_PATTERNS
 from claimloom.operators import evaluation as E
 from claimloom.operators import knowledge_base as K
 from claimloom.operators import maintenance as M
+from claimloom.operators import matching as X
 from claimloom.operators import similarity as S
 from claimloom.plans.catalogue_graph import BASE, graph
 from claimloom.plans.staging import new_path
 from claimloom.sources import derived, line_files, transcripts
 from claimloom.streaming import events as V
+from claimloom.streaming import timers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -367,11 +369,9 @@ def edge_matches(spark, sf_dir):
 
 @query("gold_matches")
 def gold_matches(spark, sf_dir):
-    words = text.word_set(F.col("text"))
-    rows = derived.claims(spark, sf_dir).select(F.col("session_id").alias("episode"), "id", words.alias("w"), "n")
-    left, right = rows.where("n % 2 = 0"), rows.where("n % 2 = 1")
-    pairs = left.select("episode", F.col("id").alias("gold"), F.col("w").alias("x")).join(right.select("episode", F.col("id").alias("found"), F.col("w").alias("y")), "episode")
-    return S.greedy_matches(pairs.select("episode", "gold", "found", text.jaccard(F.col("x"), F.col("y")).alias("score")).where("score >= 0.05"), "episode", "gold", "found")
+    """The claims of a session's user matched greedily to those of its assistant."""
+    rows = derived.claims(spark, sf_dir).select(F.col("session_id").alias("episode"), F.col("n").alias("place"), "text", "speaker")
+    return X.greedy_matches(X.overlapping(rows.where("speaker = 'user'"), rows.where("speaker = 'assistant'"), 0.05))
 
 
 # logs, caches, events
@@ -438,3 +438,17 @@ def _candidates(events):
 @query("batch_cooldown")
 def batch_cooldown(spark, sf_dir):
     return V.cooldown(_candidates(table(spark, sf_dir, "events")))
+
+
+@query("stream_sweeps")
+def stream_sweeps(spark, sf_dir):
+    """Debounced sweeps of the events' users, with timers for what is left; tests hold them against a plain walk through time."""
+    events = table(spark, sf_dir, "events")
+    rows = V.event_stream(spark, f"{sf_dir}/events.parquet*", events.schema).selectExpr("concat('u', user_id % 50) as project", "ts as at", "event_id % 2500 as pending", "cast(null as timestamp) as stamp")
+    before = spark.conf.get(timers.STORE[0])
+    spark.conf.set(*timers.STORE)
+    try:
+        swept = V.run_to_table(timers.debounced_sweeps(rows), "sweeps")
+    finally:
+        spark.conf.set(timers.STORE[0], before)
+    return swept.selectExpr("project", _NTZ.format("at"), "archived", "overflow", "cause")

@@ -34,11 +34,6 @@ def line_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return objects(appended_lines(spark, path), schema)
 
 
-def sweep_timer(marks: DataFrame, hours: float = 24) -> DataFrame:
-    """``(project, due_at)`` of a stream or table of sweep stamps ``(project, swept_at)``: when each project's next sweep is due."""
-    return marks.select("project", (F.col("swept_at") + F.expr(f"make_dt_interval(0, 0, {int(hours * 60)}, 0)")).alias("due_at"))
-
-
 def _timed(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
 

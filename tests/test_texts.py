@@ -70,12 +70,6 @@ def test_batch_dedup(spark):
     assert got[3]["depends_on"] == [2] and got[6]["depends_on"] == [2] and got[4]["contradicts"] == [5]
 
 
-def test_greedy(spark):
-    rows = [("e", 1, 10, 0.9), ("e", 1, 11, 0.8), ("e", 2, 10, 0.95), ("e", 2, 11, 0.1), ("f", 1, 10, 0.3)]
-    got = similarity.greedy_matches(spark.createDataFrame(rows, "ep string, l long, r long, score double"), "ep", "l", "r").collect()
-    assert {(x["ep"], x["l"], x["r"]) for x in got} == {("e", 1, 10), ("e", 2, 11), ("f", 1, 10)}
-
-
 def test_transcript_lines(spark):
     lines = ['{"role":"user","content":"Hi"}', "not json", '{"message":{"role":"assistant","content":[{"type":"text","text":"A"},{"type":"image"},{"type":"text","text":"B"}]}}', '{"role":"system","content":"no"}', '{"role":"user","content":""}']
     df = spark.createDataFrame([("t", i, v) for i, v in enumerate(lines)], "path string, line_no long, value string")
