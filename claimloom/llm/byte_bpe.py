@@ -11,7 +11,8 @@ piece is merged in the order in which it would be merged alone), so a sequence w
 neighbours all fit is the merges' own result, and there is one only. A place from
 which nothing fits is never tried again, hence linear time.
 
-Ids are little-endian unsigned 32-bit integers in one binary value. Tokens that their
+Ids are little-endian unsigned 32-bit integers in one binary value (tasks run on
+little-endian machines). Tokens that their
 own bytes' merges don't give can only be whole pieces and aren't searched for. The
 rank file is read by every Python worker, so its path must hold on each of them.
 
@@ -25,19 +26,22 @@ from __future__ import annotations
 
 import base64
 from array import array
+from collections.abc import Iterator
 from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a worker remembers at most before it starts anew: pieces, and pairs of tokens.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Pieces of more characters are encoded each time.
 LONG = 48
-#: Pieces taken from a text at a time.
-AT_ONCE = 100_000
+#: Pieces taken from a text, and rows sent on, at a time.
+AT_ONCE, ROWS = 100_000, 512
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,6 +49,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Merges(NamedTuple):
+    """The merges of a token's bytes in their order: the rank of each, and the part at one end after it where it has changed, else none."""
+
+    ranks: list[int]
+    ends: list[bytes | None]
+
+
+#: Above any rank.
+NEVER = 1 << 60
+
+
 class BytePairs:
     """A rank file's tokens, searched and checked in pairs."""
 
@@ -55,35 +70,86 @@ class BytePairs:
         if missing:
             raise ValueError(f"the rank file lacks {len(missing)} of the 256 single bytes")
         self.ranks = ranks
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.size = {rank: len(token) for token, rank in ranks.items()}
+        self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
+        self.size = list(map(len, self.bytes_of))
         self.finds = ahocorasick.Automaton()
-        searched = {token: rank for token, rank in ranks.items() if len(token) == 1 or self.merged(token) == [rank]}
+        searched = {token: rank for token, rank in ranks.items() if len(token) == 1 or self.merged(token) == [token]}
         for token, rank in searched.items():
             self.finds.add_word(token.decode("latin-1"), rank)
         self.finds.make_automaton()
         #: The longest token that begins another one, -1 for single bytes.
-        self.shorter = {rank: next((searched[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in searched), -1) for token, rank in searched.items()}
+        self.shorter = [-1] * len(self.bytes_of)
+        for token, rank in searched.items():
+            self.shorter[rank] = next((searched[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in searched), -1)
         self.known: dict[tuple[int, int], bool] = {}
+        self.lefts: dict[int, Merges] = {}
+        self.rights: dict[int, Merges] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """The ids that are left when the pair of the least rank, of these the leftmost, is merged until none is left."""
+    def merged(self, data: bytes, told=None) -> list[bytes]:
+        """The parts that are left when the pair of the least rank, of these the leftmost, is merged until none is left; ``told`` hears of each rank and the parts after it."""
         ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            found = [ranks.get(a + b, -1) for a, b in zip(parts, parts[1:])]
-            least = min((r for r in found if r >= 0), default=-1)
-            if least < 0:
+            found = [ranks.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+            least = min(found)
+            if least == NEVER:
                 break
             at = found.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+            if told:
+                told(least, parts)
+        return parts
+
+    def _merges(self, rank: int, end: int) -> Merges:
+        of, out = self.bytes_of[rank], Merges([], [])
+        now = of[:1] if end == 0 else of[-1:]
+
+        def told(least: int, parts: list[bytes]) -> None:
+            nonlocal now
+            out.ranks.append(least)
+            out.ends.append(parts[end] if parts[end] != now else None)
+            now = parts[end]
+
+        self.merged(of, told)
+        out.ranks.append(NEVER)
+        return out
+
+    def _run(self, a: int, b: int) -> bool:
+        """Whether the merges of two tokens' joined bytes never cross the boundary."""
+        left, right = self.lefts.get(a), self.rights.get(b)
+        if left is None:
+            left = self.lefts[a] = self._merges(a, -1)
+        if right is None:
+            right = self.rights[b] = self._merges(b, 0)
+        rank_of = self.ranks.get
+        x, y = self.bytes_of[a][-1:], self.bytes_of[b][:1]
+        i = j = 0
+        across = rank_of(x + y, NEVER)
+        while True:
+            p, q = left.ranks[i], right.ranks[j]
+            # of equal ranks the leftmost pair is merged: the left token's, then the one across
+            if across < p and across <= q and across < NEVER:
+                return False
+            if p <= q:
+                if p == NEVER:
+                    return True
+                new, i = left.ends[i], i + 1
+                if new is not None:
+                    x = new
+                    across = rank_of(x + y, NEVER)
+            else:
+                new, j = right.ends[j], j + 1
+                if new is not None:
+                    y = new
+                    across = rank_of(x + y, NEVER)
 
     def fit(self, a: int, b: int) -> bool:
         told = self.known.get((a, b))
         if told is None:
             if len(self.known) >= REMEMBERED:
                 self.known = {}
-            told = self.known[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            told = self.known[a, b] = self._run(a, b)
         return told
 
     def search(self, data: bytes) -> list[int]:
@@ -115,7 +181,7 @@ class BytePairs:
 
 
 class Codec:
-    """Encodes and decodes whole texts; remembers the ids of short pieces."""
+    """Encodes and decodes whole texts; remembers the ids of short pieces, those met last longest."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -123,12 +189,15 @@ class Codec:
         self.pairs = BytePairs(read_ranks(path))
         self.cut = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _ids(self, piece: str) -> bytes:
-        ids = np.array(self.pairs.piece(piece.encode()), "<u4").tobytes()
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = array("I", self.pairs.piece(piece.encode())).tobytes()
         if len(piece) <= LONG:
             if len(self.known) >= REMEMBERED:
-                self.known = {}
+                self.known, self.before = {}, self.known
             self.known[piece] = ids
         return ids
 
@@ -145,7 +214,7 @@ class Codec:
 
     def decode(self, ids: bytes) -> bytes:
         of = self.pairs.bytes_of
-        return b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return b"".join(map(of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -158,17 +227,6 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def encoded(text: Column, path: str, pattern: str) -> Column:
-    """The ids of ``text``, as binary."""
-
-    @F.pandas_udf("binary")
-    def of(texts: pd.Series) -> pd.Series:
-        encode = codec(path, pattern).encode
-        return pd.Series([encode(t) if t else b"" for t in texts], dtype=object)
-
-    return of(text)
-
-
 def decoded(ids: Column, path: str, pattern: str) -> Column:
     """The bytes that ``ids`` stand for; ``decode(…, 'UTF-8')`` makes them text again where they are whole."""
 
@@ -181,10 +239,23 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids)`` of every row of ``docs``."""
-    return docs.select("doc_id", encoded(F.col("text"), path, pattern).alias("ids")).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids"
-    )
+    """``(doc_id, n_tokens, ids)`` of every row of ``docs``.
+
+    Rows go through a worker once, as batches: were this a column, what reads the ids
+    next would have the texts encoded again.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = codec(path, pattern).encode
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = pa.array([run(t) if t else b"" for t in part.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+
+    coded = docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids binary")
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 def decode_documents(coded: DataFrame, path: str, pattern: str) -> DataFrame:
