@@ -7,17 +7,20 @@ Every detector works on all projects at once. No rows give no findings.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimloom.functions.claims import confidence_ceiling, is_ephemeral, is_strong, is_weak, older_than, sycophancy
+from claimloom.functions.claims import confidence_ceiling, is_ephemeral, is_recent, is_strong, is_weak, older_than, sycophancy
+from claimloom.plans.betweenness import betweenness
 from claimloom.plans.claim_graph import ClaimGraph
 from claimloom.plans.staging import stage, stage_told
+from claimloom.plans.strong import strongly_connected
 
 #: How many dependents are load, lately and in all, and how many sessions make a claim tested by use.
 RECENT_LOAD, TOTAL_LOAD, TESTED_SESSIONS = 2, 8, 3
@@ -240,59 +243,24 @@ def amplification_cascade(g: ClaimGraph) -> DataFrame:
     return _found(rows, "amplification_cascade", "warning", "n", anchor=F.get("run.id", 0), ids=F.array_join("run.id", ","))
 
 
-def bottleneck(g: ClaimGraph, chunk: int = 256, max_pairs: int = 2_000_000) -> DataFrame:
+def recent_pairs(g: ClaimGraph) -> DataFrame:
+    """``(project, a, b, ways)``: the pairs of claims that edges with a recent end join, and how many do."""
+    recent = g.claims.where(is_recent(g.as_of)).select("id")
+    touched = g.edges.join(recent.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select("from_id", "to_id", "project")
+    touched = touched.unionByName(g.edges.join(recent.withColumnRenamed("id", "to_id"), "to_id", "left_semi").join(recent.withColumnRenamed("id", "from_id"), "from_id", "left_anti").select("from_id", "to_id", "project"))
+    return touched.groupBy("project", F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).agg(F.count("*").alias("ways")).where("a <> b")
+
+
+def bottleneck(g: ClaimGraph, small: int = 200_000) -> DataFrame:
     """Claims through which unusually many shortest paths of the recent graph run.
 
     The recent graph keeps edges with a recent end, undirected, parallel edges
-    multiplying paths. Sources are dealt in chunks of a project, each with the project's
-    recent edges beside it (what it said within hours), and the partial scores are
-    summed; more than ``max_pairs`` of them in one project raise, since a task holds
-    them all. A score at least 1 and two population
-    deviations above the mean of the claims that others reach is a finding.
+    multiplying paths. A project of at most ``small`` pairs is searched in tasks that
+    hold its pairs; larger ones in rounds of joins. A score at least 1 and two
+    population deviations above the mean of the claims that others reach is a finding.
     """
-    from claimloom.functions.claims import is_recent
-
-    recent = g.claims.where(is_recent(g.as_of)).select("id")
-    touched = g.edges.join(recent.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select("from_id", "to_id", "project")
-    touched = touched.unionByName(g.edges.join(recent.withColumnRenamed("id", "to_id"), "to_id", "left_semi").join(recent.withColumnRenamed("id", "from_id"), "from_id", "left_anti").select("from_id", "to_id", "project"))
-    pairs = stage(touched.groupBy("project", F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).agg(F.count("*").alias("ways")).where("a <> b"), "recent-pairs").df
-    most = pairs.groupBy("project").count().agg(F.max("count")).first()[0] or 0
-    if most > max_pairs:
-        raise RuntimeError(f"{most} recent pairs in one project; raise max_pairs if a task can hold them")
-    sources = pairs.select("project", F.explode(F.array("a", "b")).alias("source")).distinct()
-    parts = sources.groupBy("project").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-    dealt = sources.join(parts, "project").select("project", "source", "parts").withColumn("part", F.pmod(F.xxhash64("source"), F.col("parts")).cast("int"))
-    beside = pairs.join(parts, "project").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-    def paths(some: pd.DataFrame, net: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([net["a"], net["b"]]))
-        place = {x: i for i, x in enumerate(names)}
-        near: list[list[tuple[int, int]]] = [[] for _ in names]
-        for a, b, w in zip(net["a"], net["b"], net["ways"]):
-            near[place[a]].append((place[b], w))
-            near[place[b]].append((place[a], w))
-        score, reached = np.zeros(len(names)), np.zeros(len(names), bool)
-        for source in some["source"]:
-            dist, ways, order = {place[source]: 0}, {place[source]: 1.0}, [place[source]]
-            for v in order:  # grows as it is walked: breadth first
-                for w, m in near[v]:
-                    if w not in dist:
-                        dist[w], ways[w] = dist[v] + 1, 0.0
-                        order.append(w)
-                    if dist[w] == dist[v] + 1:
-                        ways[w] += m * ways[v]
-            share = dict.fromkeys(order, 0.0)
-            for w in reversed(order[1:]):
-                score[w] += share[w]
-                reached[w] = True
-                for v, m in near[w]:
-                    if dist[v] == dist[w] - 1:
-                        share[v] += m * ways[v] / ways[w] * (1 + share[w])
-        return pd.DataFrame({"project": net["project"].iloc[0] if len(net) else "", "id": names, "score": score, "reached": reached})
-
-    dealt, beside = dealt.select("project", "part", "source"), beside.select("project", "part", "a", "b", "ways")
-    partial = dealt.groupBy("project", "part").cogroup(beside.toDF(*beside.columns).groupBy("project", "part")).applyInPandas(paths, "project string, id string, score double, reached boolean")
-    scores = partial.groupBy("project", "id").agg(F.sum("score").alias("score"), F.bool_or("reached").alias("reached")).where("reached")
+    pairs = stage(recent_pairs(g), "recent-pairs").df
+    scores = betweenness(pairs, small)
     by = Window.partitionBy("project")
     bar = F.greatest(F.lit(1.0), F.avg("score").over(by) + 2 * F.stddev_pop("score").over(by))
     high = scores.withColumn("bar", bar).where("score >= bar").select("id", "score")
@@ -301,31 +269,58 @@ def bottleneck(g: ClaimGraph, chunk: int = 256, max_pairs: int = 2_000_000) -> D
     return _found(rows, "bottleneck", F.when(F.col("challenged"), "info").otherwise("warning"), F.round("score"))
 
 
-def _heights(good: DataFrame, steps: DataFrame, at_once: int, max_length: int) -> DataFrame:
-    """``(id, height, next)`` of claims below which no cycle is: how many claims their longest chain has, and where it goes.
+def _heights(steps: DataFrame, known: DataFrame, at_once: int, max_length: int) -> tuple[DataFrame, int]:
+    """``known`` (id, height, next) with every claim all of whose heads have a height, and how many rows that is.
 
-    A round gives a height to every claim whose heads have theirs; ``at_once`` rounds
-    are one job. Of equally high heads the one of the least id is next.
+    A height says how many claims a longest chain has; of equally high heads the one of
+    the least id is next. ``at_once`` rounds are one job, over the claims still open.
     """
-    leaves = good.join(steps.select(F.col("from_id").alias("id")), "id", "left_anti").select("id", F.lit(1).alias("height"), F.lit(None).cast("string").alias("next"))
-    known, totals = stage_told(leaves, "chain-heights", n=F.count("*"))
-    leaves = known.df
+    staged, totals = stage_told(known, "chain-heights", n=F.count("*"))
     for _ in range(0, max_length, at_once):
-        before, now = totals["n"], known.df
+        known, before = staged.df, totals["n"]
+        open_ = steps.join(known.select(F.col("id").alias("from_id")), "from_id", "left_anti")
+        now = known
         for _ in range(at_once):
             heads = now.select(F.col("id").alias("to_id"), F.col("height").alias("h"))
-            tails = steps.join(heads, "to_id", "left").groupBy(F.col("from_id").alias("id")).agg(F.bool_and(F.col("h").isNotNull()).alias("ready"), F.min(F.struct(-F.col("h"), "to_id")).alias("best"))
-            now = leaves.unionByName(tails.where("ready").select("id", (1 - F.col("best.col1")).cast("int").alias("height"), F.col("best.to_id").alias("next")))
-        known, totals = stage_told(now, "chain-heights", n=F.count("*"))
+            tails = open_.join(heads, "to_id", "left").groupBy(F.col("from_id").alias("id")).agg(F.bool_and(F.col("h").isNotNull()).alias("ready"), F.min(F.struct(-F.col("h"), "to_id")).alias("best"))
+            now = known.unionByName(tails.where("ready").select("id", (1 - F.col("best.col1")).cast("int").alias("height"), F.col("best.to_id").alias("next")))
+        staged, totals = stage_told(now, "chain-heights", n=F.count("*"))
         if totals["n"] == before:
-            return known.df
+            return staged.df, before
     raise RuntimeError(f"chains of more than {max_length} claims; raise max_length to find them")
 
 
+def _through_cycles(members: DataFrame, steps: DataFrame, known: DataFrame, max_paths: int) -> DataFrame:
+    """``(id, height, path, over)`` of the claims ``members`` (id, component), all of whose other heads are known.
+
+    From each, every simple path within its component is walked, a step a round; it may
+    end anywhere, or go over to the highest head outside. Of equally long chains the
+    one with the least ids is kept.
+    """
+    of = members.select("id", "component")
+    ends = steps.join(of.select(F.col("id").alias("from_id"), F.col("component").alias("c")), "from_id").join(of.select(F.col("id").alias("to_id"), F.col("component").alias("d")), "to_id", "left")
+    inner = stage(ends.where("c = d").select("from_id", "to_id"), "cycle-steps").df
+    beyond = ends.where("d is null or c <> d").join(known.select(F.col("id").alias("to_id"), "height"), "to_id").groupBy(F.col("from_id").alias("end")).agg(F.min(F.struct(-F.col("height"), "to_id")).alias("b"))
+    beyond = stage(beyond.select("end", (-F.col("b.col1")).alias("h"), F.col("b.to_id").alias("over")), "cycle-ends").df
+    staged, totals = stage_told(members.select("id", F.array("id").alias("path"), F.col("id").alias("end")), "cycle-paths", n=F.count("*"))
+    best = None
+    while totals["n"]:
+        if totals["n"] > max_paths:
+            raise RuntimeError(f"{totals['n']} open paths through cycles; raise max_paths to search them all")
+        paths = staged.df
+        here = paths.join(beyond, "end", "left").select("id", (F.size("path") + F.coalesce("h", F.lit(0))).alias("height"), "path", "over")
+        both = here if best is None else best.unionByName(here)
+        rank = F.struct(-F.col("height"), F.concat("path", F.array_compact(F.array("over"))), "path", "over")
+        best = stage(both.groupBy("id").agg(F.min(rank).alias("b")).select("id", (-F.col("b.col1")).cast("int").alias("height"), "b.path", "b.over"), "cycle-best").df
+        longer = paths.join(inner, F.col("end") == F.col("from_id")).where("not array_contains(path, to_id)")
+        staged, totals = stage_told(longer.select("id", F.concat("path", F.array("to_id")).alias("path"), F.col("to_id").alias("end")), "cycle-paths", n=F.count("*"))
+    return best
+
+
 def _followed(starts: DataFrame, known: DataFrame) -> DataFrame:
-    """``(project, ids)``: the chain of each start ``(project, over, length)`` along ``next``, by jumps of powers of two."""
+    """``(project, ids)``: the chain of each start ``(project, id, length)`` along ``next``, by jumps of powers of two."""
     longest = starts.agg(F.max("length")).first()[0] or 0
-    rows = starts.select("project", F.col("over").alias("id"), F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("place"))
+    rows = starts.select("project", "id", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("place"))
     jump = known.where("next is not null").select(F.col("id").alias("was"), F.col("next").alias("to"))
     for bit in range(max(0, longest - 1).bit_length()):
         rows = rows.join(jump, (F.col("id") == F.col("was")) & (F.col("place").bitwiseAND(1 << bit) > 0), "left").select("project", F.coalesce("to", "id").alias("id"), "place")
@@ -337,42 +332,49 @@ def _followed(starts: DataFrame, known: DataFrame) -> DataFrame:
 def unchallenged_chain(g: ClaimGraph, max_length: int = 2000, max_paths: int = 5_000_000, at_once: int = 6) -> DataFrame:
     """The longest chain of each project, of three claims or more, that nobody challenged or pushed back on.
 
-    Chains follow structural edges from tail to head. Claims without a cycle below them
-    get their height by rounds of joins, and only the winning chains are followed at the
-    end. What a cycle holds back is searched path by path, a step a round; more than
-    ``max_paths`` open paths, or rounds beyond ``max_length``, raise. Of equal chains the
-    one with the least ids, from its start, is returned.
+    Chains follow structural edges from tail to head. Claims get the height of their
+    longest chain by rounds of joins. Where cycles hold claims back, paths are searched
+    within a strong component alone, once what lies below it is known, and heights go on
+    above it; so a long way above a cycle costs rounds, not paths. More than
+    ``max_paths`` open paths at a time, or rounds beyond ``max_length``, raise. Only the
+    winning chains are followed. Of equal chains the one with the least ids, from its
+    start, is returned.
     """
     good = g.claims.where("not challenged").select("id", "project").join(g.marks.where("pushed_back").select("id"), "id", "left_anti")
-    good = stage(good, "chain-claims").df
+    staged, totals = stage_told(good, "chain-claims", n=F.count("*"))
+    good = staged.df
     steps = g.edges.where("relation in ('supports', 'depends_on') and from_id <> to_id").select("from_id", "to_id").distinct()
     steps = stage(steps.join(good.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(good.select(F.col("id").alias("to_id")), "to_id", "left_semi"), "chain-steps").df
-    known = _heights(good, steps, at_once, max_length)
-    # a chain is a path of claims that cycles hold back, then the chain of a claim of known height
-    best = known.select("id", "height", F.array().cast("array<string>").alias("path"), F.col("id").alias("over"))
-    held, totals = stage_told(good.select("id").join(known.select("id"), "id", "left_anti"), "chain-held", n=F.count("*"))
-    if totals["n"]:
-        paths, n = held.df.select("id", F.array("id").alias("path"), F.col("id").alias("end")), totals["n"]
-        while n:
-            if n > max_paths:
-                raise RuntimeError(f"{n} open paths through cycles; raise max_paths to search them all")
-            inside = paths.join(steps, F.col("end") == F.col("from_id"), "left")
-            settled = inside.join(known.select(F.col("id").alias("to_id"), F.col("height").alias("h")), "to_id", "left")
-            # a path may stop anywhere, or go over into a claim of known height
-            over = settled.where("h is not null").select("id", (F.size("path") + F.col("h")).alias("height"), "path", F.col("to_id").alias("over"))
-            stop = paths.select("id", F.size("path").alias("height"), "path", F.lit(None).cast("string").alias("over"))
-            rank = F.struct(-F.col("height"), F.concat("path", F.array_compact(F.array("over"))), "path", "over")
-            best = stage(best.unionByName(stop).unionByName(over).groupBy("id").agg(F.min(rank).alias("b")).select("id", (-F.col("b.col1")).cast("int").alias("height"), "b.path", "b.over"), "chain-best").df
-            longer = settled.where("h is null and to_id is not null and not array_contains(path, to_id)")
-            staged, totals = stage_told(longer.select("id", F.concat("path", F.array("to_id")).alias("path"), F.col("to_id").alias("end")), "chain-paths", n=F.count("*"))
-            paths, n = staged.df, totals["n"]
-    rank = F.struct(-F.col("height"), F.concat("path", F.array_compact(F.array("over"))), "path", "over")
-    rows = best.where("height >= 3").join(good, "id").groupBy("project").agg(F.min(rank).alias("b"))
-    rows = stage(rows.select("project", (-F.col("b.col1")).alias("height"), "b.path", "b.over"), "chain-winners").df
-    tails = _followed(rows.where("over is not null").select("project", "over", (F.col("height") - F.size("path")).alias("length")), known)
-    whole = rows.join(tails.withColumnRenamed("project", "its_project"), F.col("project").eqNullSafe(F.col("its_project")), "left")
-    whole = whole.withColumn("chain", F.concat("path", F.coalesce("ids", F.array().cast("array<string>"))))
-    return _found(whole, "unchallenged_chain", "warning", "height", anchor=F.get("chain", 0), ids=F.array_join("chain", ","))
+    leaves = good.join(steps.select(F.col("from_id").alias("id")), "id", "left_anti").select("id", F.lit(1).alias("height"), F.lit(None).cast("string").alias("next"))
+    known, n = _heights(steps, leaves, at_once, max_length)
+    # the further claims of a path through a cycle stand under ids of their own, so that every claim has one next
+    stands = None
+    if n < totals["n"]:
+        held = steps.join(known.select(F.col("id").alias("from_id")), "from_id", "left_anti")
+        cycles = strongly_connected(held, "from_id", "to_id").select(F.col("node").alias("id"), "component")
+        cycles = stage(cycles, "chain-cycles").df
+        virtual = 0
+        while n - virtual < totals["n"]:
+            heads = steps.join(cycles.withColumnRenamed("id", "from_id"), "from_id").join(cycles.select(F.col("id").alias("to_id"), F.col("component").alias("d")), "to_id", "left")
+            waits = heads.where("d is null or d <> component").join(known.select(F.col("id").alias("to_id")), "to_id", "left_anti").select("component").distinct()
+            ready = cycles.join(waits, "component", "left_anti").join(known.select("id"), "id", "left_anti")
+            through = stage(_through_cycles(stage(ready, "chain-ready").df, steps, known, max_paths), "chain-through").df
+            place = lambda i: F.when(i == 0, F.col("id")).otherwise(F.concat("id", F.lit("\0"), i.cast("string")))
+            rows = through.select("id", "height", "over", F.size("path").alias("n"), F.posexplode("path").alias("i", "claim"))
+            after = F.when(F.col("i") + 1 < F.col("n"), place(F.col("i") + 1)).otherwise(F.col("over"))
+            rows = stage(rows.select(place(F.col("i")).alias("id"), (F.col("height") - F.col("i")).cast("int").alias("height"), after.alias("next"), "claim", (F.col("i") > 0).alias("virtual")), "chain-stands").df
+            stands = rows.select("id", "claim") if stands is None else stands.unionByName(rows.select("id", "claim"))
+            virtual += rows.where("virtual").count()
+            known, n = _heights(steps, known.unionByName(rows.select("id", "height", "next")), at_once, max_length)
+    best = known.where("height >= 3").join(good, "id").groupBy("project").agg(F.min(F.struct(-F.col("height"), "id")).alias("b"))
+    starts = stage(best.select("project", (-F.col("b.col1")).alias("length"), "b.id"), "chain-winners").df
+    if stands is None:
+        chains = _followed(starts, known)
+    else:
+        ids = _followed(starts, known).select("project", F.posexplode("ids").alias("place", "id")).join(stands, "id", "left")
+        chains = ids.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("claim", "id").alias("id"))))["id"].alias("ids"))
+    whole = starts.select("project", "length").join(chains.withColumnRenamed("project", "its_project"), F.col("project").eqNullSafe(F.col("its_project")))
+    return _found(whole, "unchallenged_chain", "warning", "length", anchor=F.get("ids", 0), ids=F.array_join("ids", ","))
 
 
 #: In the order in which findings are listed.
@@ -413,12 +415,23 @@ def _by_row(g: ClaimGraph, names: list[str]) -> DataFrame:
 
 
 def findings(g: ClaimGraph, names: tuple[str, ...] | None = None) -> DataFrame:
-    """All findings, each with its detector's place as ``seq``; the frames that detectors share are written once."""
-    g = g.staged()
+    """All findings, each with its detector's place as ``seq``; the frames that detectors share are written once.
+
+    Components, centrality and chains go round by round and don't need each other, so
+    each is started on a thread of its own; their jobs share the cluster.
+    """
     wanted = [n for n in DETECTORS if names is None or n in names]
+    fresh, g = not g.is_staged, g.partly_staged()
+    with ThreadPoolExecutor(3) as pool:
+        start = lambda f, *args: pool.submit(copy_context().run, inheritable_thread_target(g.claims.sparkSession)(f), *args)
+        clusters = start(g.stage_clusters) if fresh else None
+        slow = {name: start(DETECTORS[name], g) for name in (unchallenged_chain.__name__, bottleneck.__name__) if name in wanted}
+        if clusters:
+            clusters.result()
+        slow = {name: job.result() for name, job in slow.items()}
     out = _by_row(g, [n for n in wanted if n in RULES]) if any(n in RULES for n in wanted) else None
     for seq, (name, detect) in enumerate(DETECTORS.items()):
         if name in wanted and name not in RULES:
-            part = detect(g).withColumn("seq", F.lit(seq))
+            part = (slow[name] if name in slow else detect(g)).withColumn("seq", F.lit(seq))
             out = part if out is None else out.unionByName(part)
     return out

@@ -444,7 +444,7 @@ def batch_cooldown(spark, sf_dir):
 def stream_sweeps(spark, sf_dir):
     """Debounced sweeps of the events' users, with timers for what is left; tests hold them against a plain walk through time."""
     events = table(spark, sf_dir, "events")
-    rows = V.event_stream(spark, f"{sf_dir}/events.parquet*", events.schema).selectExpr("concat('u', user_id % 50) as project", "ts as at", "event_id % 2500 as pending", "cast(null as timestamp) as stamp")
+    rows = V.event_stream(spark, f"{sf_dir}/events.parquet*", events.schema).selectExpr("concat('u', user_id % 50) as project", "cast(ts as timestamp) as at", "event_id % 2500 as pending", "cast(null as timestamp) as stamp")
     before = spark.conf.get(timers.STORE[0])
     spark.conf.set(*timers.STORE)
     try:

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from claimloom.functions.claims import PUSHBACK, STRUCTURAL, is_recent, moore_flagged
 from claimloom.plans.components import connected_components
-from claimloom.plans.staging import stage
+from claimloom.plans.staging import stage, stage_told
 
 
 class ClaimGraph:
@@ -39,19 +39,28 @@ class ClaimGraph:
 
     def staged(self) -> ClaimGraph:
         """The same graph with the frames that many operators share written once, each from those before it."""
+        out = self.partly_staged()
+        if not out.is_staged:
+            out.stage_clusters()
+        return out
+
+    def partly_staged(self) -> ClaimGraph:
+        """:meth:`staged` but for components and clusters, which ``stage_clusters`` adds."""
         if self.is_staged:
             return self
         out = ClaimGraph(self.all_claims, self.all_edges, self.as_of)
-        out.is_staged = True
         out.claims = stage(self.claims, "claims").df
         out.edges = stage(out.edges, "claim-edges").df
         out.weighed = stage(out.weighed, "claims-weighed").df
         out.marks = out.weighed.where("degree > 0").select("id", "pushed_back", "contradicted", "has_in", "has_out", "degree")
         out.dependent_counts = out.weighed.where("total > 0").select("id", "total", "recent", "sessions")
-        out.components = stage(out.components, "claim-components").df
-        out.clusters = stage(out.clusters, "claim-clusters").df
         return out
 
+    def stage_clusters(self) -> None:
+        self.components = stage(self.components, "claim-components").df
+        self.clusters = stage(self.clusters, "claim-clusters").df
+        self.is_staged = True
+
     @cached_property
     def dependents(self) -> DataFrame:
         """``(anchor, dep)``, one row an edge."""
@@ -155,24 +164,36 @@ class ClaimGraph:
         order = Window.partitionBy("project", "session_id").orderBy("turn_number", "created_at", "id")
         return rows.withColumn("island", F.sum((~F.col("fits")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("fits")
 
-    def depths(self, max_rounds: int = 10_000) -> DataFrame:
+    def depths(self, max_rounds: int = 10_000, bucket: int = 1 << 16) -> DataFrame:
         """``(project, max_depth)``: the longest shortest way from a claim without parents; one claim alone has depth 1.
 
-        A frontier of (root, claim) pairs grows by a join a round and drops pairs seen
-        before; a project that has cycles only has depth 0.
+        Roots are numbered, 64 to a word, and a breadth-first search carries words of
+        bits: a frontier row is a claim and the roots of one word that have come to it
+        just now. A round adds the bits of a claim's tails and takes off those that it
+        had; words without new bits are done, and what they have seen isn't read again.
+        Numbers are given in buckets of about ``bucket`` roots, so no task holds all
+        roots of a project. A project that has cycles only has depth 0.
         """
         inner = stage(self.edges.select("from_id", "to_id").distinct(), "depth-edges").df
-        roots = self.claims.select("id", "project").join(inner.select(F.col("to_id").alias("id")), "id", "left_anti")
-        front = stage(roots.select(F.col("id").alias("root"), "id"), "depth-front").df
-        seen, last = front.withColumn("depth", F.lit(1)), 1
-        while True:
-            if last == max_rounds:
-                raise RuntimeError(f"ways of more than {max_rounds} claims; raise max_rounds")
-            after = front.join(inner, front["id"] == inner["from_id"]).select("root", F.col("to_id").alias("id")).distinct()
-            front = stage(after.join(seen.select("root", "id"), ["root", "id"], "left_anti"), "depth-front").df
-            if front.isEmpty():
-                break
+        roots, told = stage_told(self.claims.select("id", "project").join(inner.select(F.col("to_id").alias("id")), "id", "left_anti"), "depth-roots", n=F.count("*"))
+        dealt = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-told["n"] // bucket))))
+        nth = F.row_number().over(Window.partitionBy("project", "deal").orderBy("id")) - 1
+        word = F.struct("project", "deal", F.shiftright("nth", 6).alias("w"))
+        numbered = roots.df.withColumn("deal", dealt).withColumn("nth", nth)
+        front, told = stage_told(numbered.select(word.alias("word"), "id", F.expr("shiftleft(1L, cast(nth % 64 as int))").alias("bits")), "depth-front", n=F.count("*"))
+        seen, front, last = [front.path], front.df, 0
+        found = roots.df.select("project", F.lit(0).alias("depth")).limit(0)
+        while told["n"]:
             last += 1
-            seen = seen.unionByName(front.withColumn("depth", F.lit(last)))
-        deepest = seen.groupBy("root").agg(F.max("depth").alias("depth")).join(roots.withColumnRenamed("id", "root"), "root").groupBy("project").agg(F.max("depth").alias("depth"))
+            if last > max_rounds:
+                raise RuntimeError(f"ways of more than {max_rounds} claims; raise max_rounds")
+            found = found.unionByName(front.select("word.project", F.lit(last).alias("depth")).distinct())
+            new = front.join(inner, front["id"] == inner["from_id"]).groupBy("word", F.col("to_id").alias("id")).agg(F.bit_or("bits").alias("bits"))
+            before = front.sparkSession.read.schema(front.schema).parquet(*seen)
+            before = before.join(front.select("word").distinct(), "word", "left_semi").groupBy("word", "id").agg(F.bit_or("bits").alias("had"))
+            fresh = new.join(before, ["word", "id"], "left").select("word", "id", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0)))).alias("bits")).where("bits <> 0")
+            staged, told = stage_told(fresh, "depth-front", n=F.count("*"))
+            front = staged.df
+            seen.append(staged.path)
+        deepest = found.groupBy("project").agg(F.max("depth").alias("depth"))
         return self.claims.select("project").distinct().join(deepest, "project", "left").select("project", F.coalesce("depth", F.lit(0)).alias("max_depth"))

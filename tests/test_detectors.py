@@ -94,7 +94,7 @@ def test_bottleneck(spark):
         if (a, b, rel) not in pairs:
             pairs.append((a, b, rel))
             g.edge("net", f"n{a:02}", rel, f"n{b:02}")
-    got = by_project(D.bottleneck(g.graph(spark), chunk=7))
+    got = by_project(D.bottleneck(g.graph(spark)))
     assert {p for p in got} <= {"hub", "net"} and got["hub"][0]["severity"] == "info" and got["hub"][0]["measure"] == 56
     score = brandes(range(40), [(a, b) for a, b, _ in pairs])
     values = list(score.values())
