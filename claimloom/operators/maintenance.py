@@ -84,7 +84,8 @@ def touch(claims: DataFrame, edges: DataFrame) -> DataFrame:
 def prune_edges(edges: DataFrame, most: int = 5) -> DataFrame:
     """At most ``most`` outgoing edges a claim: by relation, then strength."""
     order = Window.partitionBy("from_id").orderBy(_rank_of("relation", KEEP_ORDER), F.desc("strength"), "created_at", "id")
-    return edges.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most).drop("_place")
+    place = own_name(edges, "place")
+    return edges.withColumn(place, F.row_number().over(order)).where(F.col(place) <= most).drop(place)
 
 
 def close_superseded(claims: DataFrame, edges: DataFrame) -> DataFrame:
@@ -92,8 +93,7 @@ def close_superseded(claims: DataFrame, edges: DataFrame) -> DataFrame:
     ends = claims.select("id", F.col("project").alias("p"), F.col("created_at").alias("at"))
     newer = ends.select(F.col("id").alias("from_id"), F.col("p").alias("new_p"), F.col("at").alias("new_at"))
     hit = edges.where("relation = 'contradicts'").join(newer, "from_id").join(ends.withColumnRenamed("id", "to_id"), "to_id").where("p = new_p and new_at > at")
-    gone = hit.select(F.col("to_id").alias("id")).distinct().withColumn("_gone", F.lit(True))
-    return claims.join(gone, "id", "left").withColumn("closed", F.col("closed") | F.coalesce("_gone", F.lit(False))).select(*claims.columns)
+    return _marked(claims, hit.select(F.col("to_id").alias("id")), lambda hit: {"closed": F.col("closed") | hit})
 
 
 def settled_merges(merges: DataFrame, max_rounds: int = 32) -> DataFrame:
@@ -127,14 +127,32 @@ def merge_claims(claims: DataFrame, edges: DataFrame, merges: DataFrame) -> tupl
     return claims.join(to.select(F.col("absorb").alias("id")), "id", "left_anti"), one.select("e.id", "from_id", "to_id", "relation", "e.strength", "e.created_at")
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _marked(claims: DataFrame, ids: DataFrame, changes) -> DataFrame:
+    """Claims with ``changes`` (of whether an id is among ``ids``) to some columns."""
+    mark = own_name(claims, "marked")
+    rows = claims.join(ids.select("id").distinct().withColumn(mark, F.lit(True)), "id", "left")
+    return rows.withColumns(changes(F.coalesce(F.col(mark), F.lit(False)))).select(*claims.columns)
+
+
 def set_archived(claims: DataFrame, ids: DataFrame, archived: bool, project: str | None = None, as_of: str | None = None) -> DataFrame:
     """Archives the claims of ``ids``, or takes them back, which counts as a reference at ``as_of``."""
-    marked = claims.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
-    hit = F.coalesce("_hit", F.lit(False)) & (F.lit(True) if project is None else F.col("project") == project)
-    out = marked.withColumn("_hit", hit)
-    if not archived and as_of is not None:
-        out = out.withColumn("last_referenced_at", F.when(F.col("_hit"), F.expr(f"timestamp_ntz '{as_of}'")).otherwise(F.col("last_referenced_at")))
-    return out.withColumn("archived", F.when(F.col("_hit"), F.lit(archived)).otherwise(F.col("archived"))).select(*claims.columns)
+
+    def changes(hit: Column) -> dict[str, Column]:
+        hit = hit if project is None else hit & (F.col("project") == project)
+        out = {"archived": F.when(hit, F.lit(archived)).otherwise(F.col("archived"))}
+        if not archived and as_of is not None:
+            out["last_referenced_at"] = F.when(hit, F.expr(f"timestamp_ntz '{as_of}'")).otherwise(F.col("last_referenced_at"))
+        return out
+
+    return _marked(claims, ids, changes)
 
 
 def challenge(claims: DataFrame, changes: DataFrame) -> DataFrame:
@@ -143,14 +161,14 @@ def challenge(claims: DataFrame, changes: DataFrame) -> DataFrame:
     A new text or basis that is neither null nor empty takes effect; of several changes
     of one claim, the greatest such text and basis.
     """
-    one = changes.groupBy("id").agg(F.max(F.expr("nullif(new_text, '')")).alias("_text"), F.max(F.expr("nullif(new_basis, '')")).alias("_basis")).withColumn("_hit", F.lit(True))
-    out = claims.join(one, "id", "left").withColumns({"challenged": F.col("challenged") | F.coalesce("_hit", F.lit(False)), "text": F.coalesce("_text", "text"), "basis": F.coalesce("_basis", "basis")})
-    return out.select(*claims.columns)
+    text, basis = own_name(claims, "new_text"), own_name(claims, "new_basis")
+    one = changes.groupBy("id").agg(F.max(F.expr("nullif(new_text, '')")).alias(text), F.max(F.expr("nullif(new_basis, '')")).alias(basis))
+    out = _marked(claims, one, lambda hit: {"challenged": F.col("challenged") | hit})
+    return out.join(one, "id", "left").withColumns({"text": F.coalesce(text, "text"), "basis": F.coalesce(basis, "basis")}).select(*claims.columns)
 
 
 def close_claims(claims: DataFrame, ids: DataFrame) -> DataFrame:
-    marked = claims.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
-    return marked.withColumn("closed", F.col("closed") | F.coalesce("_hit", F.lit(False))).select(*claims.columns)
+    return _marked(claims, ids, lambda hit: {"closed": F.col("closed") | hit})
 
 
 def delete_project(claims: DataFrame, edges: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from claimloom.operators import maintenance as M
 from claimloom.operators import matching as X
 from claimloom.operators import scans as S
 from claimloom.plans.catalogue_graph import BASE, fires, graph
+from claimloom.plans.catalogue_text import GRAMS
 from claimloom.sources import derived
 
 QUERIES: dict = {}
@@ -76,12 +77,61 @@ def membership(spark, sf_dir):
     return I.record_membership(bridge, new.unionByName(bridge))
 
 
+# a batch of its own for every second claim of one project, one that repeats a claim or one that is new, beside a project of which some is archived
+
+
+def _ingested(spark, sf_dir):
+    claims = derived.claims(spark, sf_dir).withColumn("archived", F.expr("n % 6 = 0"))
+    none = "cast(null as array<{}>)"
+    rows = claims.where("project = 'p3' and n % 2 = 0").selectExpr(
+        "concat('b', n) as batch", "0L as index", "if(n % 4 = 0, text, concat('quite another remark, numbered ', n)) as text", "if(n % 8 = 2, 'nonsense', basis) as basis", "confidence", "'' as source", "speaker",
+        *[none.format("bigint") + f" as {r}" for r in I.LISTS], none.format("string") + " as depends_on_existing",
+        "transform(sequence(1, 4), i -> concat('c', n - i)) as supports_existing", "array(concat('c', n - 1), 'nowhere') as contradicts_existing", "array(concat('c', n + 1), concat('c', n + 1)) as questions_existing",
+    )
+    bridge = claims.where("n % 3 = 0").select("session_id", F.col("id").alias("claim_id"))
+    return I.ingest_batch(claims.drop("n", "sess"), derived.edges(spark, sf_dir), bridge, rows, "p3", derived.AS_OF)
+
+
+_INGESTED = f""", ac as (select c.* replace (n % 6 = 0 as archived) from claims c),
+nw as (select n, 'b' || n as batch, 'x' || substr(sha256('b' || n || ':0'), 1, 24) as nid, case when n % 4 = 0 then text else 'quite another remark, numbered ' || n end as text, case when n % 8 = 2 then case when speaker = 'assistant' then 'llm_output' else 'vibes' end else basis end as basis, speaker from ac where project = 'p3' and n % 2 = 0),
+eg as (select id, speaker, created_at, archived, {GRAMS} as g from ac where project = 'p3'), ng as (select n, speaker, {GRAMS} as g from nw),
+mt as (select n, id as mid, archived as back from ng join eg using (speaker) where len(ng.g) > 0 and len(eg.g) > 0 and 2 * len(list_intersect(ng.g, eg.g)) > len(list_distinct(list_concat(ng.g, eg.g))) qualify row_number() over (partition by n order by created_at, id) = 1),
+rs as (select nw.*, mid, back, coalesce(mid, nid) as id from nw left join mt using (n)),
+c1 as (select id, project, session_id, text, basis, created_at, closed, archived and id not in (select mid from mt where back) as archived, case when id in (select mid from mt where back) then as_of else last_referenced_at end as last_ref from ac, now_
+       union all select nid, 'p3', batch, text, basis, as_of, false, false, as_of from rs, now_ where mid is null),
+ad as (select distinct id as from_id, to_id, relation from (select id, unnest(list_transform(range(1, 5), lambda i: 'c' || (n - i))) as to_id, 'supports' as relation from rs union all select id, 'c' || (n - 1), 'contradicts' from rs union all select id, 'c' || (n + 1), 'questions' from rs) where id <> to_id and to_id in (select id from c1)),
+fe as (select from_id || '-' || to_id || '-' || relation as id, ad.*, 1.0::double as strength, as_of as created_at from ad anti join edges e on e.from_id = ad.from_id and e.to_id = ad.to_id and e.relation = ad.relation, now_),
+ae as (select id, from_id, to_id, relation, strength, created_at from edges union all select id, from_id, to_id, relation, strength, created_at from fe),
+act as (select ae.* from ae semi join c1 f on f.id = ae.from_id and f.project = 'p3' and not f.archived semi join c1 t on t.id = ae.to_id and t.project = 'p3' and not t.archived),
+keep as (select id from act qualify row_number() over (partition by from_id order by case relation when 'contradicts' then 0 when 'questions' then 1 when 'depends_on' then 2 when 'supports' then 3 else 4 end, strength desc, created_at, id) <= 5),
+le as (select * from ae where id in (select id from keep) or id not in (select id from act)),
+tc as (select unnest([from_id, to_id]) as id, created_at as at_ from fe), c2 as (select c1.* replace (greatest(coalesce(last_ref, created_at), (select max(at_) from tc where tc.id = c1.id)) as last_ref) from c1),
+sup as (select distinct e.to_id as id from le e join c1 f on f.id = e.from_id join c1 t on t.id = e.to_id where e.relation = 'contradicts' and f.project = 'p3' and t.project = 'p3' and f.created_at > t.created_at)"""
+
+
+@query("ingested_claims", _INGESTED + " select id, project, session_id, basis, closed or id in (select id from sup) as closed, archived, last_ref as last_referenced_at from c2")
+def ingested_claims(spark, sf_dir):
+    """All claims after the batches: which are new, taken back, referenced now and closed."""
+    return _ingested(spark, sf_dir).claims.select("id", "project", "session_id", "basis", "closed", "archived", "last_referenced_at")
+
+
+@query("ingested_edges", _INGESTED + " select from_id, to_id, relation, strength, created_at from le")
+def ingested_edges(spark, sf_dir):
+    """All edges after the batches, pruned."""
+    return _ingested(spark, sf_dir).edges.select("from_id", "to_id", "relation", "strength", "created_at")
+
+
+@query("ingested_members", _INGESTED + " select session_id, id as claim_id from ac where n % 3 = 0 union select batch, id from rs where mid is null or back")
+def ingested_members(spark, sf_dir):
+    return _ingested(spark, sf_dir).bridge
+
+
 @query("ingested_batch", None)
 def ingested_batch(spark, sf_dir):
-    """All claims after every session has been extracted once more; tests hold the operator against literal rows."""
+    """All claims after every session has been extracted once more, near-duplicates and all; tests hold the operator against literal rows."""
     claims, edges = derived.claims(spark, sf_dir), derived.edges(spark, sf_dir)
     bridge = claims.select("session_id", F.col("id").alias("claim_id"))
-    return I.ingest_batch(claims.drop("n", "sess"), edges, bridge, extracted(spark, sf_dir), "p3", derived.AS_OF)[0].select("id", "project", "session_id", "basis")
+    return I.ingest_batch(claims.drop("n", "sess"), edges, bridge, extracted(spark, sf_dir), "p3", derived.AS_OF).claims.select("id", "project", "session_id", "basis")
 
 
 @query("export_rows", " select project, 'claim' as kind, id from claims union all select project, 'edge', e.id from edges e join claims c on c.id = e.from_id")

@@ -127,10 +127,10 @@ def token_budget(spark, sf_dir):
 
 # texts
 
-_GRAMS = "list_distinct(flatten(list_transform(list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda w: trim(w, '.,;:!?\"''()-[]{}…–—')), lambda w: len(w) >= 4), lambda w: list_transform(range(1, len(w) - 2), lambda i: substring(w, i, 4)))))"
+GRAMS = "list_distinct(flatten(list_transform(list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda w: trim(w, '.,;:!?\"''()-[]{}…–—')), lambda w: len(w) >= 4), lambda w: list_transform(range(1, len(w) - 2), lambda i: substring(w, i, 4)))))"
 
 
-@query("ngrams", BASE + f"select id, len({_GRAMS}) as n, array_to_string(list_sort({_GRAMS})[1:3], '|') as head from claims")
+@query("ngrams", BASE + f"select id, len({GRAMS}) as n, array_to_string(list_sort({GRAMS})[1:3], '|') as head from claims")
 def ngrams(spark, sf_dir):
     rows = derived.claims(spark, sf_dir).select("id", text.ngrams(F.col("text")).alias("g"))
     return rows.select("id", F.size("g").alias("n"), F.array_join(F.slice(F.array_sort("g"), 1, 3), "|").alias("head"))
@@ -144,7 +144,7 @@ def _texts(spark, sf_dir):
     return rows.unionByName(same).unionByName(near)
 
 
-_TEXTS = BASE + f", tx as (select id, project, speaker, text from claims union all select id || 'x', project, speaker, text from claims where n % 8 = 0 union all select id || 'y', project, speaker, text || ' additional words follow' from claims where n % 5 = 0), g as (select id, project, speaker, list_sort({_GRAMS}) as g from tx), h as (select project, speaker, g, min(id) as head from g where len(g) > 0 group by 1, 2, 3)"
+_TEXTS = BASE + f", tx as (select id, project, speaker, text from claims union all select id || 'x', project, speaker, text from claims where n % 8 = 0 union all select id || 'y', project, speaker, text || ' additional words follow' from claims where n % 5 = 0), g as (select id, project, speaker, list_sort({GRAMS}) as g from tx), h as (select project, speaker, g, min(id) as head from g where len(g) > 0 group by 1, 2, 3)"
 
 
 @query("jaccard_pairs", _TEXTS + " select a.head as a, b.head as b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 9) as sim from h a join h b on a.project = b.project and a.speaker = b.speaker and a.head < b.head where 2 * len(list_intersect(a.g, b.g)) > len(list_distinct(list_concat(a.g, b.g)))")
@@ -158,7 +158,7 @@ def jaccard_members(spark, sf_dir):
     return S.similar_pairs(_texts(spark, sf_dir), block=("project", "speaker"))[1]
 
 
-@query("cross_dedup", BASE + f", ex as (select id, project, speaker, created_at, list_sort({_GRAMS}) as g from claims), nw as (select n as index, project, speaker, list_sort({_GRAMS}) as g from (select n, project, speaker, text || ' additional words follow' as text from claims)) select index, first(id order by created_at, id) as id from nw join ex using (project, speaker) where len(nw.g) > 0 and len(ex.g) > 0 and 2 * len(list_intersect(nw.g, ex.g)) > len(list_distinct(list_concat(nw.g, ex.g))) group by 1")
+@query("cross_dedup", BASE + f", ex as (select id, project, speaker, created_at, list_sort({GRAMS}) as g from claims), nw as (select n as index, project, speaker, list_sort({GRAMS}) as g from (select n, project, speaker, text || ' additional words follow' as text from claims)) select index, first(id order by created_at, id) as id from nw join ex using (project, speaker) where len(nw.g) > 0 and len(ex.g) > 0 and 2 * len(list_intersect(nw.g, ex.g)) > len(list_distinct(list_concat(nw.g, ex.g))) group by 1")
 def cross_dedup(spark, sf_dir):
     claims = derived.claims(spark, sf_dir)
     new = claims.select(F.col("n").alias("index"), "project", "speaker", F.concat("text", F.lit(" additional words follow")).alias("text"))
@@ -175,7 +175,7 @@ def batch_dedup(spark, sf_dir):
     return S.deduplicate_batch(batch)
 
 
-_CTX = BASE + f", heard as (select project, {_GRAMS.replace('text', 'chunk')} as hg from (select project, string_agg(text, ' ' order by id) as chunk from claims where turn_number = 1 group by 1)), r as (select c.*, total, count(*) over (partition by project) as k, row_number() over (partition by project order by created_at desc, c.id desc) as late, len(list_intersect({_GRAMS}, coalesce(hg, []))) as score from claims c left join dc using (id) left join heard using (project)), q as (select *, case when k <= 20 then 'all' when late <= 10 then 'recent' when total >= 3 then 'hub' end as reason from r), o as (select *, count(reason) over (partition by project) as taken, row_number() over (partition by project, reason is null and score >= 3 order by score desc, created_at, id) as place from q) select project, id, coalesce(reason, 'similar') as reason from o where reason is not null or (score >= 3 and place <= 20 - taken)"
+_CTX = BASE + f", heard as (select project, {GRAMS.replace('text', 'chunk')} as hg from (select project, string_agg(text, ' ' order by id) as chunk from claims where turn_number = 1 group by 1)), r as (select c.*, total, count(*) over (partition by project) as k, row_number() over (partition by project order by created_at desc, c.id desc) as late, len(list_intersect({GRAMS}, coalesce(hg, []))) as score from claims c left join dc using (id) left join heard using (project)), q as (select *, case when k <= 20 then 'all' when late <= 10 then 'recent' when total >= 3 then 'hub' end as reason from r), o as (select *, count(reason) over (partition by project) as taken, row_number() over (partition by project, reason is null and score >= 3 order by score desc, created_at, id) as place from q) select project, id, coalesce(reason, 'similar') as reason from o where reason is not null or (score >= 3 and place <= 20 - taken)"
 
 
 @query("context_selection", _CTX)

@@ -30,7 +30,7 @@ def extracted(spark, *rows):
 
 
 def test_ingest_batch(spark):
-    g = Graphs().claim("p", "old", text="the harbour bridge carries freight trains daily", age_days=9).claim("p", "gone", "vibes", "archived", text="winter shipping lanes freeze over early", age_days=8)
+    g = Graphs().claim("p", "old", text="the harbour bridge carries freight trains daily", age_days=9).claim("p", "gone", "vibes", "archived", text="winter shipping lanes freeze over early", age_days=80)
     g.claim("q", "other", text="completely different statement about gardens", age_days=7)
     claims, edges = spark.createDataFrame(g.claims, CLAIMS), spark.createDataFrame(g.edges, EDGES)
     rows = extracted(
@@ -39,14 +39,73 @@ def test_ingest_batch(spark):
         (1, "winter shipping lanes freeze over early indeed", {"depends_on": [2, 7]}),
         (2, "completely different statement about gardens", {"contradicts": [0, 0], "questions_existing": ["p.old", "nowhere"]}),
     )
-    out, links, bridge = I.ingest_batch(claims, edges, spark.createDataFrame([], "session_id string, claim_id string"), rows, "p", AS_OF)
+    none = spark.createDataFrame([], "session_id string, claim_id string")
+    out, links, bridge = I.ingest_batch(claims, edges, none, rows, "p", AS_OF)
     new = I.batch_id(F.lit("b"), F.lit(2))
     new = spark.range(1).select(new).first()[0]
     got = {r["id"]: r for r in out.collect()}
-    # like claims of the project are that claim, archived ones come back; a like claim of another project is not
+    # like claims of the project are that claim, archived ones come back as of now; a like claim of another project is not
     assert set(got) == {"p.old", "p.gone", "q.other", new} and not got["p.gone"]["archived"] and got[new]["project"] == "p" and got[new]["turn_number"] == 0
+    assert got["p.gone"]["last_referenced_at"] == NOW and got["q.other"]["last_referenced_at"] == NOW - dt.timedelta(days=7)
+    # edges touch their ends, and what a newer claim contradicts is closed
+    assert got["p.old"]["last_referenced_at"] == NOW and got["p.old"]["closed"] and not got[new]["closed"]
     assert {(r["from_id"], r["relation"], r["to_id"]) for r in links.collect()} == {("p.old", "supports", "p.gone"), ("p.gone", "depends_on", new), (new, "contradicts", "p.old"), (new, "questions", "p.old")}
-    assert {r["claim_id"] for r in bridge.collect()} == {"p.old", "p.gone", new}
+    # a claim that wasn't archived stays in its own sessions, but a document's session holds all that it says
+    assert {(r["session_id"], r["claim_id"]) for r in bridge.collect()} == {("b", "p.gone"), ("b", new)}
+    document = I.ingest_batch(claims, edges, none, rows, "p", AS_OF, documents=True)
+    assert {r["claim_id"] for r in document.bridge.collect()} == {"p.old", "p.gone", new}
+
+
+def test_ingest_checks_deduplicates_prunes_and_sweeps(spark):
+    g = Graphs()
+    for i in range(7):
+        g.claim("p", f"n{i}", "research", text=f"{i}{i}{i}{i}", age_days=40, idle_days=1)
+    g.claim("p", "stale", text="nobody looks at this any more", age_days=50).claim("p", "hidden", "vibes", "archived", text="9999", age_days=50)
+    for i in range(1, 6):
+        g.edge("p", "n0", "supports", f"n{i}", strength=0.5 + i / 10)
+    g.edge("p", "n0", "supports", "hidden")
+    claims, edges = spark.createDataFrame(g.claims, CLAIMS), spark.createDataFrame(g.edges, EDGES)
+    say = lambda i, text, basis, source, lists: ("b", i, text, basis, 0.5, source, "user", *[lists.get(k) for k in ("depends_on", "supports", "contradicts", "questions", "depends_on_existing", "supports_existing", "contradicts_existing", "questions_existing")])
+    rows = [
+        say(1, "Rivers carry sediment to the sea each spring", "research", "Nobody (1999)", {"supports": [3]}),
+        say(2, "Rivers carry sediment to the sea each spring season", "vibes", None, {"contradicts_existing": ["p.n6"], "depends_on": [1, 3]}),
+        say(3, "Harvests depend upon the moon entirely", "research", "The Almanac of 1812", {}),
+        say(4, "0000", "vibes", None, {"contradicts_existing": ["p.n6"]}),
+        say(4, "0000", "vibes", None, {"contradicts_existing": ["p.n6"]}),
+    ]
+    told = spark.createDataFrame([("b", "they read the almanac aloud")], "batch string, transcript string")
+    out, links, bridge = I.ingest_batch(claims, edges, spark.createDataFrame([], "session_id string, claim_id string"), spark.createDataFrame(rows, EXTRACTED), "p", AS_OF, transcripts=told, sweep_cap=0)
+    got = {r["id"]: r for r in out.collect()}
+    made = {r["text"]: r for r in got.values() if not r["id"].startswith("p.")}
+    # two wordings are one claim; research that the transcript doesn't know gives way, research that it knows stays
+    assert {t: (r["basis"], r["source"]) for t, r in made.items()} == {"Rivers carry sediment to the sea each spring season": ("llm_output", ""), "Harvests depend upon the moon entirely": ("research", "The Almanac of 1812")}
+    rivers, moon = made["Rivers carry sediment to the sea each spring season"]["id"], made["Harvests depend upon the moon entirely"]["id"]
+    edges_of = lambda x: {(r["relation"], r["to_id"]) for r in links.collect() if r["from_id"] == x}
+    assert edges_of(rivers) == {("supports", moon), ("depends_on", moon), ("contradicts", "p.n6")}
+    # the row of index 4, said twice, is the claim that says the same
+    assert len(got) == len(g.claims) + 2
+    # five outgoing edges stay, the contradiction before all; an edge to an archived claim doesn't count and stays
+    assert got["p.stale"]["archived"] and not got["p.n1"]["archived"] and got["p.n6"]["closed"]
+    assert len(edges_of("p.n0")) == 6 and ("supports", "p.hidden") in edges_of("p.n0")
+    assert {r["claim_id"] for r in bridge.collect()} >= {rivers, moon}
+
+
+def test_insert_takes_each_id_once(spark):
+    claims = spark.createDataFrame(Graphs().claim("p", "a").claims, CLAIMS)
+    new = [("", "same", "s", None), (None, "same", "s", None), ("x", "one", "s", "given"), ("x", "two", "s", "given"), ("p.a", "there", "s", "p")]
+    out = I.insert_claims(claims, spark.createDataFrame(new, "id string, text string, session_id string, project string").selectExpr("*", "cast(null as timestamp_ntz) as created_at", "cast(null as timestamp_ntz) as last_referenced_at", "1 as row", "'x' as marked"), "p", AS_OF)
+    rows = out.collect()
+    assert len(rows) == 3 and sorted(r["text"] for r in rows) == ["claim a", "one", "same"]
+
+
+def test_changes_keep_clashing_names(spark):
+    """Columns named like those that a change needs inside are the caller's."""
+    claims = spark.createDataFrame(Graphs().claim("p", "a").claim("p", "b").claims, CLAIMS).selectExpr("*", "1 as marked", "2 as marked_", "'t' as new_text", "3 as _hit", "4 as place")
+    ids = claims.where("id = 'p.a'").select("id")
+    edges = spark.createDataFrame(Graphs().edge("p", "a", "contradicts", "b").edges, EDGES).withColumn("place", F.lit(7))
+    for out in (M.set_archived(claims, ids, True), M.close_claims(claims, ids), M.challenge(claims, claims.selectExpr("id", "'n' as new_text", "'' as new_basis")), M.close_superseded(claims, edges)):
+        assert out.columns == claims.columns and out.count() == 2 and {(r["marked"], r["marked_"], r["new_text"], r["place"]) for r in out.collect()} == {(1, 2, "t", 4)}
+    assert [r["place"] for r in M.prune_edges(edges).collect()] == [7]
 
 
 def test_resolution_is_per_project(spark):
