@@ -5,20 +5,23 @@ names included), its length, punctuation and linked length. Per path the unlinke
 length and the punctuation are summed over the page and divided by the path's nodes.
 The two ratios are smoothed over neighbouring blocks, the less the further apart their
 paths branch, and fused as their geometric mean, times the path's share of unlinked
-text. What tags and names say is one more factor: tags, classes, ids and roles of
-menus, headers, footers, sidebars, notices, adverts, forms or reader comments weigh a
-path down by ``doubt`` (once), unless they stand on a wrapper of the page: around its
-article or main element or, without one, most of its unlinked text (around its first h1
-or all of that text, if they say comments). What stands outside article and main
-elements that hold a third of the unlinked text is weighed down as well. Inside them an
-id is an anchor, and casts doubt only if all its words do.
+text. What tags, classes, ids and roles say of menus, headers, footers, notices, adverts
+or forms shifts a path's score by one factor of ``doubt``, which is moderate: the ratios
+decide. It counts for more only on a page of little text, where ratios rest on few
+characters (the exponent is 1 and ``little`` characters over those of the page). Two
+kinds of prose look like an article's by any ratio, that of sidebars and of readers'
+comments; elements that say so shift by ``other_prose``, unless the page's title, its
+main element or all of its text is inside. Inside an article or main element an id is an
+anchor, and casts doubt only if all its words do.
 
 Paths at or above ``threshold`` times the page's mean, which takes every block by its
 weight, are content nodes, and they alone choose the region: the least element that
 holds all of them and the headings before the first of them, widened to the article or
 main elements in which they stand. Blocks of the region that are neither content nodes
-nor doubtful (weighed down, or mostly links) belong to it, short ones included; so do
-paragraphs, headings and lists that stand free beside it or its parents.
+nor doubtful (shifted, or mostly links) belong to it, short ones included; so do
+paragraphs, headings and lists that stand free beside it or its parents. Where the
+region is a whole page or table, only parts that hold content or stand between two that
+do belong to it.
 
 Defined results: null, empty or text-free html gives an empty text. Hidden elements
 are no text. Unclosed tags end with their parents; unclosed comments, scripts and
@@ -48,7 +51,7 @@ FLOW = INLINE | HEADINGS | frozenset("p blockquote pre ul ol li dl dt dd figure
 #: Names that mark a part as no content, as whole words of a class, id or role.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
-    "header masthead topbar footer bottom sidebar side aside widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
+    "header masthead topbar footer foot bottom sidebar side aside widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "signup login form search comment comments commentlist disqus respond reply replies share sharing social related recommended pagination pager "
     "toolbar skip legal copyright complementary contentinfo dialog".split()
 )
@@ -57,12 +60,15 @@ CONTENT = frozenset("article body content entry main post story text".split())
 LAYOUT = frozenset("ad ads banner bottom header legal masthead search share sharing side skip social".split())
 #: Names of what readers wrote, which may be longer than the article.
 READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Names of what stands beside an article and may be prose like it.
+BESIDE = frozenset("sidebar side aside related recommended newsletter subscribe subscription complementary widget".split())
 #: First words of names that tell what an element has, not what it is.
 STATES = frozenset("has with without no not".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>"']+)))?|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)""")
 _WORDS = re.compile(r"[^a-z0-9]+")
-_SIGNS = re.compile(r"[.,;:!?…。、！？]")
+#: Signs that end a sentence or a part of one, not those inside of names and numbers.
+_SIGNS = re.compile(r"[.,;:!?…](?=\s|\Z)|[。、！？]")
 
 
 class Element(NamedTuple):
@@ -92,6 +98,7 @@ class Page(NamedTuple):
     above: list[int]
     article: list[int]
     doubted: list[bool]
+    prose: list[bool]
     path_above: list[int]
     path_depth: list[int]
 
@@ -115,68 +122,36 @@ def _names(rest: str, in_article: bool = False) -> tuple[str, frozenset[str], bo
     return ".".join(words + anchors), frozenset(marks | (noise - LAYOUT if said & CONTENT else noise)), hidden
 
 
-def _waived(blocks: list[Block], tags: list[str], above: list[int], doubted: list[bool], marked: dict[int, frozenset[str]]) -> set[int]:
-    """Marked elements that are wrappers of the page, so that their marks cast no doubt."""
-    weight = [0] * len(tags)
-    shown = [False] * len(tags)
+def _around_all(blocks: list[Block], tags: list[str], above: list[int], marked: dict[int, frozenset[str]]) -> set[int]:
+    """Marked elements that hold the page's title, its main element or all of its unlinked text: no sidebar and no comments."""
+    weight, holds = [0] * len(tags), [False] * len(tags)
+    shown = {b.parent for b in blocks}
+    title = False
+    for e in range(1, len(tags)):
+        # the first shown h1 is the title; an article is a page's own if nothing above it says that readers wrote it
+        if tags[e] == "main" or (tags[e] == "h1" and not title):
+            holds[e] = True
+            title |= tags[e] == "h1"
     for b in blocks:
-        shown[b.parent] = True
-        if not doubted[b.parent]:
-            weight[b.parent] += len(b.text) - b.linked
+        weight[b.parent] += len(b.text) - b.linked
+    article = [e for e in range(1, len(tags)) if tags[e] == "article"]
     for e in range(len(tags) - 1, 0, -1):
         weight[above[e]] += weight[e]
-        shown[above[e]] |= shown[e]
-
-    def parents(e: int) -> list[int]:
-        out = []
+        holds[above[e]] |= holds[e]
+    if article and shown:
+        e = max(article, key=lambda e: weight[e])
         while e := above[e]:
-            out.append(e)
-        return out
-
-    articles = [e for e in range(1, len(tags)) if tags[e] in ("article", "main") and shown[e]]
-    title = next((e for e in range(1, len(tags)) if tags[e] == "h1" and shown[e]), 0)
-    around_title = set(parents(title)) if title else set()
-    out = set()
-    for e in marked:
-        if marked[e] & READERS:
-            if weight[e] and (e in around_title or weight[e] == weight[0]):
-                out.add(e)
-        elif 2 * weight[e] > weight[0] and not articles:
-            out.add(e)
-    mains = [e for e in articles if tags[e] == "main"]
-    if mains:
-        wrapping: set[int] = set()
-        for e in mains:
-            while (e := above[e]) and e not in wrapping:
-                wrapping.add(e)
-        return (out | wrapping) & marked.keys()
-    # marked elements around each article, by the nearest one: followed from there upwards
-    nearest = [0] * len(tags)
-    barred = [False] * len(tags)
-    read = [False] * len(tags)
-    for e in range(1, len(tags)):
-        up = above[e]
-        mine = up in marked and up not in out
-        nearest[e] = up if mine else nearest[up]
-        barred[e] = mine or barred[up]
-        read[e] = read[up] or (mine and bool(marked[up] & READERS))
-    if articles and all(barred[e] for e in articles):
-        own = [e for e in articles if not read[e]]
-        out.update(parents(max(own, key=lambda e: weight[e])) if own else ())
-    return out & marked.keys()
-
-
-def read_page(page: str, share: float = 1 / 3) -> Page:
-    """The text blocks of a page, in page order, hidden elements left out.
-
-    What stands outside article and main elements is in doubt where they hold at least
-    ``share`` of the unlinked text that nothing else casts doubt on.
-    """
+            holds[e] |= e in marked and not marked[e] & READERS and 2 * weight[e] > weight[0]
+    return {e for e in marked if holds[e] or weight[e] == weight[0]}
+
+
+def read_page(page: str) -> Page:
+    """The text blocks of a page, in page order, hidden elements left out."""
     root = Element("", 0, 0, False, False, False, False)
     stack: list[Element] = [root]
     open_names: Counter[str] = Counter()
     blocks: list[Block] = []
-    tags, above, own_doubt = [""], [0], [False]
+    tags, above, own_doubt, own_prose = [""], [0], [False], [False]
     path_above, path_depth, paths = [0], [0], {}
     marked: dict[int, frozenset[str]] = {}
     text: list[str] = []
@@ -251,6 +226,7 @@ def read_page(page: str, share: float = 1 / 3) -> Page:
         tags.append(name)
         above.append(up.number)
         own_doubt.append((name in DROPPED and name != "form") or (name == "header" and not up.in_article))
+        own_prose.append(name == "aside")
         if name == "form":
             marks |= {"form"}
         if marks and name not in ("html", "body", "article", "main", "h1", "h2", "h3"):
@@ -265,23 +241,18 @@ def read_page(page: str, share: float = 1 / 3) -> Page:
         stack.append(Element(name, number, path, up.linked or name == "a", up.in_article or name in ("article", "main"), up.doubted or own_doubt[-1], up.hidden or hidden))
         open_names[name] += 1
     flush()
-    doubted = own_doubt[:]
-    for e in range(1, len(tags)):
-        doubted[e] |= doubted[above[e]]
-    for e in marked.keys() - _waived(blocks, tags, above, doubted, marked):
-        own_doubt[e] = True
-    doubted = own_doubt
-    for e in range(1, len(tags)):
-        doubted[e] |= doubted[above[e]]
-    # where article or main elements hold a fair share of what is not in doubt, the rest is
+    waived = _around_all(blocks, tags, above, marked)
+    for e, words in marked.items():
+        if e not in waived:
+            own_prose[e] |= bool(words & (READERS | BESIDE))
+            own_doubt[e] = True
+    prose, doubted = own_prose, own_doubt
     article = [0] * len(tags)
     for e in range(1, len(tags)):
+        doubted[e] |= doubted[above[e]]
+        prose[e] |= prose[above[e]]
         article[e] = article[above[e]] or (e if tags[e] in ("article", "main") else 0)
-    sure = [(bool(article[b.parent]), len(b.text) - b.linked) for b in blocks if not doubted[b.parent]]
-    within = sum(n for inner, n in sure if inner)
-    if within and within >= share * sum(n for _, n in sure):
-        doubted = [d or not a for d, a in zip(doubted, article)]
-    return Page(blocks, tags, above, article, doubted, path_above, path_depth)
+    return Page(blocks, tags, above, article, doubted, prose, path_above, path_depth)
 
 
 def _apart(a: int, b: int, page: Page, most: int = 6) -> int:
@@ -296,16 +267,24 @@ def _apart(a: int, b: int, page: Page, most: int = 6) -> int:
     return steps
 
 
-def path_scores(page: Page, smoothing: int = 1, doubt: float = 0.02) -> dict[int, float]:
-    """Each path's fused ratio: geometric mean of its smoothed text and punctuation ratios, less where its blocks are doubtful."""
-    length, signs, nodes, doubtful, all_ = defaultdict(float), defaultdict(float), defaultdict(int), defaultdict(int), defaultdict(int)
+def doubts(page: Page, doubt: float = 0.5, other_prose: float = 0.02, little: int = 1200) -> list[float]:
+    """By what factor each element's marks shift the scores of its blocks."""
+    text = sum(len(b.text) - b.linked for b in page.blocks)
+    own = doubt ** (1 + little / max(1, text))
+    return [other_prose if other else own if doubted else 1.0 for doubted, other in zip(page.doubted, page.prose)]
+
+
+def path_scores(page: Page, shifts: list[float], smoothing: int = 1) -> dict[int, float]:
+    """Each path's fused ratio: geometric mean of its smoothed text and punctuation ratios, by its unlinked share, shifted as most of its blocks are."""
+    length, signs, nodes, all_ = defaultdict(float), defaultdict(float), defaultdict(int), defaultdict(int)
+    shift: dict[int, list[float]] = defaultdict(list)
     for b in page.blocks:
         own = max(0, len(b.text) - b.linked) / len(b.text)
         all_[b.path] += len(b.text)
         length[b.path] += len(b.text) * own
         signs[b.path] += len(_SIGNS.findall(b.text)) * own
         nodes[b.path] += 1
-        doubtful[b.path] += page.doubted[b.parent]
+        shift[b.path].append(shifts[b.parent])
     ratios = {p: (length[p] / n, signs[p] / n + 0.1) for p, n in nodes.items()}
     near: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     for i, b in enumerate(page.blocks):
@@ -316,7 +295,8 @@ def path_scores(page: Page, smoothing: int = 1, doubt: float = 0.02) -> dict[int
             sums[1] += weight * x
             sums[2] += weight * y
     # neither links nor doubtful parts gain from neighbours
-    return {p: (x / w * y / w) ** 0.5 * length[p] / all_[p] * (doubt if 2 * doubtful[p] > nodes[p] else 1.0) for p, (w, x, y) in near.items()}
+    whole = sum(all_.values())
+    return {p: (x / w * y / w * length[p] / whole) ** 0.5 * length[p] / all_[p] * sorted(shift[p])[(nodes[p] - 1) // 2] for p, (w, x, y) in near.items()}
 
 
 def _holder(held: list[Block], page: Page) -> int:
@@ -334,14 +314,15 @@ def _holder(held: list[Block], page: Page) -> int:
     return holder
 
 
-def main_text(page: str | None, threshold: float = 0.4, doubt: float = 0.02) -> str:
+def main_text(page: str | None, threshold: float = 0.25) -> str:
     """The article's text: blocks joined by a line feed."""
     read = read_page(page or "")
     blocks, tags, above = read.blocks, read.tags, read.above
     if not blocks:
         return ""
-    scores = path_scores(read, doubt=doubt)
-    weights = [(len(b.text) - b.linked + 1) * (doubt if read.doubted[b.parent] else 1.0) for b in blocks]
+    shifts = doubts(read)
+    scores = path_scores(read, shifts)
+    weights = [(len(b.text) - b.linked + 1) * shifts[b.parent] for b in blocks]
     least = threshold * sum(w * scores[b.path] for w, b in zip(weights, blocks)) / sum(weights)
     chosen = [scores[b.path] >= least for b in blocks]
     open_ = [not good and not read.doubted[b.parent] and b.linked < 0.8 * len(b.text) for b, good in zip(blocks, chosen)]
@@ -357,8 +338,8 @@ def main_text(page: str | None, threshold: float = 0.4, doubt: float = 0.02) ->
     while e:
         around.add(e)
         e = above[e]
-    # a whole page is no article: of its parts, those count that hold content or stand between two that do
-    whole = tags[holder] in ("", "html", "body")
+    # a whole page or table is no article: of its parts, those count that hold content or stand between two that do
+    whole = tags[holder] in ("", "html", "body", "table", "tbody", "tr")
     inside, beside = [holder == 0] + [False] * (len(tags) - 1), [True] + [False] * (len(tags) - 1)
     for e in range(1, len(tags)):
         inside[e] = e == holder or e in articles or inside[above[e]]
@@ -377,7 +358,7 @@ def main_text(page: str | None, threshold: float = 0.4, doubt: float = 0.02) ->
     return "\n".join(b.text for i, b in enumerate(blocks) if held[i] or (open_[i] and belongs(i, b)))
 
 
-def extracted(column: str = "html", threshold: float = 0.4) -> Column:
+def extracted(column: str = "html", threshold: float = 0.25) -> Column:
     """The main text of a column of pages."""
 
     @F.pandas_udf("string")
