@@ -103,3 +103,8 @@ def truncated(text: str, n: int) -> Column:
     """At most ``n`` characters, the last three of a cut text being dots."""
     c = F.col(text)
     return F.when(F.char_length(c) > n, F.concat(F.substring(c, 1, n - 3), F.lit("..."))).otherwise(c)
+
+
+def origin_tag() -> Column:
+    """What a listing adds behind a claim from a document; empty for any other."""
+    return F.when(is_doc_origin(), " [doc-origin]").otherwise("")

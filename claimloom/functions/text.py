@@ -165,3 +165,9 @@ def sentences(text: Column) -> Column:
 def safe_project(name: Column) -> Column:
     bare = F.regexp_replace(F.regexp_extract(name, r"([^/]*)/*$", 1), "[^a-zA-Z0-9_-]", "")
     return F.when(bare == "", "default").otherwise(bare)
+
+
+def reminder_wrapped(finding: Column, message: Column) -> Column:
+    """A message with a finding before it, in the fence that marks what the system adds."""
+    # fixed value: the fence
+    return F.concat(F.lit("<system-reminder>\n"), F.trim(finding), F.lit("\n</system-reminder>\n\n"), F.trim(message))

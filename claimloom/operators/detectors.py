@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimloom.functions.claims import confidence_ceiling, is_ephemeral, is_recent, is_strong, is_weak, older_than, sycophancy
+from claimloom.operators.maintenance import without_closed, without_superseded
 from claimloom.plans.betweenness import betweenness
 from claimloom.plans.claim_graph import ClaimGraph
 from claimloom.plans.staging import stage, stage_told
@@ -435,3 +436,17 @@ def findings(g: ClaimGraph, names: tuple[str, ...] | None = None) -> DataFrame:
             part = (slow[name] if name in slow else detect(g)).withColumn("seq", F.lit(seq))
             out = part if out is None else out.unionByName(part)
     return out
+
+
+def session_findings(claims: DataFrame, edges: DataFrame, bridge: DataFrame, session_id: str, as_of: str) -> DataFrame:
+    """All findings over one session's own claims, those that are closed or that a newer one of them contradicts left out.
+
+    Claims are those that ``bridge`` (session_id, claim_id) gives the session and that
+    aren't archived; edges are those between them. A session of which nothing is left
+    has no findings.
+    """
+    mine = bridge.where(F.col("session_id") == session_id).select(F.col("claim_id").alias("id")).distinct()
+    active = claims.where(~F.coalesce("archived", F.lit(False))).join(mine, "id", "left_semi")
+    inner = edges.join(active.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(active.select(F.col("id").alias("to_id")), "to_id", "left_semi")
+    live = without_superseded(without_closed(active), inner)
+    return findings(ClaimGraph(live.select(*claims.columns), inner.select(*edges.columns), as_of))

@@ -178,6 +178,58 @@ def delete_project(claims: DataFrame, edges: DataFrame, project: str) -> tuple[D
     return claims.where(~F.col("project").eqNullSafe(F.lit(project))), left
 
 
+def audits_of(g: ClaimGraph, findings: DataFrame, sessions: DataFrame, as_of: str) -> DataFrame:
+    """An audit row for each of ``sessions`` (project, session_id): sizes of its project's graph, critical findings and how many of each type.
+
+    ``(id, project, session_id, made_at, findings, claim_count, edge_count,
+    critical_count)``; the id is a hash of project, session and time, so an audit that
+    is made again is the same row. Findings are counted by type, in the order of types.
+    """
+    sizes = g.claims.groupBy("project").agg(F.count("*").alias("claim_count"))
+    edges = g.edges.groupBy(F.col("project").alias("edge_project")).agg(F.count("*").alias("edge_count"))
+    each = findings.groupBy(F.col("project").alias("found_project"), "type").agg(F.count("*").alias("n"), F.count_if((F.col("severity") == "critical") & ~F.col("type").startswith("strength_")).alias("critical"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "n"))), lambda t: F.concat(t["type"], F.lit("="), t["n"].cast("string"))), ", ")
+    told = each.groupBy("found_project").agg(said.alias("findings"), F.sum("critical").alias("critical_count"))
+    rows = sessions.select("project", "session_id").distinct().join(sizes, "project", "left")
+    rows = rows.join(edges, rows["project"] == edges["edge_project"], "left").join(told, rows["project"] == told["found_project"], "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    key = F.concat_ws(":", "project", F.coalesce("session_id", F.lit("")), F.lit(as_of))
+    return rows.select(
+        F.concat(F.lit("a"), F.substring(F.sha2(key, 256), 1, 24)).alias("id"), "project", "session_id", F.expr(f"timestamp_ntz '{as_of}'").alias("made_at"),
+        F.coalesce("findings", F.lit("")).alias("findings"), none("claim_count"), none("edge_count"), none("critical_count"),
+    )
+
+
+def append_audits(audits: DataFrame, new: DataFrame) -> DataFrame:
+    """The audits with new ones; an id that is there stays as it is."""
+    return audits.unionByName(new.dropDuplicates(["id"]).join(audits.select("id"), "id", "left_anti").select(*audits.columns))
+
+
+def without_project(audits: DataFrame, project: str) -> DataFrame:
+    """Audits without those of a project that is deleted."""
+    return audits.where(~F.col("project").eqNullSafe(F.lit(project)))
+
+
+#: What an extraction is kept under.
+EXTRACTION_KEY = ["content_hash", "model", "prompt_version"]
+
+
+def cached_extractions(asked: DataFrame, cache: DataFrame) -> DataFrame:
+    """``asked`` (content_hash, model, prompt_version, ...) with ``result`` of the latest cache row of all three, null where there is none.
+
+    ``cache`` has the key, result and created_at. A result that is no JSON object is a
+    torn write and counts as none; ``torn`` tells, so that its row can be deleted.
+    """
+    latest = latest_by_key(cache.select(*EXTRACTION_KEY, "result", "created_at"), EXTRACTION_KEY, "created_at")
+    whole = F.try_parse_json(F.col("result")).isNotNull() & F.ltrim("result").startswith("{")
+    rows = asked.join(latest.drop("created_at"), EXTRACTION_KEY, "left")
+    return rows.withColumn("torn", F.col("result").isNotNull() & ~whole).withColumn("result", F.when(~F.col("torn"), F.col("result")))
+
+
+def delete_extractions(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    return cache.join(keys.select(*EXTRACTION_KEY).distinct(), EXTRACTION_KEY, "left_anti").select(*cache.columns)
+
+
 def unarchive_project(claims: DataFrame, project: str, as_of: str) -> DataFrame:
     """All archived claims of a project taken back, which counts as a reference."""
     hit = F.coalesce("archived", F.lit(False)) & (F.col("project") == project)
@@ -204,7 +256,9 @@ def without_superseded(claims: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``table`` with each key of ``new`` replaced or added; ``new`` has one row a key."""
+    """``table`` with each key of ``new`` replaced or added; of several new rows of a key, the greatest by its other columns."""
+    rest = [c for c in table.columns if c not in key]
+    new = new.groupBy(*key).agg(F.max(F.struct(*rest)).alias("row")).select(*key, *[F.col("row")[c].alias(c) for c in rest]) if rest else new.select(*key).distinct()
     return table.join(new.select(*key), key, "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
 
 

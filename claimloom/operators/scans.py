@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.operators.gram_index import GramIndex, grams
 from claimloom.plans.claim_graph import ClaimGraph
 
 
@@ -30,29 +31,24 @@ def search_claims(claims: DataFrame, text: str, project: str | None = None, basi
     return rows if basis is None else rows.where(F.col("basis") == basis)
 
 
-def _grams(text: Column, n: int = 4) -> Column:
-    """The distinct runs of ``n`` characters of a text."""
-    every = F.transform(F.sequence(F.lit(1), F.char_length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(F.char_length(text) >= n, F.array_distinct(every))
-
-
-def resolve_text(probes: DataFrame, claims: DataFrame) -> DataFrame:
+def resolve_text(probes: DataFrame, claims: DataFrame, index: GramIndex | None = None) -> DataFrame:
     """``(project, from_id, needle, claim_id)``: the active claim of the project that a text means, else null.
 
     The first claim of equal text, in any case and without white space around it, else
     the only one that holds it. A claim doesn't mean itself, and an empty text nothing.
     A text of four characters or more meets those claims alone that share its rarest
-    run of four; shorter ones meet their project's claims.
+    run of four; shorter ones meet their project's claims. With an ``index`` of the claims
+    their runs are read from it.
     """
     active = claims.where(~F.coalesce("archived", F.lit(False))).select("id", "project", F.lower("text").alias("low"), "created_at")
     asked = probes.select("project", "from_id", "needle", F.lower(F.trim("needle")).alias("key")).where("key <> ''")
     exact = active.groupBy("project", F.col("low").alias("key")).agg(F.min(F.struct("created_at", "id"))["id"].alias("exact"))
     keyed = asked.join(exact, ["project", "key"], "left")
     open_ = keyed.where("exact is null").select("project", "key").distinct()
-    spread = active.select("project", "id", "low", F.explode(_grams(F.col("low"))).alias("gram"))
+    spread = index.spread(active) if index else active.select("project", "id", "low", F.explode(grams(F.col("low"))).alias("gram"))
     often = spread.groupBy("project", "gram").agg(F.count("*").alias("freq"))
     rarest = (
-        open_.select("project", "key", F.explode(_grams(F.col("key"))).alias("gram"))
+        open_.select("project", "key", F.explode(grams(F.col("key"))).alias("gram"))
         .join(often, ["project", "gram"], "left")
         .groupBy("project", "key")
         .agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram"))["gram"].alias("gram"))
@@ -99,9 +95,9 @@ def topology_whole(g: ClaimGraph) -> DataFrame:
 def session_eval(g: ClaimGraph) -> DataFrame:
     """Per session (a document's, where claims come from one): claims, edges from them, and bases."""
     sessions = g.claims.select(F.col("id").alias("from_id"), "session_id")
-    edges = g.edges.join(sessions, "from_id").groupBy("session_id").agg(F.count("*").alias("edges"))
+    edges = g.edges.join(sessions, "from_id").groupBy(F.col("session_id").alias("of_session")).agg(F.count("*").alias("edges"))
     bases = g.claims.groupBy("session_id").agg(F.count("*").alias("claims"), *[F.count_if(F.col("basis") == b).alias(b) for b in ("research", "vibes")])
-    return bases.join(edges, "session_id", "left").select("session_id", "claims", F.coalesce("edges", F.lit(0)).alias("edges"), "research", "vibes")
+    return bases.join(edges, F.col("session_id").eqNullSafe(F.col("of_session")), "left").select("session_id", "claims", F.coalesce("edges", F.lit(0)).alias("edges"), "research", "vibes")
 
 
 def cross_speaker(g: ClaimGraph) -> DataFrame:

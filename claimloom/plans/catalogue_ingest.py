@@ -6,14 +6,18 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import claims as C
 from claimloom.functions import text as T
+from claimloom.operators import detectors as D
 from claimloom.operators import evaluation as E
 from claimloom.operators import ingest as I
 from claimloom.operators import maintenance as M
 from claimloom.operators import matching as X
 from claimloom.operators import scans as S
+from claimloom.operators.gram_index import GramIndex
 from claimloom.plans.catalogue_graph import BASE, fires, graph
 from claimloom.plans.catalogue_text import GRAMS
+from claimloom.plans.staging import new_path
 from claimloom.sources import derived
+from claimloom.streaming import events as V
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -316,3 +320,54 @@ def basis_accuracy(spark, sf_dir):
 def topology_whole(spark, sf_dir):
     """The topology with depths, which SQL can't state; tests hold depths against a breadth-first search."""
     return S.topology_whole(graph(spark, sf_dir).staged()).withColumn("bases", F.expr("array_join(array_sort(transform(map_entries(bases), e -> concat(e.key, '=', e.value))), ';')"))
+
+
+# caches, audits, index and sessions
+
+
+_CACHE = "with c as (select o_custkey as h, o_orderpriority as m, o_orderkey % 3 as v, o_orderdate as at_, o_orderkey as k, case when o_orderkey % 5 = 0 then '{\"torn' else '{\"o\": ' || o_orderkey || '}' end as result from orders), l as (select h, m, v, arg_max(result, (at_, result)) as result from c group by all)"
+
+
+@query("cached_extractions", _CACHE + " select h as content_hash, m as model, v as prompt_version, case when contains(result, 'torn') then null else result end as result, contains(result, 'torn') as torn from l union all select c_custkey, 'no model', 0, null, false from customer", base=False)
+def cached_extractions(spark, sf_dir):
+    """Lookups by content, model and prompt version; a torn result counts as none."""
+    orders = derived.table(spark, sf_dir, "orders")
+    cache = orders.selectExpr("o_custkey as content_hash", "o_orderpriority as model", "o_orderkey % 3 as prompt_version", "o_orderdate as created_at", """if(o_orderkey % 5 = 0, '{"torn', concat('{"o": ', o_orderkey, '}')) as result""")
+    asked = cache.select(*M.EXTRACTION_KEY).distinct().unionByName(derived.table(spark, sf_dir, "customer").selectExpr("c_custkey as content_hash", "'no model' as model", "0L as prompt_version"))
+    return M.cached_extractions(asked, cache)
+
+
+@query("audits", None)
+def audits(spark, sf_dir):
+    """An audit a session, with all findings of its project counted; tests hold it against literal rows."""
+    g = graph(spark, sf_dir).staged()
+    return M.audits_of(g, D.findings(g), g.claims.select("project", "session_id"), derived.AS_OF).select("id", "project", "session_id", "findings", "claim_count", "edge_count", "critical_count")
+
+
+def _index(spark, sf_dir):
+    """Claims of which some are archived, and an index of them that was appended to once."""
+    claims = derived.claims(spark, sf_dir).withColumn("archived", F.expr("n % 6 = 0"))
+    index = GramIndex(spark, new_path(spark, "gram-index"))
+    index.append(claims.where("n % 3 <> 0"))
+    index.append(claims.where("n % 3 = 0"))
+    return claims, index
+
+
+@query("indexed_search", " select id from claims where n % 6 <> 0 and contains(lower(text), 'tion') union all select id from claims where n % 6 <> 0 and project = 'p3' and contains(lower(text), 'an')")
+def indexed_search(spark, sf_dir):
+    claims, index = _index(spark, sf_dir)
+    return index.search(claims, "TION").select("id").unionByName(index.search(claims, "an", "p3").select("id"))
+
+
+@query("session_findings", None)
+def session_findings(spark, sf_dir):
+    """Findings over what is live of one session's claims; tests hold it against findings over just those."""
+    claims = derived.claims(spark, sf_dir)
+    return D.session_findings(claims, derived.edges(spark, sf_dir), claims.select("session_id", F.col("id").alias("claim_id")), "s3", derived.AS_OF)
+
+
+@query("kind_percentiles", None)
+def kind_percentiles(spark, sf_dir):
+    """Percentiles by kind from sketches by kind and day; tests hold them against exact ranks."""
+    daily = V.quantile_sketches(derived.table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), ["event_type", "day"])
+    return V.merged_quantiles(daily, ["event_type"])

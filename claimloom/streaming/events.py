@@ -42,6 +42,17 @@ def kind_stats(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.max("value").alias("most"), F.countDistinct("user_id").alias("users"))
 
 
+def quantile_sketches(events: DataFrame, by: list[str], value: str = "value", k: int = 400) -> DataFrame:
+    """``(*by, n, sketch)``: a mergeable sketch of each group's values, nulls left out; its rank error is about 1.65 % at k = 200 and falls as k grows."""
+    return events.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, by: list[str], shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """``(*by, n, p50, ...)`` of sketches merged over what ``by`` leaves out, in any order and any number of steps."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return merged.select(*by, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(f"p{q * 100:g}") for q in shares])
+
+
 def tumbling(events: DataFrame, size: str = "1 hour") -> DataFrame:
     w = F.window("ts", size)
     return _timed(events).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
