@@ -28,7 +28,7 @@ class WholeFiles(NamedTuple):
 def read_whole(spark: SparkSession, path: str, schema: str) -> WholeFiles:
     """Files at ``path`` parsed as one document each; a root of another kind than the schema's is corrupt."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    text = F.trim(F.regexp_replace("value", "^﻿", ""))
+    text = F.btrim("value", F.lit("\ufeff \t\r\n"))
     # a parser stops behind the first document; between brackets, what follows it is no JSON or a second element
     among = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     whole = among.isNotNull() & F.try_variant_get(among, "$[1]", "variant").isNull() & text.startswith("[" if schema.startswith("array") else "{")
