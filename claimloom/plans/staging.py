@@ -3,7 +3,9 @@
 A staged table lives under the folder that the session names in
 ``spark.checkpoint.dir``; a folder of our own is used only where that setting is
 absent and all of Spark runs on this machine, as in tests. Staged tables survive the
-loss of any executor. What a block stages under :func:`released` goes at its end.
+loss of any executor. What a block stages under :func:`released` goes at its end. What
+a query returns may read what it staged, so that stays; :func:`sweep_staged` removes it
+once it is old.
 """
 
 from __future__ import annotations
@@ -80,3 +82,16 @@ def drop_staged(spark: SparkSession, path: str) -> None:
     """Remove a staged table that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def sweep_staged(spark: SparkSession, hours: float = 24) -> int:
+    """Removes staged tables last written more than ``hours`` ago, and says how many; for a job that runs beside others, with hours to spare."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/claimloom")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return 0
+    before = spark._jvm.java.lang.System.currentTimeMillis() - int(hours * 3_600_000)
+    old = [told.getPath() for told in files.listStatus(root) if told.getModificationTime() < before]
+    for path in old:
+        files.delete(path, True)
+    return len(old)

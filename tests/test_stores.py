@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import random
 
 import numpy as np
@@ -14,6 +15,7 @@ from claimloom.operators import detectors as D
 from claimloom.operators import maintenance as M
 from claimloom.operators import scans as S
 from claimloom.operators.gram_index import GramIndex
+from claimloom.plans import staging
 from claimloom.plans.staging import new_path
 from claimloom.sources import whole_files as W
 from claimloom.streaming import events as V
@@ -129,3 +131,11 @@ def test_reminder(spark):
     assert spark.range(1).select(T.reminder_wrapped(F.lit(" f"), F.lit("m "))).first()[0] == "<system-reminder>\nf\n</system-reminder>\n\nm"
     rows = spark.createDataFrame([("doc:1",), ("s",), (None,)], "session_id string")
     assert [r[0] for r in rows.select(C.origin_tag()).collect()] == [" [doc-origin]", "", ""]
+
+
+def test_old_staged_tables_are_swept(spark):
+    kept = staging.stage(spark.range(3), "sweep-test")
+    assert staging.sweep_staged(spark, hours=1) >= 0 and kept.df.count() == 3
+    assert os.path.exists(kept.path)
+    os.utime(kept.path, (1_600_000_000, 1_600_000_000))
+    assert staging.sweep_staged(spark, hours=24 * 365) >= 1 and not os.path.exists(kept.path)
