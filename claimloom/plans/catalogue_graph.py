@@ -141,6 +141,10 @@ _BODIES = {
         "'info' as severity, members[1] as anchor_id, array_to_string(members, ',') as claim_ids, false as persistent, size as measure from clu join latest using (project) where k >= 2 and not exists (select 1 from claims c where c.session_id = latest.session_id and list_contains(members, c.id))",
         more := _CLUSTERS + ", latest as (select project, arg_max(session_id, (began, session_id)) as session_id, count(*) as k from (select project, session_id, min(created_at) as began from claims group by 1, 2) group by 1) "), more),
 }
+# detectors that find nothing in the derived graph, over one in which they do
+for _name in ("fluency_trap", "echo_chamber", "coverage_imbalance"):
+    QUERIES[f"dense_{_name}"] = lambda spark, sf_dir, detect=D.DETECTORS[_name]: detect(ClaimGraph(derived.dense_claims(spark, sf_dir), derived.dense_edges(spark, sf_dir), derived.AS_OF))
+    ORACLES[f"dense_{_name}"] = ORACLES[f"detect_{_name}"].replace(derived.ORACLE, derived.DENSE_ORACLE)
 QUERIES["detect_bottleneck"] = lambda spark, sf_dir: D.bottleneck(graph(spark, sf_dir))
 QUERIES["detect_unchallenged_chain"] = lambda spark, sf_dir: D.unchallenged_chain(graph(spark, sf_dir))
 

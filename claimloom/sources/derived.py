@@ -95,3 +95,23 @@ touch as (select id, max(created_at) as seen from (select from_id as id, created
 claims as (select bc.*, greatest(bc.created_at, coalesce(seen, bc.created_at)) as last_referenced_at from bc left join touch using (id)),
 now_ as (select timestamp '2024-03-01 06:00:00' as as_of)
 """
+
+
+def dense_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims as sure of themselves as only few are in :func:`claims`."""
+    return claims(spark, sf_dir).withColumn("confidence", F.expr("(50 + n * 37 % 50) / 100"))
+
+
+def dense_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges without disputes in one project, without links between the sessions of another, and one of its sessions all questions."""
+    sess = lambda c: F.expr(f"cast(substr({c}, 2) as bigint) div 400")
+    rows = edges(spark, sf_dir).withColumns({"a_sess": sess("from_id"), "b_sess": sess("to_id")}).where("a_sess % 11 <> 2 or a_sess = b_sess")
+    relation = F.expr("case when a_sess = 13 then 'questions' when a_sess % 11 = 1 and relation in ('contradicts', 'questions') then 'supports' else relation end")
+    return rows.withColumn("relation", relation).drop("a_sess", "b_sess")
+
+
+#: The same for the oracle.
+DENSE_ORACLE = ORACLE.replace("\nedges as (", "\nall_edges as (").replace("\ntouch as (", """
+edges as (select * replace (case when a = 13 then 'questions' when a % 11 = 1 and relation in ('contradicts', 'questions') then 'supports' else relation end as relation)
+    from (select *, cast(substr(from_id, 2) as bigint) // 400 as a, cast(substr(to_id, 2) as bigint) // 400 as b from all_edges) where a % 11 <> 2 or a = b),
+touch as (""").replace("select bc.*, greatest", "select bc.* replace ((50 + n * 37 % 50) / 100 as confidence), greatest")
