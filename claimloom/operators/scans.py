@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.claims import is_weak
 from claimloom.operators.gram_index import GramIndex, grams
 from claimloom.plans.claim_graph import ClaimGraph
 
@@ -101,6 +102,11 @@ def session_eval(g: ClaimGraph) -> DataFrame:
 
 
 def cross_speaker(g: ClaimGraph) -> DataFrame:
+    """Per project with edges between speakers: how many there are, how many dispute, and the weak share of the user's claims (0 without any)."""
     speakers = g.claims.select("id", "speaker")
     rows = g.edges.join(speakers.withColumnsRenamed({"id": "from_id", "speaker": "a"}), "from_id").join(speakers.withColumnsRenamed({"id": "to_id", "speaker": "b"}), "to_id").where("a <> b")
-    return rows.groupBy("project").agg(F.count("*").alias("across"), F.count_if(F.col("relation").isin("contradicts", "questions")).alias("disputes"))
+    across = rows.groupBy("project").agg(F.count("*").alias("across"), F.count_if(F.col("relation").isin("contradicts", "questions")).alias("disputes"))
+    user = F.col("speaker") == "user"
+    weak = g.claims.groupBy(F.col("project").alias("of_project")).agg(F.count_if(user).alias("users"), F.count_if(user & is_weak()).alias("weak"))
+    joined = across.join(weak, F.col("project").eqNullSafe(F.col("of_project")))
+    return joined.select("project", "across", "disputes", F.when(F.col("users") > 0, F.col("weak") / F.col("users")).otherwise(0.0).alias("weak_rate"))

@@ -491,7 +491,7 @@ def session_eval(spark, sf_dir):
     return S.session_eval(graph(spark, sf_dir))
 
 
-@query("cross_speaker_rate", "select pe.project, count(*) as across, count_if(relation in ('contradicts', 'questions')) as disputes from pe join claims a on a.id = from_id join claims b on b.id = to_id where a.speaker <> b.speaker group by 1")
+@query("cross_speaker_rate", "select pe.project, count(*) as across, count_if(relation in ('contradicts', 'questions')) as disputes, any_value(weak_rate) as weak_rate from pe join claims a on a.id = from_id join claims b on b.id = to_id join (select project, count_if(speaker = 'user' and weak) / count_if(speaker = 'user') as weak_rate from w group by 1) r on r.project = pe.project where a.speaker <> b.speaker group by 1")
 def cross_speaker_rate(spark, sf_dir):
     return S.cross_speaker(graph(spark, sf_dir))
 

@@ -150,6 +150,20 @@ def dot_edges(spark, sf_dir):
     return I.dot_lines(derived.claims(spark, sf_dir), derived.edges(spark, sf_dir)).where("part = 1").select("project", "line")
 
 
+@query("dot_lines", """, l as (select *, case when length(text) > 40 then substr(text, 1, 37) || '...' else text end as cut from claims) select project, 0 as part, id, '"' || id || '" [label="' || replace(regexp_replace(cut, '(["\\\\])', '\\\\\\1', 'g'), chr(10), '\\n') || '\\n[' || basis || ']"];' as line from l
+union all select c.project, 1, e.id, '"' || from_id || '" -> "' || to_id || '" [label="' || relation || '", style=' || case when relation = 'contradicts' then 'dashed' else 'solid' end || '];' from edges e join claims c on c.id = e.from_id""")
+def dot_lines(spark, sf_dir):
+    """Node and edge lines of every project's drawing."""
+    return I.dot_lines(derived.claims(spark, sf_dir), derived.edges(spark, sf_dir))
+
+
+@query("export_objects", " select project, 'claim' as kind, id, text, basis, speaker, cast(null as varchar) as relation from claims union all select c.project, 'edge', e.id, null, null, null, relation from edges e join claims c on c.id = e.from_id")
+def export_objects(spark, sf_dir):
+    """All fields of the export's JSON objects, parsed back."""
+    out = I.export_rows(derived.claims(spark, sf_dir), derived.edges(spark, sf_dir))
+    return out.select("project", "kind", *[F.get_json_object("json", f"$.{c}").alias(c) for c in ("id", "text", "basis", "speaker", "relation")])
+
+
 # filters and upkeep
 
 
