@@ -2,19 +2,20 @@
 
 A text is cut by a pattern and each piece encoded for itself: a piece that is a token
 is that token; any other is searched. Its bytes stand for Latin-1 characters, so that
-one pass of an Aho-Corasick automaton over the tokens tells the longest token at every
-place. From the start the longest token is taken that fits the one before it, shorter
-ones where it doesn't, and where none fits the last token is taken back. Two tokens
-fit if the merges of their joined bytes end in just these two; that is remembered. The
-merges of a whole piece never cross a boundary whose neighbours fit (a part of the
+an Aho-Corasick tree of the tokens tells the longest one at a place. From the start the
+longest token is taken that fits the one before it, shorter ones where it doesn't, and
+where none fits the last token is taken back. Two tokens fit if the merges of their
+joined bytes end in just these two; that is found by running the two tokens' own merges
+side by side until one across the boundary would come before either, and is remembered.
+The merges of a whole piece never cross a boundary whose neighbours fit (a part of the
 piece is merged in the order in which it would be merged alone), so a sequence whose
-neighbours all fit is the merges' own result, and there is one only. A place from
-which nothing fits is never tried again, hence linear time.
+neighbours all fit is the merges' own result, and there is one only. A place from which
+nothing fits is never tried again, hence linear time.
 
 Ids are little-endian unsigned 32-bit integers in one binary value (tasks run on
-little-endian machines). Tokens that their
-own bytes' merges don't give can only be whole pieces and aren't searched for. The
-rank file is read by every Python worker, so its path must hold on each of them.
+little-endian machines). Tokens that their own bytes' merges don't give can only be
+whole pieces and aren't searched for. The rank file is read by every Python worker, so
+its path must hold on each of them.
 
 Defined results: null text is empty text, which has no ids; null ids decode to null.
 Ids beyond the file raise. Strings of special tokens are ordinary text. Rows are
@@ -78,7 +79,8 @@ class BytePairs:
         searched = {token: rank for token, rank in ranks.items() if len(token) == 1 or self.merged(token) == [token]}
         for token, rank in searched.items():
             self.finds.add_word(token.decode("latin-1"), rank)
-        self.finds.make_automaton()
+        self.token = {token.decode("latin-1"): rank for token, rank in searched.items()}.get
+        self.most = max(map(len, searched))
         #: The longest token that begins another one, -1 for single bytes.
         self.shorter = [-1] * len(self.bytes_of)
         for token, rank in searched.items():
@@ -153,22 +155,27 @@ class BytePairs:
         return told
 
     def search(self, data: bytes) -> list[int]:
-        """The ids of a piece, in time and memory linear in its length."""
-        n, size, shorter, fit = len(data), self.size, self.shorter, self.fit
-        longest = array("i", bytes(4 * n))
-        # ends rise, so what is found last at a start is the longest
-        for end, rank in self.finds.iter(data.decode("latin-1")):
-            longest[end + 1 - size[rank]] = rank
-        open_, out, at = bytearray(b"\1") * (n + 1), [], 0
+        """The ids of a piece, in time linear in its length."""
+        text = data.decode("latin-1")
+        n, size, shorter, fit, token, most = len(data), self.size, self.shorter, self.fit, self.token, self.most
+        reach = self.finds.longest_prefix
+        # places that are known to be no boundary
+        shut, out, at = set(), [], 0
         while at < n:
-            rank = longest[at]
+            # how far the tokens' tree goes from here; the longest token is at that depth or a little above
+            ahead = text[at : at + most]
+            long = reach(ahead)
+            rank = token(ahead[:long])
+            while rank is None:
+                long -= 1
+                rank = token(ahead[:long])
             while True:
                 if rank < 0:
                     # no token fits here after these: the last one goes, and this place is no boundary
-                    open_[at] = 0
+                    shut.add(at)
                     rank = out.pop()
                     at -= size[rank]
-                elif open_[at + size[rank]] and (not out or fit(out[-1], rank)):
+                elif at + size[rank] not in shut and (not out or fit(out[-1], rank)):
                     out.append(rank)
                     at += size[rank]
                     break
