@@ -88,11 +88,13 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches(out, _COUNTS)
 
     for batch in batches:
-        of = np.array([groups.setdefault(k, len(groups)) for k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.int32)
+        named = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
         for row, data, ends in text_blocks(batch.column(2)):
+            # numbers are given anew after rows were sent on, which may be within a batch
+            of = np.array([groups.setdefault(k, len(groups)) for k in named[row : row + len(ends)]], np.int32)
             offsets = np.concatenate([[0], ends]).astype(np.int64)
             text = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(TERM_BYTES[data]))
-            duck.register("block", pa.table({"row": pa.array(np.arange(len(ends))), "g": pa.array(of[row : row + len(ends)]), "text": text}))
+            duck.register("block", pa.table({"row": pa.array(np.arange(len(ends))), "g": pa.array(of), "text": text}))
             duck.execute(count)
             if duck.execute("select count(*) from held").fetchall()[0][0] > HELD:
                 duck.execute("create or replace table summed as select g, term, sum(n)::bigint as n, sum(docs)::bigint as docs from held group by all")

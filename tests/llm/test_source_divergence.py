@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 
+from claimloom.llm import features
 from claimloom.llm import source_divergence as op
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -90,3 +91,17 @@ def test_counts_are_sent_on_and_terms_go_on_across_batches(monkeypatch):
             assert (r["lang"], r["term"]) not in kept
             kept[r["lang"], r["term"]] = dict(zip(r["sources"], r["counts"]))
     assert kept == {k: {s: n for (x, s, t), n in want.items() if (x, t) == k} for k, d in in_docs.items() if d >= 5}
+
+
+def test_counts_are_sent_on_between_blocks_of_one_batch(monkeypatch):
+    monkeypatch.setattr(op, "HELD", 3)
+    monkeypatch.setattr(features, "AT_ONCE", 40)
+    docs = [(lang or "", source or "", text or "") for lang, source, text in random_docs(11, 80)]
+    batch = pa.RecordBatch.from_pydict({"lang": [d[0] for d in docs], "source": [d[1] for d in docs], "text": [d[2] for d in docs]})
+    found, want = Counter(), Counter()
+    for b in op.count_terms(iter([batch])):
+        for r in b.to_pylist():
+            found[r["lang"], r["source"], r["term"]] += r["n"]
+    for lang, source, text in docs:
+        want.update((lang, source, t) for t in TERM.findall(text.translate(LOWER)))
+    assert found == want
