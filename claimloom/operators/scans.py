@@ -9,6 +9,9 @@ from claimloom.functions.claims import is_weak
 from claimloom.operators.gram_index import GramIndex, grams
 from claimloom.plans.claim_graph import ClaimGraph
 
+#: Characters of a window and of the run that stands for it.
+WINDOW, RUN = 16, 12
+
 
 def claims_of_project(claims: DataFrame, project: str, archived: bool = False) -> DataFrame:
     rows = claims.where(F.col("project") == project)
@@ -32,29 +35,50 @@ def search_claims(claims: DataFrame, text: str, project: str | None = None, basi
     return rows if basis is None else rows.where(F.col("basis") == basis)
 
 
+def window_runs(text: Column) -> Column:
+    """Hashes of the runs that a text's windows pick: of each ``WINDOW`` characters the run of ``RUN`` with the least hash; none of a shorter text.
+
+    What a text picks, every text that holds it picks, too, and picks are a third of all runs.
+    """
+    steps = WINDOW - RUN + 1
+    every = F.transform(F.sequence(F.lit(1), F.char_length(text) - (RUN - 1)), lambda i: F.xxhash64(F.substring(text, i, F.lit(RUN))))
+    least = F.transform(F.array(every), lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - (steps - 1)), lambda j: F.array_min(F.slice(h, j, steps)))))
+    return F.when(F.char_length(text) >= WINDOW, F.get(least, 0))
+
+
 def resolve_text(probes: DataFrame, claims: DataFrame, index: GramIndex | None = None) -> DataFrame:
     """``(project, from_id, needle, claim_id)``: the active claim of the project that a text means, else null.
 
     The first claim of equal text, in any case and without white space around it, else
     the only one that holds it. A claim doesn't mean itself, and an empty text nothing.
-    A text of four characters or more meets those claims alone that share its rarest
-    run of four; shorter ones meet their project's claims. With an ``index`` of the claims
-    their runs are read from it.
+    A text of ``WINDOW`` characters or more meets those claims alone that share the run
+    which its first window picks, one of four or more those that share its rarest run of
+    four; shorter ones meet their project's claims. With an ``index`` of the claims their
+    runs of four are read from it.
     """
     active = claims.where(~F.coalesce("archived", F.lit(False))).select("id", "project", F.lower("text").alias("low"), "created_at")
     asked = probes.select("project", "from_id", "needle", F.lower(F.trim("needle")).alias("key")).where("key <> ''")
     exact = active.groupBy("project", F.col("low").alias("key")).agg(F.min(F.struct("created_at", "id"))["id"].alias("exact"))
     keyed = asked.join(exact, ["project", "key"], "left")
     open_ = keyed.where("exact is null").select("project", "key").distinct()
-    spread = index.spread(active) if index else active.select("project", "id", "low", F.explode(grams(F.col("low"))).alias("gram"))
+    row = F.xxhash64("project", "id", "low")
+    spread = index.spread(active) if index else active.select("project", row.alias("row"), F.explode(grams(F.col("low"))).alias("gram"))
     often = spread.groupBy("project", "gram").agg(F.count("*").alias("freq"))
     rarest = (
-        open_.select("project", "key", F.explode(grams(F.col("key"))).alias("gram"))
+        open_.where(F.lit(True) if index else F.char_length("key") < WINDOW)
+        .select("project", "key", F.explode(grams(F.col("key"))).alias("gram"))
         .join(often, ["project", "gram"], "left")
         .groupBy("project", "key")
         .agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram"))["gram"].alias("gram"))
     )
-    inside = spread.join(rarest, ["project", "gram"]).where(F.contains("low", "key")).select("project", "key", "id")
+    inside = spread.join(rarest, ["project", "gram"])
+    if not index:
+        of = F.xxhash64("project", "run").alias("run")
+        runs = active.select("project", row.alias("row"), F.explode(window_runs(F.col("low"))).alias("run")).select("row", of)
+        picked = open_.select("project", "key", F.explode(window_runs(F.substring("key", 1, WINDOW))).alias("run")).select("project", "key", of)
+        met = inside.select("row", "project", "key").unionByName(runs.join(picked, "run").select("row", "project", "key"))
+        inside = met.join(active.select(row.alias("row"), "id", "low", F.col("project").alias("its")), "row").where("project = its")
+    inside = inside.where(F.contains("low", "key")).select("project", "key", "id")
     short = active.join(open_.where(F.char_length("key") < 4), "project").where(F.contains("low", "key")).select("project", "key", "id")
     only = inside.unionByName(short).groupBy("project", "key").agg(F.count("*").alias("n"), F.min("id").alias("part")).where("n = 1")
     found = keyed.join(only, ["project", "key"], "left").withColumn("claim_id", F.coalesce("exact", "part"))
