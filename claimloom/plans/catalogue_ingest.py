@@ -354,7 +354,7 @@ def cached_extractions(spark, sf_dir):
 @query("audits", None)
 def audits(spark, sf_dir):
     """An audit a session, with all findings of its project counted; tests hold it against literal rows."""
-    g = graph(spark, sf_dir).staged()
+    g = graph(spark, sf_dir).partly_staged()
     return M.audits_of(g, D.findings(g), g.claims.select("project", "session_id"), derived.AS_OF).select("id", "project", "session_id", "findings", "claim_count", "edge_count", "critical_count")
 
 

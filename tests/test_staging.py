@@ -53,3 +53,9 @@ def test_a_claim_that_is_there_twice_holds_no_chain_back(spark):
     g.edge("p", "c2", "supports", "c0")
     got = D.unchallenged_chain(g.graph(spark)).select("claim_ids", F.size(F.split("claim_ids", ",")).alias("n")).collect()
     assert [(r["claim_ids"][:4], r["n"]) for r in got] == [("p.c0", 9)]
+
+
+def test_a_partly_staged_graph_is_not_staged_again(spark):
+    g = chain().graph(spark).partly_staged()
+    assert g.partly_staged() is g and not g.is_staged
+    assert D.findings(g, ("orphan",)).count() == 0 and g.is_staged and g.staged() is g
