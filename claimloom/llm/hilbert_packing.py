@@ -18,6 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,13 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Words that a worker remembers the ids of before it starts anew.
 REMEMBERED = 600_000
 _MARK = re.compile("[\u0300-\u036f]")
+#: How the tokenizer cuts a text, and the same for words of ASCII and small Latin-1 letters in UTF-8, with a line feed between two.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SIMPLE = re.compile(rb"(?:[!-~]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_PIECES = re.compile(rb"\n|'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-/:-`{-~]+")
+#: The character that stands for a byte, but for the space, in the tokenizer's vocabulary.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED))) if b != 0x20}
 
 
 def hilbert_key(cells: np.ndarray, bits: int = CELL_BITS) -> np.ndarray:
@@ -112,12 +120,14 @@ def along_curve(docs: DataFrame, partitions: int, sampled: int = 100) -> DataFra
 class WordTokenizer:
     """Ids of whole texts, word by word: the tokenizer drops white space and never merges across it, so a word's ids don't depend on its neighbours.
 
-    New words are tokenized many at a time, with a special token between two of them. A
+    New words of ASCII and Latin-1 letters are cut as the tokenizer cuts them, and only
+    pieces that are new go to its merges, many at a time, as the bytes' own characters. Other new
+    words go through all of it, many at a time, with a special token between two of them. A
     text that holds a special token's own string is tokenized whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
@@ -125,9 +135,20 @@ class WordTokenizer:
         self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
         self.mark = self.inner.id_to_token(max(self.inner.get_added_tokens_decoder()))
         self.mark_id = self.inner.token_to_id(self.mark)
+        self.cuts = _cuts_as_here(self.inner)
+        self.merges = Tokenizer(self.inner.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        # each piece's last token, and no other, has the suffix
+        suffix = self.inner.model.end_of_word_suffix
+        self.last = np.zeros(self.inner.get_vocab_size(with_added_tokens=True), bool)
+        self.last[[i for t, i in self.inner.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
+        if self.cuts:
+            found = [(w, _SIMPLE.fullmatch(w)) for w in words]
+            self._learn_simple([w for w, m in found if m])
+            words = [w for w, m in found if not m]
         # a word that holds a part of a special token's string, or becomes one in lower case, goes alone, as ordinary text
         alone = [w for w in words if b"<|" in w or b"|>" in w]
         for w, e in zip(alone, self.plain.encode_batch_fast([_text(w) for w in alone], add_special_tokens=False)):
@@ -136,31 +157,62 @@ class WordTokenizer:
         for at in range(0, len(rest), 512):
             part = rest[at : at + 512]
             ids = np.array(self.inner.encode_batch_fast([self.mark.join(map(_text, part))], add_special_tokens=False)[0].ids, "<u4")
-            edges = [0, *(np.flatnonzero(ids == self.mark_id) + 1).tolist(), len(ids) + 1]
-            data = ids.tobytes()
-            self.known.update((w, data[4 * a : 4 * b - 4]) for w, a, b in zip(part, edges, edges[1:]))
+            self._remember(part, ids, np.flatnonzero(ids == self.mark_id), 1)
+
+    def _learn_simple(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            pieces = _PIECES.findall(b"\n".join(part).lower())
+            new = list(set(pieces).difference(self.known, (b"\n",)))
+            for start in range(0, len(new), 512):
+                block = new[start : start + 512]
+                ids = np.array(self.merges.encode_batch_fast([b" ".join(block).decode("latin-1").translate(_BYTE_CHARS)], add_special_tokens=False)[0].ids, "<u4")
+                self._remember(block, ids, np.flatnonzero(self.last[ids])[:-1] + 1, 0)
+            between = np.array([self.mark_id], "<u4").tobytes()
+            ids = np.frombuffer(b"".join([between if p == b"\n" else self.known[p] for p in pieces]), "<u4")
+            self._remember(part, ids, np.flatnonzero(ids == self.mark_id), 1)
+
+    def _remember(self, words: list[bytes], ids: np.ndarray, cuts: np.ndarray, gap: int) -> None:
+        """The ids of ``words`` are those between ``cuts``, each of which takes ``gap`` ids."""
+        if len(cuts) != max(0, len(words) - 1):
+            raise ValueError("the tokenizer's ids don't part into its words")
+        data, starts = ids.tobytes(), [0, *(4 * (cuts + gap)).tolist()]
+        self.known.update((w, data[a:b]) for w, a, b in zip(words, starts, [*(4 * cuts).tolist(), len(data)]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.known = {}
-        out, split, open_ = [], [], set()
+        split: list[list[bytes] | None] = []
         for t in texts:
             if any(s in t for s in self.special):
-                out.append(np.array(self.inner.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-                split.append(())
+                split.append(None)
                 continue
             data = t.encode("utf-8", "surrogatepass")
             # the tokenizer lower-cases; letters A-Z can be lowered first unless a mark could combine with them
-            words = (data.lower() if t.isascii() or not _MARK.search(t) else data).split()
-            parts = list(map(self.known.get, words))
-            if None in parts:
-                open_.update(w for w, p in zip(words, parts) if p is None)
-                out.append(None)
-            else:
-                out.append(b"".join(parts))
-            split.append(words)
-        self.learn(list(open_))
-        return [np.frombuffer(b"".join(map(self.known.get, words)) if ids is None else ids, "<u4") for words, ids in zip(split, out)]
+            split.append((data.lower() if t.isascii() or not _MARK.search(t) else data).split())
+        self.learn(list(set().union(*filter(None, split)).difference(self.known)))
+        ids_of = self.known.__getitem__
+        return [
+            np.array(self.inner.encode(t, add_special_tokens=False).ids, "<u4") if words is None else np.frombuffer(b"".join(map(ids_of, words)), "<u4")
+            for t, words in zip(texts, split)
+        ]
+
+
+def _cuts_as_here(tokenizer) -> bool:
+    """Whether ``tokenizer`` lower-cases and cuts simple words as ``_PIECES`` does, and gives each piece one last token."""
+    state = json.loads(tokenizer.to_str())
+    model = state["model"]
+    steps = [(s["type"], s.get("pattern"), s.get("behavior"), s.get("invert"), s.get("add_prefix_space"), s.get("use_regex")) for s in (state["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    return (
+        [s["type"] for s in (state["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        and state["normalizer"]["normalizers"][1] == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        and steps == [("Split", {"Regex": _CUT}, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+        and model["type"] == "BPE"
+        and bool(model["end_of_word_suffix"])
+        and not (model["dropout"] or model["continuing_subword_prefix"] or model["ignore_merges"])
+        and all(c in model["vocab"] and c + model["end_of_word_suffix"] in model["vocab"] for c in _BYTE_CHARS.values())
+        and not any(model["end_of_word_suffix"] in t[: -len(model["end_of_word_suffix"])] for t in model["vocab"])
+    )
 
 
 def _text(word: bytes) -> str:

@@ -1,5 +1,6 @@
 """Tokens against the tokenizer itself, the curve against its defining property, packing against an exact round trip."""
 
+import json
 import random
 import zlib
 from itertools import product
@@ -31,6 +32,52 @@ def test_words_give_the_same_ids():
         assert [*ids.tolist(), 1] == reference(text)
 
 
+def odd_texts():
+    rng = random.Random(5)
+    letters = [*"abcstvrelmdSTD''--..<|>/_`~{}[]019éèñßÿàÀÉÜöø÷×µªº²½İΣσςKÅ日😀́̈\x1c\x85\xa0 \x00\x7f\xad", *[" ", "\n", "  ", "'ll", "<|ENDoftext|>"] * 4, "<|endoftext|>"]
+    return ["".join(rng.choices(letters, k=rng.randint(0, 200))) for _ in range(800)]
+
+
+def test_odd_words_give_the_same_ids():
+    tokenizer, inner = hp.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    for at in range(0, 800, 50):
+        part = odd_texts()[at : at + 50]
+        assert [x.tolist() for x in tokenizer.encode(part)] == [inner.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_another_cut_gives_the_tokenizers_ids(tmp_path):
+    state = json.load(open(PATH))
+    state["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+    path = str(tmp_path / "other.json")
+    (tmp_path / "other.json").write_text(json.dumps(state))
+    tokenizer, inner = hp.WordTokenizer(path), Tokenizer.from_file(path)
+    part = ["it's 2024, isn't it?!", *odd_texts()[:50]]
+    assert [x.tolist() for x in tokenizer.encode(part)] == [inner.encode(t, add_special_tokens=False).ids for t in part]
+
+
+class Watched:
+    """A tokenizer that keeps what it was given."""
+
+    def __init__(self, tokenizer, sent):
+        self.tokenizer, self.sent = tokenizer, sent
+
+    def encode_batch_fast(self, texts, **options):
+        self.sent.extend(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_pieces_are_tokenized_once():
+    tokenizer, sent = hp.WordTokenizer(PATH), []
+    tokenizer.encode(["house tree's été"])
+    for name, value in list(vars(tokenizer).items()):
+        if isinstance(value, Tokenizer):
+            setattr(tokenizer, name, Watched(value, sent))
+    text = "House, (tree) treehouse tree's-house été."
+    assert [*tokenizer.encode([text])[0].tolist(), 1] == reference(text)
+    # the word that is new, and what stands around the known ones
+    assert sorted(" ".join(sent).split()) == sorted([",", "(", ")", "treehouse", "-", "."])
+
+
 def test_curve_is_hilbert():
     for dims, bits in ((2, 3), (3, 2), (4, 2)):
         points = np.array(list(product(range(1 << bits), repeat=dims)))
