@@ -37,9 +37,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Words that a worker remembers the ids of before it starts anew.
 REMEMBERED = 600_000
 _MARK = re.compile("[\u0300-\u036f]")
-#: How the tokenizer cuts a text, and the same for words of ASCII and small Latin-1 letters in UTF-8, with a line feed between two.
+#: How the tokenizer cuts a text, and the same for lower-cased words of ASCII and Latin-1 letters in UTF-8, with a line feed between two.
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_SIMPLE = re.compile(rb"(?:[!-~]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_SIMPLE = re.compile(rb"(?:[!-~\n]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _PIECES = re.compile(rb"\n|'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-/:-`{-~]+")
 #: The character that stands for a byte, but for the space, in the tokenizer's vocabulary.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -104,7 +104,7 @@ def along_curve(docs: DataFrame, partitions: int, sampled: int = 100) -> DataFra
 
     wanted = min(sampled * partitions, 1_000_000)
     share = min(1.0, wanted / max(1, docs.count()))
-    seen = rows.sample(share, seed=17).select(place("text", "tie").alias("place"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("place").toArrow()
+    seen = rows.sample(share, seed=17).select(place("text", "tie").alias("place"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).toArrow().sort_by("place")
     weight = np.cumsum(seen.column("size").to_numpy() + 64.0)
     at = np.searchsorted(weight, weight[-1] * np.arange(1, partitions) / partitions) if len(weight) else []
     bounds = seen.column("place").to_numpy()[at]
@@ -146,9 +146,7 @@ class WordTokenizer:
 
     def learn(self, words: list[bytes]) -> None:
         if self.cuts:
-            found = [(w, _SIMPLE.fullmatch(w)) for w in words]
-            self._learn_simple([w for w, m in found if m])
-            words = [w for w, m in found if not m]
+            words = [w for at in range(0, len(words), 4096) for w in self._learn_simple(words[at : at + 4096])]
         # a word that holds a part of a special token's string, or becomes one in lower case, goes alone, as ordinary text
         alone = [w for w in words if b"<|" in w or b"|>" in w]
         for w, e in zip(alone, self.plain.encode_batch_fast([_text(w) for w in alone], add_special_tokens=False)):
@@ -159,18 +157,24 @@ class WordTokenizer:
             ids = np.array(self.inner.encode_batch_fast([self.mark.join(map(_text, part))], add_special_tokens=False)[0].ids, "<u4")
             self._remember(part, ids, np.flatnonzero(ids == self.mark_id), 1)
 
-    def _learn_simple(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            pieces = _PIECES.findall(b"\n".join(part).lower())
-            new = list(set(pieces).difference(self.known, (b"\n",)))
-            for start in range(0, len(new), 512):
-                block = new[start : start + 512]
-                ids = np.array(self.merges.encode_batch_fast([b" ".join(block).decode("latin-1").translate(_BYTE_CHARS)], add_special_tokens=False)[0].ids, "<u4")
-                self._remember(block, ids, np.flatnonzero(self.last[ids])[:-1] + 1, 0)
+    def _learn_simple(self, words: list[bytes]) -> list[bytes]:
+        """Learns the simple ones of ``words``; the others are returned."""
+        lines, others = b"\n".join(words), []
+        if not _SIMPLE.fullmatch(lines):
+            others = [w for w in words if not _SIMPLE.fullmatch(w)]
+            words = [w for w in words if _SIMPLE.fullmatch(w)]
+            lines = b"\n".join(words)
+        new = list(set(_pieces(lines)).difference(self.known, (b"\n",)))
+        for at in range(0, len(new), 512):
+            block = new[at : at + 512]
+            ids = np.array(self.merges.encode_batch_fast([b" ".join(block).decode("latin-1").translate(_BYTE_CHARS)], add_special_tokens=False)[0].ids, "<u4")
+            self._remember(block, ids, np.flatnonzero(self.last[ids])[:-1] + 1, 0)
+        # words of one piece, in small letters, are known by now
+        if words := [w for w in words if w not in self.known]:
             between = np.array([self.mark_id], "<u4").tobytes()
-            ids = np.frombuffer(b"".join([between if p == b"\n" else self.known[p] for p in pieces]), "<u4")
-            self._remember(part, ids, np.flatnonzero(ids == self.mark_id), 1)
+            ids = np.frombuffer(b"".join([between if p == b"\n" else self.known[p] for p in _pieces(b"\n".join(words))]), "<u4")
+            self._remember(words, ids, np.flatnonzero(ids == self.mark_id), 1)
+        return others
 
     def _remember(self, words: list[bytes], ids: np.ndarray, cuts: np.ndarray, gap: int) -> None:
         """The ids of ``words`` are those between ``cuts``, each of which takes ``gap`` ids."""
@@ -215,6 +219,10 @@ def _cuts_as_here(tokenizer) -> bool:
     )
 
 
+def _pieces(lines: bytes) -> list[bytes]:
+    return _PIECES.findall(_text(lines).lower().encode())
+
+
 def _text(word: bytes) -> str:
     return word.decode("utf-8", "surrogatepass")
 
