@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.claims import is_weak
-from claimloom.operators.gram_index import GramIndex, grams
+from claimloom.operators.asked_runs import asked_runs, first_run
+from claimloom.operators.gram_index import GramIndex, N, grams
 from claimloom.plans.claim_graph import ClaimGraph
+from claimloom.plans.staging import stage
 
 #: Characters of a window and of the run that stands for it.
 WINDOW, RUN = 16, 12
@@ -46,43 +48,56 @@ def window_runs(text: Column) -> Column:
     return F.when(F.char_length(text) >= WINDOW, F.get(least, 0))
 
 
+def _by_index(active: DataFrame, open_: DataFrame, index: GramIndex) -> DataFrame:
+    """``(project, key, n, part)`` of texts that share a key's rarest run of four, which the index has, and hold the key."""
+    spread = index.spread(active)
+    often = spread.groupBy("project", "gram").agg(F.count("*").alias("freq"))
+    rarest = (
+        open_.select("project", "key", F.explode(grams(F.col("key"))).alias("gram"))
+        .join(often.hint("merge"), ["project", "gram"], "left")
+        .groupBy("project", "key")
+        .agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram"))["gram"].alias("gram"))
+    )
+    return spread.join(rarest.hint("merge"), ["project", "gram"]).where(F.contains("low", "key")).select("project", "key", F.lit(1).alias("n"), F.col("id").alias("part"))
+
+
+def _by_runs(texts: DataFrame, open_: DataFrame) -> DataFrame:
+    """``(project, key, n, part)`` of texts that hold a key, met by the run that it begins with."""
+    asked = open_.withColumn("run", first_run(F.col("key")))
+    row = F.xxhash64("project", "low").alias("row")
+    held = asked_runs(texts.select("project", "low", row, "n", "part"), "low", "project", asked.select("project", "run"))
+    # a key that is its run is in all that hold the run
+    whole = asked.where("key = run").select("project", "run")
+    counted = held.groupBy("project", "run").agg(F.sum("n").alias("n"), F.min("part").alias("part"))
+    whole = counted.join(whole.hint("merge"), ["project", "run"]).select("project", F.col("run").alias("key"), "n", "part")
+    longer = held.join(asked.where("key <> run").hint("merge"), ["project", "run"]).select("row", "project", "key", "part")
+    longer = longer.join(texts.select(row, "project", "low", "n", "part").hint("merge"), ["row", "project", "part"]).where(F.contains("low", "key"))
+    return whole.unionByName(longer.select("project", "key", "n", "part"))
+
+
 def resolve_text(probes: DataFrame, claims: DataFrame, index: GramIndex | None = None) -> DataFrame:
     """``(project, from_id, needle, claim_id)``: the active claim of the project that a text means, else null.
 
     The first claim of equal text, in any case and without white space around it, else
     the only one that holds it. A claim doesn't mean itself, and an empty text nothing.
-    A text of ``WINDOW`` characters or more meets those claims alone that share the run
-    which its first window picks, one of four or more those that share its rarest run of
-    four; shorter ones meet their project's claims. With an ``index`` of the claims their
-    runs of four are read from it.
+    A text that no claim equals meets those that hold the run of characters which it
+    begins with; with an ``index`` of the claims, one of four characters or more meets
+    those that share its rarest run of four. Equal texts of a project are one. Runs of
+    texts are many times their rows, so no join that they take is a broadcast: Spark
+    sizes one by its input.
     """
     active = claims.where(~F.coalesce("archived", F.lit(False))).select("id", "project", F.lower("text").alias("low"), "created_at")
     asked = probes.select("project", "from_id", "needle", F.lower(F.trim("needle")).alias("key")).where("key <> ''")
-    exact = active.groupBy("project", F.col("low").alias("key")).agg(F.min(F.struct("created_at", "id"))["id"].alias("exact"))
-    keyed = asked.join(exact, ["project", "key"], "left")
-    open_ = keyed.where("exact is null").select("project", "key").distinct()
-    row = F.xxhash64("project", "id", "low")
-    spread = index.spread(active) if index else active.select("project", row.alias("row"), F.explode(grams(F.col("low"))).alias("gram"))
-    often = spread.groupBy("project", "gram").agg(F.count("*").alias("freq"))
-    rarest = (
-        open_.where(F.lit(True) if index else F.char_length("key") < WINDOW)
-        .select("project", "key", F.explode(grams(F.col("key"))).alias("gram"))
-        .join(often, ["project", "gram"], "left")
-        .groupBy("project", "key")
-        .agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram"))["gram"].alias("gram"))
-    )
-    inside = spread.join(rarest, ["project", "gram"])
-    if not index:
-        of = F.xxhash64("project", "run").alias("run")
-        runs = active.select("project", row.alias("row"), F.explode(window_runs(F.col("low"))).alias("run")).select("row", of)
-        picked = open_.select("project", "key", F.explode(window_runs(F.substring("key", 1, WINDOW))).alias("run")).select("project", "key", of)
-        met = inside.select("row", "project", "key").unionByName(runs.join(picked, "run").select("row", "project", "key"))
-        inside = met.join(active.select(row.alias("row"), "id", "low", F.col("project").alias("its")), "row").where("project = its")
-    inside = inside.where(F.contains("low", "key")).select("project", "key", "id")
-    short = active.join(open_.where(F.char_length("key") < 4), "project").where(F.contains("low", "key")).select("project", "key", "id")
-    only = inside.unionByName(short).groupBy("project", "key").agg(F.count("*").alias("n"), F.min("id").alias("part")).where("n = 1")
-    found = keyed.join(only, ["project", "key"], "left").withColumn("claim_id", F.coalesce("exact", "part"))
-    return found.select("project", "from_id", "needle", F.when(~F.col("claim_id").eqNullSafe(F.col("from_id")), F.col("claim_id")).alias("claim_id"))
+    texts = active.groupBy("project", "low").agg(F.min(F.struct("created_at", "id"))["id"].alias("exact"), F.count("*").alias("n"), F.min("id").alias("part"))
+    texts = stage(texts.where("low is not null and project is not null"), "claim-texts").df
+    exact = texts.select("project", F.col("low").alias("key"), F.col("exact").alias("claim"))
+    open_ = stage(asked.select("project", "key").distinct().join(exact.hint("merge"), ["project", "key"], "left_anti"), "open-texts").df
+    inside = _by_runs(texts, open_ if index is None else open_.where(F.char_length("key") < N))
+    if index:
+        inside = inside.unionByName(_by_index(active, open_.where(F.char_length("key") >= N), index))
+    only = inside.groupBy("project", "key").agg(F.sum("n").alias("n"), F.min("part").alias("claim")).where("n = 1").select("project", "key", "claim")
+    found = asked.join(exact.unionByName(only).hint("merge"), ["project", "key"], "left")
+    return found.select("project", "from_id", "needle", F.when(~F.col("claim").eqNullSafe(F.col("from_id")), F.col("claim")).alias("claim_id"))
 
 
 def basis_map(claims: DataFrame) -> DataFrame:
